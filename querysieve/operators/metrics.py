@@ -169,7 +169,9 @@ def label_conflicts(scores: DataFrame) -> DataFrame:
 
 
 def percent(value: Column, decimals: int = 2) -> Column:
-    return F.format_string(f"%.{decimals}f%%", value * 100)
+    """Fixed decimals with a percent sign, ties to even; null stays null."""
+    shown = F.format_string(f"%.{decimals}f%%", F.bround(value * 100, decimals))
+    return F.when(value.isNotNull(), shown)
 
 
 def metrics_report(test: DataFrame, validation: DataFrame, techniques: list[str], max_rate: float = MAX_FALSE_POSITIVE_RATE) -> DataFrame:

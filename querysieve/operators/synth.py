@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from querysieve.functions import draws as dr, text as tx
 from querysieve.operators.ordering import global_index, running_sums
-from querysieve.session import broadcast_if_small
+from querysieve.session import broadcast_if_small, materialise
 
 NORMAL_ONLY_SHARE = 0.1
 TESTING_TEMPLATES = 10
@@ -176,14 +176,15 @@ def look_up(instances: DataFrame, dictionaries: DataFrame, draw_col: str, inline
     behind a size check. A dictionary over ``inline_limit`` spreads its rows over more
     than that many keys, so its lookup is an ordinary shuffle join without hot keys.
     """
+    dictionaries = materialise(dictionaries.select("dict_name", "pos", "value"), "dicts")
     sizes = broadcast_if_small(dictionary_sizes(dictionaries))
     sized = instances.join(sizes, "dict_name", "left").withColumn(
         "pos", F.col(draw_col) % F.col("size")
     )
-    kinds = dictionaries.select("dict_name", "pos", "value").join(sizes, "dict_name")
+    kinds = dictionaries.join(sizes, "dict_name")
     small = kinds.where(F.col("size") <= inline_limit).select("dict_name", "pos", F.col("value").alias("_small"))
     out = sized.join(broadcast_if_small(small), ["dict_name", "pos"], "left")
-    if dictionary_sizes(dictionaries).where(F.col("size") > inline_limit).isEmpty():
+    if sizes.where(F.col("size") > inline_limit).isEmpty():
         return out.withColumnRenamed("_small", "value").drop("size")
     large = kinds.where(F.col("size") > inline_limit).select(
         F.col("dict_name").alias("_name"), F.col("pos").alias("_at"), F.col("value").alias("_large")

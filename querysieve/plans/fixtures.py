@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from querysieve.functions import draws as dr, lexical as lx
 from querysieve.schemas import STATEMENT_SHARES
-from querysieve.sources.dictionaries import build_dictionaries, column_dictionaries
+from querysieve.sources.dictionaries import build_dictionaries, column_values
 
 # Statement wrappers of the derived log: type -> (letter, text before, text after the table number).
 LOG_TEMPLATES = {
@@ -178,7 +178,7 @@ DICTIONARIES = {
 
 def dictionaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
-        column_dictionaries(table(spark, sf_dir, t), [F.col(key)], {name: column})
+        column_values(table(spark, sf_dir, t), key, {name: column})
         for name, (t, key, column) in DICTIONARIES.items()
     ]
     return build_dictionaries(parts, "shop")

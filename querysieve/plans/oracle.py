@@ -429,11 +429,11 @@ _WL = {
     "wl_s23": """SELECT id FROM airport WHERE type IN ('BUILDING', 'MACHINERY', 'FURNITURE') AND (name LIKE '%1%' OR name LIKE '%2%') AND latitude_deg >= -50 AND longitude_deg BETWEEN -100 AND 120
       AND elevation_ft <= 8000 AND scheduled_service = 'yes' AND list_has_any(string_split(keywords, ','), ['k1', 'k2', 'k4'])""",
     "wl_update": """SELECT 'airport' AS relation, CAST(id AS BIGINT) AS id, CASE WHEN ident = 'Customer#000000005' THEN 'Renamed' ELSE name END || '|' || CASE WHEN iso_country = '1' THEN 'Capital' ELSE municipality END
-        || '|' || CASE WHEN ident <> 'Customer#000000005' AND name = 'Field 9' THEN 'linked' ELSE keywords END AS state FROM airport
-      UNION ALL SELECT 'frequency', CAST(id AS BIGINT), CASE WHEN airport_ident = 'Customer#000000010' THEN 'changed' ELSE description END || '|' || printf('%.2f', CASE WHEN type = '2-HIGH' THEN CAST(118.5 AS DOUBLE) ELSE frequency_mhz END) FROM airport_frequencies
-      UNION ALL SELECT 'navaid', CAST(id AS BIGINT), CASE WHEN ident = 'Supplier#000000003' THEN 'Beacon' ELSE name END FROM navaids
-      UNION ALL SELECT 'country', CAST(id AS BIGINT), CASE WHEN code = '2' THEN 'new' ELSE keywords END FROM countries
-      UNION ALL SELECT 'region', CAST(id AS BIGINT), CASE WHEN iso_country = '4' THEN 'moved' ELSE keywords END FROM regions""",
+        || '|' || CASE WHEN ident <> 'Customer#000000005' AND name = 'Field 9' THEN 'linked' ELSE keywords END AS state, CAST(NULL AS DOUBLE) AS number FROM airport
+      UNION ALL SELECT 'frequency', CAST(id AS BIGINT), CASE WHEN airport_ident = 'Customer#000000010' THEN 'changed' ELSE description END, round(CASE WHEN type = '2-HIGH' THEN CAST(118.5 AS DOUBLE) ELSE frequency_mhz END, 6) FROM airport_frequencies
+      UNION ALL SELECT 'navaid', CAST(id AS BIGINT), CASE WHEN ident = 'Supplier#000000003' THEN 'Beacon' ELSE name END, NULL FROM navaids
+      UNION ALL SELECT 'country', CAST(id AS BIGINT), CASE WHEN code = '2' THEN 'new' ELSE keywords END, NULL FROM countries
+      UNION ALL SELECT 'region', CAST(id AS BIGINT), CASE WHEN iso_country = '4' THEN 'moved' ELSE keywords END, NULL FROM regions""",
     "wl_update_in": "SELECT id, airport_ident, CASE WHEN airport_ident IN ('Customer#000000001', 'Customer#000000002', 'Customer#000000004', 'Customer#000000005') THEN 'TWR' ELSE type END AS type FROM airport_frequencies",
     "wl_insert": """SELECT 'airport' AS relation, ident AS code, CAST(id AS BIGINT) AS id, name, iso_country FROM airport UNION ALL SELECT 'airport', 'new-' || s_name, NULL, s_name, NULL FROM supplier
       UNION ALL SELECT 'region', code, CAST(id AS BIGINT), name, iso_country FROM regions UNION ALL SELECT 'region', 'S-' || s_suppkey, NULL, s_name, '9' FROM supplier""",

@@ -686,12 +686,13 @@ def wl_update(spark, sf):
     n = wl.update(t["navaids"], {"name": "Beacon"}, F.col("ident") == "Supplier#000000003")
     c = wl.update(t["countries"], {"keywords": "new"}, F.col("code") == "2")
     r = wl.update(t["regions"], {"keywords": "moved"}, F.col("iso_country") == "4")
-    s = lambda df, kind, *cols: df.select(
-        F.lit(kind).alias("relation"), F.col("id").cast("bigint").alias("id"), F.concat_ws("|", *cols).alias("state")
+    s = lambda df, kind, *cols, number=F.lit(None): df.select(
+        F.lit(kind).alias("relation"), F.col("id").cast("bigint").alias("id"), F.concat_ws("|", *cols).alias("state"),
+        number.cast("double").alias("number"),
     )
     return (
         s(a, "airport", "name", "municipality", "keywords")
-        .unionByName(s(f, "frequency", "description", F.format_string("%.2f", "frequency_mhz")))
+        .unionByName(s(f, "frequency", "description", number=r6("frequency_mhz")))
         .unionByName(s(n, "navaid", "name"))
         .unionByName(s(c, "country", "keywords"))
         .unionByName(s(r, "region", "keywords"))

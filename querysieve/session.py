@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 # A side is broadcast only when both bounds hold.
 BROADCAST_MAX_ROWS = 200_000
@@ -66,13 +66,15 @@ def broadcast_if_small(
 ) -> DataFrame:
     """Materialise ``df`` and hint a broadcast only if its measured size is under both bounds.
 
-    Over the bound the frame carries no hint: Spark then shuffles both sides and AQE
-    splits skewed partitions.
+    Rows and characters are counted while the table is written. Over the bound the frame
+    carries no hint: Spark then shuffles both sides and AQE splits skewed partitions.
     """
-    held = materialise(df, "side")
     width = sum(
         (F.coalesce(F.length(F.col(f.name)), F.lit(0)) if f.dataType.typeName() == "string" else F.lit(16))
         for f in df.schema.fields
     )
-    rows, size = held.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(width).alias("size"))
+    held = materialise(counted, "side")
+    rows, size = seen.get["rows"], seen.get["size"] or 0
     return F.broadcast(held) if rows <= max_rows and size * 4 <= max_bytes else held

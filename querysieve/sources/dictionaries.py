@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from querysieve.operators.ordering import global_index
 from querysieve.sources.paths import relative_path
@@ -22,7 +22,7 @@ def read_dictionaries(spark: SparkSession, root: str, schema_name: str) -> DataF
     """
     path = relative_path(root)
     lines = spark.read.option("recursiveFileLookup", True).text(root).select(
-        F.regexp_replace(F.split_part(path, F.lit("/"), F.lit(1)), "\\.txt$", "").alias("dict_name"),
+        F.regexp_replace(F.split_part(path, F.lit("/"), F.lit(1)), "^dict_name=|\\.txt$", "").alias("dict_name"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"),
@@ -45,25 +45,26 @@ def read_dictionaries(spark: SparkSession, root: str, schema_name: str) -> DataF
     )
 
 
-def column_dictionaries(df: DataFrame, order: list[Column], columns: dict[str, str]) -> DataFrame:
-    """One dictionary per column: non-null values in row order, duplicates kept."""
+def column_values(df: DataFrame, row: str, columns: dict[str, str]) -> DataFrame:
+    """(dict_name, row, value): the non-null values of each column with their bigint row order."""
     keyed = df.select(
-        F.struct(*order).alias("_key"), *[F.col(c).cast("string").alias(d) for d, c in columns.items()]
-    )
-    values = keyed.unpivot("_key", list(columns), "dict_name", "value").where(F.col("value").isNotNull())
-    return global_index(values, [F.col("_key")], "pos", groups=["dict_name"]).select(
-        "dict_name", "pos", "value"
+        F.col(row).cast("bigint").alias("row"), *[F.col(c).cast("string").alias(d) for d, c in columns.items()]
     )
+    return keyed.unpivot("row", list(columns), "dict_name", "value").where(F.col("value").isNotNull())
 
 
 def build_dictionaries(parts: list[DataFrame], schema_name: str) -> DataFrame:
-    """Union of column dictionaries under one schema name."""
-    return reduce(DataFrame.unionByName, parts).select(
-        F.lit(schema_name).alias("schema"), "dict_name", "pos", "value"
-    )
+    """Dictionaries from column values: row order and duplicates kept, positions dense from 0."""
+    values = reduce(DataFrame.unionByName, parts)
+    indexed = global_index(values, [F.col("row")], "pos", groups=["dict_name"])
+    return indexed.select(F.lit(schema_name).alias("schema"), "dict_name", "pos", "value")
 
 
 def write_dictionaries(df: DataFrame, root: str) -> None:
     """One folder per dictionary, lines in position order inside and across its files."""
-    for name in [r["dict_name"] for r in df.select("dict_name").distinct().collect()]:
-        df.where(F.col("dict_name") == name).orderBy("pos").select("value").write.text(f"{root}/{name}")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (
+        df.select("dict_name", "pos", "value")
+        .repartitionByRange(n, "dict_name", "pos").sortWithinPartitions("dict_name", "pos")
+        .select("dict_name", "value").write.partitionBy("dict_name").text(root)
+    )
