@@ -52,8 +52,9 @@ OTHER_DIGITS = (
     "\\x{11052}-\\x{1105A}\\x{1F100}-\\x{1F10A}"
 )
 WORD = "\\p{L}\\p{N}_"
-DIGITS = f"[\\p{{Nd}}{OTHER_DIGITS}]"
-UPPER = "[\\p{IsUppercase}]"
+# ASCII characters leave each class after one or two cheap tests.
+DIGITS = f"[0-9]|(?![\\x00-\\x7F])[\\p{{Nd}}{OTHER_DIGITS}]"
+UPPER = "[A-Z]|(?![\\x00-\\x7F])\\p{IsUppercase}"
 SPACE = "(?U)[\\s\\x1c-\\x1f]"
 SPECIAL = "(?U)[^\\p{L}\\p{N}\\s\\x1c-\\x1f/*+\\-\\[\\](){}]"
 
@@ -85,7 +86,7 @@ def occurrences(text: Column, piece: str) -> Column:
 
 
 def _count_chars(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("int")
+    return reduce(lambda a, b: a + b, [occurrences(text, c) for c in chars])
 
 
 def _count_class(text: Column, char_class: str) -> Column:
@@ -96,8 +97,10 @@ def has_tautology(text: Column) -> Column:
     """Some non-empty run of word characters stands on both sides of an equals sign.
 
     Linear form of a back-reference match: for each ``left=right`` pair of maximal runs,
-    some suffix of the left run equals a prefix of the right run of the same length.
+    some suffix of the left run equals a prefix of the right run of the same length. Only
+    texts with an equals sign between word characters get that far.
     """
+    touching = text.rlike(f"=(?<=[{WORD}]=)[{WORD}]")
     pattern = f"(?<![{WORD}])([{WORD}]++)=(?=([{WORD}]+))"
     left = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     right = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
@@ -106,7 +109,7 @@ def has_tautology(text: Column) -> Column:
         lambda k: F.right(a, k) == F.left(b, k),
     )
     found = F.exists(F.arrays_zip(left.alias("l"), right.alias("r")), lambda p: meets(p["l"], p["r"]))
-    return F.when(text.isNull(), F.lit(None)).when(text.contains("="), _flag(found)).otherwise(F.lit(0))
+    return F.when(text.isNull(), F.lit(None)).when(touching, _flag(found)).otherwise(F.lit(0))
 
 
 def escape_counts(text: Column) -> dict[str, Column]:

@@ -69,7 +69,8 @@ def ranked_scores(scores: DataFrame) -> DataFrame:
     ranked = running_sums(
         steps, [F.desc("score")], {"tp": F.col("pos"), "fp": F.col("neg")}, ["model"]
     )
-    totals = steps.groupBy("model").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    # The running sums sit on a written table, so the totals do not go back to the scores.
+    totals = ranked.groupBy("model").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return ranked.join(broadcast_if_small(totals), "model")
 
 

@@ -95,7 +95,7 @@ def exact_quantile(
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
     ranked = running_sums(counted, [F.col(value)], {"_upto": F.col("_n")}, groups)
-    totals = counted.groupBy(*groups).agg(F.sum("_n").alias("_total"))
+    totals = ranked.groupBy(*groups).agg(F.sum("_n").alias("_total"))
     if groups:
         ranked = ranked.join(totals, list(groups))
     else:

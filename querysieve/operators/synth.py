@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from querysieve.functions import draws as dr, text as tx
 from querysieve.operators.ordering import global_index, running_sums
-from querysieve.session import broadcast_if_small, materialise
+from querysieve.session import BROADCAST_MAX_ROWS, broadcast_if_small, materialise
 
 NORMAL_ONLY_SHARE = 0.1
 TESTING_TEMPLATES = 10
 POOL_SIZE = 10
 CONDITIONS = "conditions"
 
+# Dictionaries up to this size are broadcast in the shuffled form of the fill.
+INLINE_LIMIT = 50_000
+# Bounds of the shuffle-free form of the fill.
+MAX_NARROW_SLOTS = 32
+MAX_NARROW_DICTIONARIES = 1000
+
 # Draw slots, so that no two decisions about a row share a draw.
 SLOT_TEMPLATE, SLOT_ROLE, SLOT_FIELDS, SLOT_VARIANT, SLOT_FILLER = 1, 2, 100, 200, 1000
 
@@ -165,11 +171,20 @@ def expand_conditions(
     )
 
 
+def slot_bound(templates: DataFrame, fields: dict[str, list[str]] | None = None) -> int:
+    """The most placeholders a statement of these templates can have, conditions expanded."""
+    names = tx.placeholder_names(F.col("template"))
+    plain = F.size(F.filter(names, lambda n: n != CONDITIONS))
+    expanded = sum(max(p.count("{") for p in spelled) for spelled in (fields or {}).values())
+    slots = plain + F.when(F.array_contains(names, CONDITIONS), expanded).otherwise(0)
+    return templates.agg(F.coalesce(F.max(slots), F.lit(0)).alias("n")).first()["n"]
+
+
 def dictionary_sizes(dictionaries: DataFrame) -> DataFrame:
     return dictionaries.groupBy("dict_name").agg(F.count("*").alias("size"))
 
 
-def look_up(instances: DataFrame, dictionaries: DataFrame, draw_col: str, inline_limit: int = 50_000) -> DataFrame:
+def look_up(instances: DataFrame, dictionaries: DataFrame, draw_col: str, inline_limit: int = INLINE_LIMIT) -> DataFrame:
     """Attach ``value`` = dictionary entry at ``draw mod size`` to (dict_name, draw) rows.
 
     Entries of small dictionaries are the hot keys, and they are few: they are broadcast
@@ -199,14 +214,72 @@ def look_up(instances: DataFrame, dictionaries: DataFrame, draw_col: str, inline
     )
 
 
+def _checked(filler: Column, name: Column) -> Column:
+    """The filler with doubled quotes; a placeholder without filler raises."""
+    missing = F.raise_error(F.concat(F.lit("no dictionary for placeholder "), name)).cast("string")
+    return F.coalesce(tx.double_quotes(filler), missing)
+
+
+def _assembled(template: Column, fillers: Column) -> Column:
+    """Fixed parts and fillers, zipped."""
+    pieces = F.zip_with(
+        tx.fixed_parts(template), F.array_append(fillers, F.lit("")), lambda part, f: F.concat(part, f)
+    )
+    return F.array_join(pieces, "")
+
+
 def fill_templates(
-    df: DataFrame, dictionaries: DataFrame, draw: dr.Draw, key: str, inline_limit: int = 50_000
+    df: DataFrame, dictionaries: DataFrame, draw: dr.Draw, key: str, max_slots: int | None = None,
+    inline_limit: int = INLINE_LIMIT,
 ) -> DataFrame:
     """Fill every placeholder instance with its own draw; adds ``full_query`` and ``user_inputs``.
 
     ``df`` holds one row per statement to build: a unique ``key`` and a ``template``.
-    A placeholder without dictionary raises.
+    With ``max_slots`` (see :func:`slot_bound`) and dictionaries small enough to broadcast,
+    statements are built in place, one broadcast lookup per slot and no shuffle. Otherwise
+    the placeholder instances are exploded, looked up and gathered by key.
     """
+    dictionaries = materialise(dictionaries.select("dict_name", "pos", "value"), "dicts")
+    if max_slots is not None and max_slots <= MAX_NARROW_SLOTS:
+        sizes = dictionary_sizes(dictionaries).limit(MAX_NARROW_DICTIONARIES + 1).collect()
+        total = sum(r["size"] for r in sizes)
+        if len(sizes) <= MAX_NARROW_DICTIONARIES and total <= BROADCAST_MAX_ROWS:
+            return _fill_in_place(df, dictionaries, {r["dict_name"]: r["size"] for r in sizes}, draw, key, max_slots)
+    return _fill_gathered(df, dictionaries, draw, key, inline_limit)
+
+
+def _fill_in_place(
+    df: DataFrame, dictionaries: DataFrame, sizes: dict[str, int], draw: dr.Draw, key: str, max_slots: int
+) -> DataFrame:
+    entries = broadcast_if_small(dictionaries.select("dict_name", "pos", "value"))
+    pairs = [F.lit(x) for item in sizes.items() for x in item]
+    size_of = F.create_map(*pairs).cast("map<string,bigint>") if pairs else F.create_map().cast("map<string,bigint>")
+    slots, row = range(max_slots), F.col(key)
+    out = df.withColumn("_names", F.transform(tx.placeholders(F.col("template")), tx.bare_name))
+    out = out.withColumns({f"_name{i}": F.get("_names", F.lit(i)) for i in slots})
+    out = out.withColumns({
+        f"_pos{i}": draw(row, F.lit(SLOT_FILLER + i)) % F.element_at(size_of, F.col(f"_name{i}")) for i in slots
+    })
+    for i in slots:
+        side = entries.toDF(f"_name{i}", f"_pos{i}", f"_value{i}")
+        out = out.join(side, [f"_name{i}", f"_pos{i}"], "left")
+
+    def filler(i: int) -> Column:
+        name = F.col(f"_name{i}")
+        synthetic = dr.synthetic_filler(draw, row, F.lit(SLOT_FILLER + i), name)
+        return F.when(name.isNotNull(), _checked(F.coalesce(F.col(f"_value{i}"), synthetic), name))
+
+    over = F.raise_error(F.lit(f"more than {max_slots} placeholders")).cast("int")
+    used = F.when(F.size("_names") > max_slots, over).otherwise(F.size("_names"))
+    fillers = F.slice(F.array(*[filler(i) for i in slots]).cast("array<string>"), F.lit(1), used)
+    return out.select(*df.columns, fillers.alias("_fillers")).select(
+        *df.columns,
+        _assembled(F.col("template"), F.col("_fillers")).alias("full_query"),
+        F.array_join("_fillers", " ").alias("user_inputs"),
+    )
+
+
+def _fill_gathered(df: DataFrame, dictionaries: DataFrame, draw: dr.Draw, key: str, inline_limit: int) -> DataFrame:
     kept = [c for c in df.columns if c != key]
     names = F.transform(tx.placeholders(F.col("template")), tx.bare_name)
     slots = df.select(F.col(key), F.struct(*kept).alias("_row"), F.posexplode_outer(names).alias("_i", "dict_name"))
@@ -215,30 +288,19 @@ def fill_templates(
         "_synthetic": dr.synthetic_filler(draw, F.col(key), F.lit(SLOT_FILLER) + F.col("_i"), F.col("dict_name")),
     })
     found = look_up(slots, dictionaries, "_draw", inline_limit)
-    filler = F.coalesce("_synthetic", "value")
-    checked = F.when(F.col("dict_name").isNull(), F.lit(None)).otherwise(
-        F.coalesce(
-            tx.double_quotes(filler),
-            F.raise_error(F.concat(F.lit("no dictionary for placeholder "), F.col("dict_name"))).cast("string"),
-        )
+    filler = F.when(
+        F.col("dict_name").isNotNull(), _checked(F.coalesce("_synthetic", "value"), F.col("dict_name"))
     )
-    gathered = found.withColumn("_filler", checked).groupBy(key).agg(
+    gathered = found.withColumn("_filler", filler).groupBy(key).agg(
         F.first("_row").alias("_row"),
         F.array_sort(
             F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "_filler")))
-        ).alias("_fillers"),
-    )
-    fillers = F.transform("_fillers", lambda f: f["_filler"])
-    built = F.array_join(
-        F.zip_with(
-            tx.fixed_parts(F.col("_row.template")),
-            F.array_append(fillers, F.lit("")),
-            lambda part, f: F.concat(part, f),
-        ),
-        "",
+        ).alias("_slots"),
     )
+    fillers = F.transform("_slots", lambda f: f["_filler"])
     return gathered.select(
-        key, "_row.*", built.alias("full_query"), F.array_join(fillers, " ").alias("user_inputs")
+        key, "_row.*", _assembled(F.col("_row.template"), fillers).alias("full_query"),
+        F.array_join(fillers, " ").alias("user_inputs"),
     )
 
 
@@ -270,7 +332,7 @@ def generate_normals(
         dr.unit(draw, F.col(key), F.lit(SLOT_TEMPLATE)),
     )
     expanded = expand_conditions(picked, fields, draw, key)
-    return as_normal_records(fill_templates(expanded, dictionaries, draw, key))
+    return as_normal_records(fill_templates(expanded, dictionaries, draw, key, slot_bound(templates, fields)))
 
 
 def augment_test_split(

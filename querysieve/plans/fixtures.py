@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from querysieve.functions import draws as dr, lexical as lx
 from querysieve.schemas import STATEMENT_SHARES
+from querysieve.session import spread
 from querysieve.sources.dictionaries import build_dictionaries, column_values
 
 # Statement wrappers of the derived log: type -> (letter, text before, text after the table number).
@@ -100,7 +101,7 @@ def _by_type(kind: Column, values: dict[str, Column | str]) -> Column:
 
 def qlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A labelled query log: every document's whole text inside a statement, attacks with a payload."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     marks = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     base = docs.join(marks, "doc_id", "left").select(
         F.col("doc_id").alias("id"),

@@ -14,7 +14,7 @@ from querysieve.operators.detectors import lof, neighbours as nb, ocsvm
 from querysieve.operators.ordering import global_index
 from querysieve.plans import fixtures as fx, grid
 from querysieve.plans.fixtures import DRAW, table
-from querysieve.session import broadcast_if_small, materialise, scratch_path
+from querysieve.session import broadcast_if_small, materialise, scratch_path, spread
 from querysieve.sources import catalogue as ca, curves as cu, dictionaries as di, querylog as ql
 from querysieve.streaming import scoring as ss
 
@@ -46,15 +46,20 @@ def assigned(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.rule_scores(assigned(spark, sf))
+    """Rule scores, computed once: texts are read a single time per query."""
+    return materialise(fx.rule_scores(assigned(spark, sf)), "scores")
 
 
-def validation(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(spark, sf).where(F.col("split") == "train")
+def validation(scores: DataFrame) -> DataFrame:
+    return scores.where(F.col("split") == "train")
+
+
+def tested(scores: DataFrame) -> DataFrame:
+    return scores.where(F.col("split") == "test")
 
 
 def test_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return scored(spark, sf).where(F.col("split") == "test")
+    return tested(scored(spark, sf))
 
 
 # ---- sources and sinks -------------------------------------------------------------------
@@ -162,7 +167,7 @@ def template_weights(spark, sf):
 
 
 def order_rows(spark, sf) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderkey")
+    return spread(table(spark, sf, "orders").select("o_orderkey"))
 
 
 def sampled(spark, sf) -> DataFrame:
@@ -179,7 +184,8 @@ def weighted_sample(spark, sf):
 
 def filled(spark, sf) -> DataFrame:
     expanded = sy.expand_conditions(sampled(spark, sf), fx.SEARCH_FIELDS, DRAW, "o_orderkey")
-    return sy.fill_templates(expanded, fx.dictionaries(spark, sf), DRAW, "o_orderkey")
+    bound = sy.slot_bound(fx.catalog(spark, sf), fx.SEARCH_FIELDS)
+    return sy.fill_templates(expanded, fx.dictionaries(spark, sf), DRAW, "o_orderkey", bound)
 
 
 @query("fill_templates")
@@ -201,6 +207,7 @@ def random_fillers(spark, sf):
 def fill_conditions(spark, sf):
     rows = order_rows(spark, sf).withColumn("template", F.lit(fx.CONDITIONAL_TEMPLATE))
     expanded = sy.expand_conditions(rows, fx.SEARCH_FIELDS, DRAW, "o_orderkey")
+    # The shuffled form, for statements without a known bound on their placeholders.
     return sy.fill_templates(expanded, fx.dictionaries(spark, sf), DRAW, "o_orderkey").select(
         "o_orderkey", "full_query", "user_inputs"
     )
@@ -500,17 +507,18 @@ def score_grid(spark, sf):
 
 @query("fpr_threshold")
 def fpr_threshold(spark, sf):
-    return rounded(me.fpr_threshold(validation(spark, sf)), "threshold")
+    return rounded(me.fpr_threshold(validation(fx.rule_scores(assigned(spark, sf)))), "threshold")
 
 
 @query("threshold_share")
 def threshold_share(spark, sf):
-    val = validation(spark, sf)
+    val = validation(scored(spark, sf))
     return rounded(me.threshold_share(val, me.fpr_threshold(val, 0.05)), "share_above")
 
 
 def predictions(spark, sf, rate: float = 0.05) -> DataFrame:
-    return me.predict(test_scores(spark, sf), me.fpr_threshold(validation(spark, sf), rate))
+    scores = scored(spark, sf)
+    return me.predict(tested(scores), me.fpr_threshold(validation(scores), rate))
 
 
 @query("confusion")
@@ -521,27 +529,28 @@ def confusion(spark, sf):
 
 @query("metrics_report")
 def metrics_report(spark, sf):
-    return me.metrics_report(test_scores(spark, sf), validation(spark, sf), fx.LOG_TECHNIQUES, 0.05)
+    scores = scored(spark, sf)
+    return me.metrics_report(tested(scores), validation(scores), fx.LOG_TECHNIQUES, 0.05)
 
 
 @query("pr_curve")
 def pr_curve(spark, sf):
-    return rounded(me.pr_curve(test_scores(spark, sf)), "threshold", "precision", "recall")
+    return rounded(me.pr_curve(tested(fx.rule_scores(assigned(spark, sf)))), "threshold", "precision", "recall")
 
 
 @query("auprc")
 def auprc(spark, sf):
-    return rounded(me.auprc(test_scores(spark, sf)), "auprc")
+    return rounded(me.auprc(tested(fx.rule_scores(assigned(spark, sf)))), "auprc")
 
 
 @query("roc_curve")
 def roc_curve(spark, sf):
-    return rounded(me.roc_curve(test_scores(spark, sf)), "threshold", "fpr", "tpr")
+    return rounded(me.roc_curve(tested(fx.rule_scores(assigned(spark, sf)))), "threshold", "fpr", "tpr")
 
 
 @query("auroc")
 def auroc(spark, sf):
-    return rounded(me.auroc(test_scores(spark, sf)), "auroc")
+    return rounded(me.auroc(tested(fx.rule_scores(assigned(spark, sf)))), "auroc")
 
 
 @query("recall_by_technique")
@@ -557,7 +566,7 @@ def recall_columns(spark, sf):
 
 @query("prevalence")
 def prevalence(spark, sf):
-    return rounded(me.prevalence(test_scores(spark, sf)), "prevalence")
+    return rounded(me.prevalence(tested(fx.rule_scores(assigned(spark, sf)))), "prevalence")
 
 
 @query("auc_from_points")
