@@ -77,7 +77,7 @@ def template_roles(templates: DataFrame, draw: dr.Draw, key: str = "tid", share:
     """Role of each template: admin, normal_only (a seeded share plus the conditional ones) or attackable."""
     tagged = templates.withColumns({
         "_admin": F.col("ID").contains("admin"),
-        "_forced": tx.placeholder_names(F.col("template")).getItem(0) == CONDITIONS,
+        "_forced": F.array_contains(tx.placeholder_names(F.col("template")), CONDITIONS),
         "_draw": draw(F.col(key), F.lit(SLOT_ROLE)),
     })
     others = tagged.where(~F.col("_admin"))

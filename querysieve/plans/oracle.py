@@ -278,7 +278,7 @@ O["scan_curves"] = w(QLOG, SCORES, RANKED) + f"SELECT CASE WHEN model = 'length'
 # synthesis
 O["placeholders"] = w(CATALOG) + f"SELECT ID, array_to_string({suffixed(names_of('template'))}, ' ') AS placeholders FROM catalog"
 O["template_roles"] = w(CATALOG) + f""", o AS (SELECT *, row_number() OVER (ORDER BY {draw('tid', SLOT_ROLE)}, tid) AS r FROM catalog WHERE NOT contains(ID, 'admin'))
-SELECT ID, CASE WHEN r <= (SELECT CAST(round_even(count(*) * 0.1, 0) AS BIGINT) FROM o) OR starts_with({names_of('template')}[1], 'conditions') THEN 'normal_only' ELSE 'attackable' END AS role FROM o
+SELECT ID, CASE WHEN r <= (SELECT CAST(round_even(count(*) * 0.1, 0) AS BIGINT) FROM o) OR list_contains({names_of('template')}, 'conditions') THEN 'normal_only' ELSE 'attackable' END AS role FROM o
 UNION ALL SELECT ID, 'admin' FROM catalog WHERE contains(ID, 'admin')"""
 O["sample_fixed_n"] = w(CATALOG) + f"SELECT ID, template FROM catalog WHERE NOT contains(ID, 'admin') ORDER BY {draw('tid', SLOT_ROLE)}, tid LIMIT 10"
 O["template_weights"] = w(CATALOG, WEIGHTS) + "SELECT ID, round(normalized_weight, 12) AS normalized_weight FROM weights"
