@@ -121,22 +121,18 @@ def weighted_sample(
     """
     sized = items.withColumn("_w", F.round(F.col(weight) * scale).cast("bigint"))
     spans = running_sums(sized, [F.col(c) for c in order], {"_hi": F.col("_w")})
-    stats = sized.agg(
-        F.struct(
-            F.sum("_w").alias("total"),
-            F.greatest(F.lit(1), F.ceil(F.sum("_w") / F.count("*"))).cast("bigint").alias("width"),
-        ).alias("s")
-    ).scalar()
+    total, n = spans.agg(F.sum("_w"), F.count("*")).first()
+    width = max(1, -(-total // n))
     spans = (
-        spans.withColumns({"_lo": F.col("_hi") - F.col("_w"), "_width": stats["width"]})
+        spans.withColumn("_lo", F.col("_hi") - F.col("_w"))
         .where("_w > 0")
-        .withColumn("_bucket", F.explode(F.expr("sequence(_lo div _width, (_hi - 1) div _width)")))
+        .withColumn("_bucket", F.explode(F.expr(f"sequence(_lo div {width}, (_hi - 1) div {width})")))
     )
-    aimed = rows.withColumns({"_u": F.floor(u * stats["total"]).cast("bigint"), "_width": stats["width"]})
-    aimed = aimed.withColumn("_bucket", F.expr("_u div _width")).drop("_width")
+    aimed = rows.withColumn("_u", F.floor(u * F.lit(float(total))).cast("bigint"))
+    aimed = aimed.withColumn("_bucket", F.expr(f"_u div {width}"))
     hit = (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))
     return (
-        aimed.join(broadcast_if_small(spans.drop("_width")), "_bucket")
+        aimed.join(broadcast_if_small(spans), "_bucket")
         .where(hit)
         .drop("_u", "_bucket", "_lo", "_hi", "_w")
     )
