@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from querysieve.functions import draws as dr, text as tx
 from querysieve.operators.ordering import global_index, running_sums
-from querysieve.session import BROADCAST_MAX_ROWS, broadcast_if_small, materialise
+from querysieve.session import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, broadcast_if_small, materialise
 
 NORMAL_ONLY_SHARE = 0.1
 TESTING_TEMPLATES = 10
@@ -237,9 +237,13 @@ def fill_templates(
     """
     dictionaries = materialise(dictionaries.select("dict_name", "pos", "value"), "dicts")
     if max_slots is not None and max_slots <= MAX_NARROW_SLOTS:
-        sizes = dictionary_sizes(dictionaries).limit(MAX_NARROW_DICTIONARIES + 1).collect()
-        total = sum(r["size"] for r in sizes)
-        if len(sizes) <= MAX_NARROW_DICTIONARIES and total <= BROADCAST_MAX_ROWS:
+        sizes = (
+            dictionaries.groupBy("dict_name")
+            .agg(F.count("*").alias("size"), F.sum(F.length("value") + 16).alias("chars"))
+            .limit(MAX_NARROW_DICTIONARIES + 1).collect()
+        )
+        fits = sum(r["size"] for r in sizes) <= BROADCAST_MAX_ROWS and 4 * sum(r["chars"] for r in sizes) <= BROADCAST_MAX_BYTES
+        if len(sizes) <= MAX_NARROW_DICTIONARIES and fits:
             return _fill_in_place(df, dictionaries, {r["dict_name"]: r["size"] for r in sizes}, draw, key, max_slots)
     return _fill_gathered(df, dictionaries, draw, key, inline_limit)
 
@@ -247,7 +251,7 @@ def fill_templates(
 def _fill_in_place(
     df: DataFrame, dictionaries: DataFrame, sizes: dict[str, int], draw: dr.Draw, key: str, max_slots: int
 ) -> DataFrame:
-    entries = broadcast_if_small(dictionaries.select("dict_name", "pos", "value"))
+    entries = F.broadcast(dictionaries)
     pairs = [F.lit(x) for item in sizes.items() for x in item]
     size_of = F.create_map(*pairs).cast("map<string,bigint>") if pairs else F.create_map().cast("map<string,bigint>")
     slots, row = range(max_slots), F.col(key)

@@ -420,6 +420,7 @@ _WL = {
       cos(radians(a.latitude_deg)) * cos(radians(b.latitude_deg)) * cos(radians(b.longitude_deg) - radians(a.longitude_deg))
       + sin(radians(a.latitude_deg)) * sin(radians(b.latitude_deg))))) AS d FROM airport a JOIN airport b ON b.name = 'Field 7' WHERE a.id <> b.id) ORDER BY d, id LIMIT 50""",
     "wl_s15": "SELECT a.ident, a.name, r.name AS region_name FROM airport a JOIN regions r ON a.iso_region = r.code WHERE r.name = 'NATION_3'",
+    "wl_s16": "SELECT r.name AS region_name, count(a.id) AS airport_count FROM airport a JOIN regions r ON a.iso_region = r.code WHERE a.iso_country = '4' GROUP BY r.name",
     "wl_s17": "SELECT name, 'airport' AS entity_type FROM airport WHERE keywords LIKE '%a%' UNION SELECT name, 'region' FROM regions WHERE keywords LIKE '%a%' UNION SELECT name, 'country' FROM countries WHERE keywords LIKE '%a%'",
     "wl_s18": "SELECT name, 'airport' AS entity_type FROM airport WHERE contains(keywords, 'k3') UNION SELECT name, 'region' FROM regions WHERE contains(keywords, 'nation_1') UNION SELECT name, 'country' FROM countries WHERE contains(keywords, 'asia')",
     "wl_s19": "SELECT a.name AS airport_name, a.ident AS airport_code, a.municipality, count(r.id) AS runway_count FROM airport a JOIN runways r ON a.id = r.airport_ref WHERE a.iso_country = '1' GROUP BY a.id, a.name, a.ident, a.municipality HAVING count(r.id) > 10",

@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from querysieve.operators import metrics as me
+from querysieve.session import scratch_path
 
 
 def scores(spark, rows):
@@ -63,3 +64,11 @@ def test_percent_format(spark):
 def test_label_conflicts(spark):
     df = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 0)], "id int, label int")
     assert [r["id"] for r in me.label_conflicts(df).collect()] == [1]
+
+
+def test_report_file_name_follows_the_run_mode(spark):
+    report = spark.createDataFrame([("m", "1.00%")], "model string, fone string")
+    root = scratch_path(spark, "reports")
+    path = me.write_report(report, root, gpu=True, on_user_inputs=True)
+    assert path == f"{root}/results-gpu-on-user-inputs.csv"
+    assert spark.read.option("header", True).csv(path).first()["fone"] == "1.00%"
