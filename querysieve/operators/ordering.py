@@ -15,10 +15,11 @@ def range_blocks(df: DataFrame, keys: Sequence[Column | str], blocks: int | None
     """Range-partition ``df`` on ``keys`` and record each row's block number as data.
 
     The numbered table is written once, so later passes agree on the block boundaries
-    even when executors are lost.
+    even when executors are lost. Without ``blocks``, AQE merges neighbouring ranges up to
+    its advisory size, so small tables make few blocks and large ones many.
     """
-    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialise(df.repartitionByRange(n, *keys).withColumn(BLOCK, F.spark_partition_id()), "ranges")
+    ranged = df.repartitionByRange(blocks, *keys) if blocks else df.repartitionByRange(*keys)
+    return materialise(ranged.withColumn(BLOCK, F.spark_partition_id()), "ranges")
 
 
 def running_sums(
@@ -54,22 +55,24 @@ def running_sums(
 
 
 def global_index(
-    df: DataFrame, order: Sequence[Column], name: str, groups: Sequence[str] = (), start: int = 0
+    df: DataFrame, order: Sequence[Column], name: str, groups: Sequence[str] = (), start: int = 0,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Dense row positions along a total order."""
-    ranked = running_sums(df, order, {name: F.lit(1).cast("bigint")}, groups)
+    ranked = running_sums(df, order, {name: F.lit(1).cast("bigint")}, groups, blocks)
     return ranked.withColumn(name, F.col(name) + F.lit(start - 1))
 
 
 def previous_row(
-    df: DataFrame, order: Sequence[Column], columns: dict[str, str], groups: Sequence[str] = ()
+    df: DataFrame, order: Sequence[Column], columns: dict[str, str], groups: Sequence[str] = (),
+    blocks: int | None = None,
 ) -> DataFrame:
     """``lag`` of ``columns`` (new name -> column) along ``order`` inside each group.
 
     Inside a block it is a window; a block's first row takes the last row of the closest
     earlier block of its group from a one-row-per-block table.
     """
-    held = range_blocks(df, [*[F.col(g) for g in groups], *order])
+    held = range_blocks(df, [*[F.col(g) for g in groups], *order], blocks)
     inside = Window.partitionBy(*groups, BLOCK).orderBy(*order)
     packed = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
     rows = held.withColumn("_row", packed).withColumns(
@@ -86,7 +89,8 @@ def previous_row(
 
 
 def exact_quantile(
-    df: DataFrame, value: str, q: float, groups: Sequence[str] = (), name: str = "quantile"
+    df: DataFrame, value: str, q: float, groups: Sequence[str] = (), name: str = "quantile",
+    blocks: int | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantile per group, exact at any cardinality.
 
@@ -94,7 +98,7 @@ def exact_quantile(
     rows around the target rank are kept.
     """
     counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
-    ranked = running_sums(counted, [F.col(value)], {"_upto": F.col("_n")}, groups)
+    ranked = running_sums(counted, [F.col(value)], {"_upto": F.col("_n")}, groups, blocks)
     totals = ranked.groupBy(*groups).agg(F.sum("_n").alias("_total"))
     if groups:
         ranked = ranked.join(totals, list(groups))

@@ -77,9 +77,9 @@ def above_average(airport: DataFrame, country: str, floor) -> DataFrame:
     )
 
 
-def runways_of(runways: DataFrame, airport: DataFrame, name: str) -> DataFrame:
+def runways_of(runways: DataFrame, airport: DataFrame, name: str, column: str = "name") -> DataFrame:
     """Runways of the one airport of that name; several such airports raise."""
-    owner = airport.where(F.col("name") == name).select("id")
+    owner = airport.where(F.col(column) == name).select("id")
     return runways.where(F.col("airport_ref") == owner.scalar()).select("id", "length_ft", "surface")
 
 

@@ -411,7 +411,7 @@ _WL = {
     "wl_s09": "SELECT name, municipality, iso_country FROM airport WHERE type IN ('BUILDING', 'MACHINERY') AND iso_country = '4'",
     "wl_s10": "SELECT id, name, municipality, iso_country FROM airport WHERE id IN (SELECT id FROM airport WHERE keywords LIKE 'building%') OR name LIKE 'Field 2%'",
     "wl_s11": "SELECT id, name, type, iso_country, municipality FROM airport WHERE elevation_ft > (SELECT avg(elevation_ft) FROM airport WHERE iso_country = '2') OR elevation_ft > 9000",
-    "wl_s12": "SELECT id, length_ft, surface FROM runways WHERE airport_ref = (SELECT id FROM airport WHERE name = 'Field 10' AND id < 997)",
+    "wl_s12": "SELECT id, length_ft, surface FROM runways WHERE airport_ref = (SELECT id FROM airport WHERE ident = 'Customer#000000010')",
     "wl_s13": """SELECT 'Airport Frequency' AS source_type, af.airport_ident AS code, a.name AS location_name, af.type AS frequency_type, round(af.frequency_mhz, 6) AS frequency,
       af.description, a.municipality, a.iso_country FROM airport_frequencies af JOIN airport a ON af.airport_ident = a.ident WHERE af.frequency_mhz BETWEEN 100 AND 150
       UNION ALL SELECT 'Navaid Frequency', n.ident, n.name, n.type, round(n.frequency_khz / 1000, 6), n.usageType, 'N/A', n.iso_country FROM navaids n

@@ -662,7 +662,7 @@ airports("wl_s09", "airport")(
 )
 airports("wl_s10", "airport")(lambda a: wl.keyword_or_name(a, "building%", "Field 2%"))
 airports("wl_s11", "airport")(lambda a: wl.above_average(a, "2", 9000))
-airports("wl_s12", "runways", "airport")(lambda r, a: wl.runways_of(r, a.where(F.col("id") < 997), "Field 10"))
+airports("wl_s12", "runways", "airport")(lambda r, a: wl.runways_of(r, a, "Customer#000000010", "ident"))
 airports("wl_s13", "airport_frequencies", "airport", "navaids")(
     lambda f, a, n: rounded(wl.frequency_search(f, a, n, (100.0, 150.0), (1.0, 5.0)), "frequency")
 )

@@ -62,9 +62,8 @@ def build_dictionaries(parts: list[DataFrame], schema_name: str) -> DataFrame:
 
 def write_dictionaries(df: DataFrame, root: str) -> None:
     """One folder per dictionary, lines in position order inside and across its files."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         df.select("dict_name", "pos", "value")
-        .repartitionByRange(n, "dict_name", "pos").sortWithinPartitions("dict_name", "pos")
+        .repartitionByRange("dict_name", "pos").sortWithinPartitions("dict_name", "pos")
         .select("dict_name", "value").write.partitionBy("dict_name").text(root)
     )

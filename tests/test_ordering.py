@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from querysieve.operators.ordering import exact_quantile, global_index, previous_row, running_sums
@@ -12,9 +13,10 @@ def frame(spark, n=500, seed=1):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_running_sums(spark):
+@pytest.mark.parametrize("blocks", [None, 1, 7])
+def test_running_sums(spark, blocks):
     pdf, df = frame(spark)
-    got = running_sums(df, [F.desc("v"), F.col("id")], {"s": F.col("v"), "n": F.lit(1)}, ["g"]).toPandas()
+    got = running_sums(df, [F.desc("v"), F.col("id")], {"s": F.col("v"), "n": F.lit(1)}, ["g"], blocks).toPandas()
     want = pdf.sort_values(["v", "id"], ascending=[False, True])
     want["s"], want["n"] = want.groupby("g")["v"].cumsum(), want.groupby("g").cumcount() + 1
     merged = got.merge(want, on="id", suffixes=("", "_w"))
@@ -23,14 +25,14 @@ def test_running_sums(spark):
 
 def test_global_index_is_dense(spark):
     pdf, df = frame(spark)
-    got = global_index(df, [F.col("v"), F.col("id")], "i").orderBy("i").toPandas()
+    got = global_index(df, [F.col("v"), F.col("id")], "i", blocks=7).orderBy("i").toPandas()
     assert got["i"].tolist() == list(range(len(pdf)))
     assert got["id"].tolist() == pdf.sort_values(["v", "id"])["id"].tolist()
 
 
 def test_previous_row(spark):
     pdf, df = frame(spark)
-    got = previous_row(df, [F.col("v"), F.col("id")], {"before": "id"}, ["g"]).toPandas().set_index("id")["before"]
+    got = previous_row(df, [F.col("v"), F.col("id")], {"before": "id"}, ["g"], blocks=9).toPandas().set_index("id")["before"]
     want = pdf.sort_values(["v", "id"])
     want["before"] = want.groupby("g")["id"].shift()
     want = want.set_index("id")["before"]
@@ -40,7 +42,7 @@ def test_previous_row(spark):
 def test_exact_quantile(spark):
     pdf, df = frame(spark)
     for q in (0.0, 0.37, 0.5, 0.999, 1.0):
-        got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", q, ["g"]).collect()}
+        got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", q, ["g"], blocks=6).collect()}
         for g, part in pdf.groupby("g"):
             assert abs(got[g] - np.percentile(part["v"], q * 100)) < 1e-9
     assert abs(exact_quantile(df, "v", 0.25).first()[0] - np.percentile(pdf["v"], 25)) < 1e-9
