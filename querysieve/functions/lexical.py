@@ -53,7 +53,7 @@ OTHER_DIGITS = (
 )
 WORD = "\\p{L}\\p{N}_"
 # ASCII characters leave each class after one or two cheap tests.
-DIGITS = f"[0-9]|(?![\\x00-\\x7F])[\\p{{Nd}}{OTHER_DIGITS}]"
+DIGITS = f"[0-9\\x{{80}}-\\x{{10FFFF}}&&[\\p{{Nd}}{OTHER_DIGITS}]]"
 UPPER = "[A-Z]|(?![\\x00-\\x7F])\\p{IsUppercase}"
 SPACE = "(?U)[\\s\\x1c-\\x1f]"
 SPECIAL = "(?U)[^\\p{L}\\p{N}\\s\\x1c-\\x1f/*+\\-\\[\\](){}]"
@@ -77,7 +77,8 @@ def _any(conds: list[Column]) -> Column:
 
 
 def has_word(lowered: Column, word: str) -> Column:
-    return lowered.contains(word) & lowered.rlike(f"(?<![{WORD}]){word}(?![{WORD}])")
+    # The literal comes first, so the engine can skip ahead to it.
+    return lowered.contains(word) & lowered.rlike(f"{word}(?<![{WORD}]{word})(?![{WORD}])")
 
 
 def occurrences(text: Column, piece: str) -> Column:
