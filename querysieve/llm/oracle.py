@@ -62,3 +62,31 @@ SELECT doc_id, size, source_size, target,
   ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM drawn
 """
+
+ORACLE["op1_warc_salvage"] = r"""
+WITH held AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages
+), first AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS f FROM held
+)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+  CASE WHEN f IS NULL OR f IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f IS DISTINCT FROM page_id THEN f END AS refers_to
+FROM first
+"""
+
+ORACLE["op5_chat_events"] = r"""
+WITH all_rows AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), escaped AS (
+  SELECT *, replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'),
+    '[INST]', '[\INST]'), '[/INST]', '[\/INST]') AS body FROM all_rows
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, md5(text))) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(body) + 20)::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""

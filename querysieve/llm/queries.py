@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from querysieve.llm import mixing, quality
+from querysieve.llm import chat, huffman, mixing, packing, quality, token_counts, warc
+from querysieve.session import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,6 +21,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_warc_salvage(spark, sf):
+    archives = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages").select("page_id", "url", "html"), archives)
+    found = warc.read_archives(spark, archives, payloads=False)
+    return found.where(F.col("kind") == "record").select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query
 def op3_quality_cascade(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
@@ -28,6 +39,45 @@ def op3_quality_cascade(spark, sf):
     )
 
 
+@query
+def op5_chat_events(spark, sf):
+    hard = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    written = materialise(chat.render(chat.fold(chat.as_events(rows))), "chat")
+    line = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return chat.read_back(written).select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.length("learned").cast("bigint").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op6_huffman_ids(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return huffman.round_trip(docs, vocabulary("byte_bpe_50k.json"), scratch_path(spark, "huffman"))
+
+
+@query
+def op7_token_counts(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, vocabulary("piece_bpe_32k.model"), scratch_path(spark, "token-cache"))
+
+
+@query
+def op8_best_two_fit(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, vocabulary("byte_bpe_50k.json")))
+
+
 @query
 def op9_source_mix(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source", "text")
