@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from querysieve.llm import chat, huffman, mixing, packing, quality, token_counts, warc
+from querysieve.llm import chat, huffman, mixing, near_vectors, packing, quality, token_counts, warc
 from querysieve.session import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def op1_warc_salvage(spark, sf):
     )
 
 
+@query
+def op2_vector_cells(spark, sf):
+    return near_vectors.near_duplicates(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
 @query
 def op3_quality_cascade(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
