@@ -66,14 +66,18 @@ def _usable() -> Column:
     return F.coalesce(fine & F.forall("v", number) & F.exists("v", lambda v: v != 0), F.lit(False))
 
 
-def _stars(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest row label (then column label) each row and column is connected with; -1 without a link."""
+def _stars(mask: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest label each row and column is connected with: rows come first, ``alone`` means both are the same."""
     n, m = mask.shape
     far = n + m
-    rows, cols = np.arange(n), n + np.arange(m)
+    rows = np.arange(n)
+    cols = rows if alone else n + np.arange(m)
     while True:
         cols_new = np.minimum(cols, np.where(mask, rows[:, None], far).min(axis=0, initial=far))
-        rows_new = np.minimum(rows, np.where(mask, cols_new[None], far).min(axis=1, initial=far))
+        before = cols_new if alone else rows
+        rows_new = np.minimum(before, np.where(mask, cols_new[None], far).min(axis=1, initial=far))
+        if alone:
+            cols_new = rows_new
         if (rows_new == rows).all() and (cols_new == cols).all():
             return rows, cols
         rows, cols = rows_new, cols_new
@@ -91,7 +95,7 @@ def compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
     if alone:
         np.fill_diagonal(mask, False)
     a, b = left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)
-    rows, cols = _stars(mask)
+    rows, cols = _stars(mask, alone)
     names = np.concatenate([a, b])
     out = [(a, mask @ right["weight"].to_numpy(np.int64), names[rows])]
     if not alone:
