@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from querysieve.llm import chat, huffman, mixing, near_vectors, packing, quality, token_counts, warc
+from querysieve.llm import chat, huffman, mixing, near_vectors, ngram_join, packing, quality, token_counts, warc
 from querysieve.session import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op9_source_mix(spark, sf):
     return mixing.copies(mixing.sizes(docs)).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+@query
+def op10_prefix_tree_join(spark, sf):
+    return ngram_join.jaccard_groups(table(spark, sf, "documents").select("doc_id", "text"))
