@@ -305,7 +305,9 @@ def jaccard_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, block: i
 
     found = components(links, "a", "b").withColumnsRenamed({"node": "doc_id"})
     coloured = entries.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    coloured = materialise(coloured.select("shingle", "doc_id", "component"), "coloured")
+    # Pairs with a list's smallest document are settled, so the lists go on without it.
+    rest = coloured.join(heads.select("shingle", F.col("head.doc_id").alias("_head")), "shingle")
+    coloured = materialise(rest.where(F.col("doc_id") != F.col("_head")).select("shingle", "doc_id", "component"), "coloured")
     mixed = coloured.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = mixed.where(F.col("lo") != F.col("hi")).select("shingle")
     open_lists = materialise(coloured.join(mixed, "shingle", "left_semi"), "lists")

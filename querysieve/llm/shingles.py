@@ -15,10 +15,10 @@ _MIX = [np.uint64(m) for m in (
 
 
 class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = self[word] = xxhash.xxh3_64_digest(word)
         return value
 
 
@@ -36,12 +36,13 @@ def shingle_set(text: bytes | None, n: int = 5) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < n:
         return np.array([xxhash.xxh3_64_intdigest(b"\0".join(words), seed=len(words))], np.uint64)
-    each = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    each = np.frombuffer(b"".join(map(_words.__getitem__, words)), np.uint64)
     held = np.zeros(len(words) - n + 1, np.uint64)
     for k in range(n):
         held = (held ^ each[k:k + len(held)]) * _MIX[k % len(_MIX)]
         held ^= held >> np.uint64(29)
-    return np.unique(held)
+    held.sort()
+    return held[np.concatenate([[True], held[1:] != held[:-1]])]
 
 
 def sets_of(batch: pa.RecordBatch, text: int, n: int = 5) -> Iterator[np.ndarray]:
