@@ -10,7 +10,7 @@ shingles of each set, so lists of documents by prefix shingle hold every such pa
    near copies end here, without pairs among themselves.
 3. Lists that still hold several components are stored as a prefix tree: ordered prefixes, sorted, each path
    sharing the partial overlap of the one before. Documents traverse it; subtrees are left as soon as the shingles
-   missed on either side exceed what the sizes allow. Long lists are cut into blocks that meet pairwise.
+   missed exceed what the sizes allow. Long lists are cut into blocks that meet pairwise.
 4. Surviving pairs of different components are compared by their whole sets.
 
 Shingles are compared by 64-bit hashes. Defined results: null texts and texts without words have the empty set and
@@ -63,6 +63,26 @@ class Order:
             keys[late] = self.rank[at[late]] | self.LATE
         return np.sort(keys)[:length]
 
+    def short_prefix(self, held: np.ndarray) -> np.ndarray:
+        """The prefix in 32 bits: the order stays, some different keys become equal."""
+        keys = self.prefix(held)
+        late = keys >= self.LATE
+        short = (keys >> np.uint64(32)).astype(np.uint32)
+        short[late] = (keys[late] & np.uint64(0x7FFFFFFF)).astype(np.uint32) | np.uint32(1 << 31)
+        return short
+
+
+def common(one: int, two: int, percent: int) -> int:
+    """Shingles that sets of these sizes share if they link."""
+    return -(-percent * (one + two) // (100 + percent))
+
+
+def plausible(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, percent: int) -> bool:
+    """False if prefixes alone show that the sets miss too many of each other's shingles."""
+    both = common(n_a, n_b, percent)
+    misses = lambda x, y: int(np.count_nonzero((x <= y[-1]) & ~np.isin(x, y)))
+    return misses(a, b) <= n_a - both and misses(b, a) <= n_b - both
+
 
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
@@ -123,42 +143,59 @@ def _prefixes(docs: DataFrame, order, n: int) -> DataFrame:
     return docs.mapInArrow(emit, "shingle bigint, doc_id bigint, n bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets meet the threshold."""
+def _meet(pairs: DataFrame, docs: DataFrame, build, fits, n: int, name: str) -> DataFrame:
+    """The pairs (a, b) for which ``fits`` holds on what ``build`` makes of the two sets."""
 
-    def build(batches):
+    def make(batches):
         for batch in batches:
-            held = [values.tobytes() for values in sets_of(batch, 1, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["id", "held"])
+            sets = list(sets_of(batch, 1, n))
+            held, sizes = [build(v).tobytes() for v in sets], [len(v) for v in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], names=["id", "n", "held"]
+            )
 
     def check(batches):
         for batch in batches:
-            fits = []
-            for one, two in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                fits.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            fits = pa.array(fits, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(fits), batch.column(1).filter(fits)], names=["a", "b"])
-
-    pairs = materialise(pairs, "pairs")
+            sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            good = [fits(x.as_buffer(), y.as_buffer(), *k) for x, y, k in zip(batch.column(4), batch.column(5), sizes)]
+            good = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
     asked = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), max_rows=SIDE_ROWS)
-    sets = docs.join(asked, "doc_id", "left_semi").mapInArrow(build, "id bigint, held binary")
-    sets = materialise(sets, "sets")
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("held").alias("one")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("held").alias("two")), "b")
-    return materialise(both.select("a", "b", "one", "two").mapInArrow(check, "a bigint, b bigint"), "links")
+    made = docs.join(asked, "doc_id", "left_semi").mapInArrow(make, "id bigint, n bigint, held binary")
+    made = materialise(made, name)
+    side = lambda end: made.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("held").alias(f"held_{end}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "held_a", "held_b")
+    return materialise(both.mapInArrow(check, "a bigint, b bigint").distinct(), "links")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets meet the threshold."""
+
+    def fits(x, y, n_a, n_b):
+        shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+        return 100 * shared >= percent * (n_a + n_b - shared)
+
+    return _meet(materialise(pairs, "pairs"), docs, lambda values: values, fits, n, "sets")
+
+
+def _plausible(pairs: DataFrame, docs: DataFrame, order, n: int, percent: int) -> DataFrame:
+    """The pairs without those that their prefixes rule out; a tenth of the sets is moved for it."""
+
+    def fits(x, y, n_a, n_b):
+        return plausible(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), n_a, n_b, percent)
+
+    return _meet(materialise(pairs, "pairs"), docs, lambda v: order.value.short_prefix(v), fits, n, "prefixes")
 
 
 def traverse(docs: list[tuple], others: list[tuple] | None, percent: int):
-    """Pairs of different components that may meet the threshold and share no key before the list's one.
+    """Pairs of different components that may meet the threshold if the list's key is their first common one.
 
-    A document is ``(id, size, component, place, prefix)``: the list's key stands at ``place`` of its sorted
-    prefix. The tree holds what follows. ``others`` None: pairs among ``docs``.
+    A document is ``(id, size, component, place, rest)``: the list's key stands at ``place`` of its ordered
+    prefix and ``rest`` follows; the rests are the tree. ``others`` None: pairs among ``docs``. A pair that shares
+    an earlier key is found in that key's list at the latest.
     """
-    tree = []
-    for doc, size, component, place, prefix in docs if others is None else others:
-        tree.append((prefix[place + 1:], doc, size, component, place, set(prefix[:place])))
+    tree = [(rest, doc, size, component, place) for doc, size, component, place, rest in (docs if others is None else others)]
     tree.sort(key=lambda entry: entry[0])
     shared = [0] * len(tree)
     for k in range(1, len(tree)):
@@ -168,13 +205,12 @@ def traverse(docs: list[tuple], others: list[tuple] | None, percent: int):
             depth += 1
         shared[k] = depth
     largest = max((entry[2] for entry in tree), default=0)
-    common = lambda one, two: -(-percent * (one + two) // (100 + percent))
-    for doc, size, component, place, prefix in docs:
-        before, after, last = set(prefix[:place]), set(prefix[place + 1:]), prefix[-1]
-        most_misses = largest - common(size, largest)
+    for doc, size, component, place, own in docs:
+        after, last = set(own), own[-1] if own else -1
+        most_misses = largest - common(size, largest, percent)
         missed: list[int] = []  # misses up to each depth of the path that is counted so far
         left = None  # the depth at which the last subtree was left
-        for (rest, other, other_size, other_component, other_place, other_before), depth in zip(tree, shared):
+        for (rest, other, other_size, other_component, other_place), depth in zip(tree, shared):
             if left is not None:
                 if depth >= left:
                     continue
@@ -182,8 +218,8 @@ def traverse(docs: list[tuple], others: list[tuple] | None, percent: int):
             del missed[depth:]
             if other_component == component or (others is None and other <= doc):
                 continue
-            both = common(size, other_size)
-            if min(size, other_size) < both or place > size - both or not before.isdisjoint(other_before):
+            both = common(size, other_size, percent)
+            if min(size, other_size) < both or place > size - both:
                 continue
             allowed = other_size - both - other_place
             misses = missed[-1] if missed else 0
@@ -205,17 +241,17 @@ def _tree_pairs(entries: DataFrame, docs: DataFrame, order, n: int, percent: int
     asked = entries.groupBy("doc_id", "component").agg(F.collect_set("shingle").alias("wanted"))
 
     def lay(batches):
-        names = ["shingle", "doc_id", "n", "component", "place", "prefix"]
+        names = ["shingle", "doc_id", "n", "component", "place", "rest"]
         for batch in batches:
             rows = []
             for doc, component, wanted, values in zip(
                 batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), sets_of(batch, 1, n)
             ):
-                prefix = order.value.prefix(values)
+                prefix, short = order.value.prefix(values), order.value.short_prefix(values)
                 wanted = wanted.values.to_numpy(zero_copy_only=False).view(np.uint64)
                 for key in wanted[np.isin(wanted, prefix)]:
                     place = int(np.searchsorted(prefix, key))
-                    rows.append((int(key.view(np.int64)), doc, len(values), component, place, prefix.tobytes()))
+                    rows.append((int(key.view(np.int64)), doc, len(values), component, place, short[place + 1:].tobytes()))
                     if len(rows) >= 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
                         rows = []
@@ -223,7 +259,7 @@ def _tree_pairs(entries: DataFrame, docs: DataFrame, order, n: int, percent: int
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
     laid = docs.join(asked, "doc_id").select("doc_id", "text", "component", "wanted").mapInArrow(
-        lay, "shingle bigint, doc_id bigint, n bigint, component bigint, place bigint, prefix binary"
+        lay, "shingle bigint, doc_id bigint, n bigint, component bigint, place bigint, rest binary"
     )
     long = broadcast_if_small(
         entries.groupBy("shingle").agg(F.ceil(F.count("*") / block).alias("blocks")).where(F.col("blocks") > 1)
@@ -239,7 +275,7 @@ def _tree_pairs(entries: DataFrame, docs: DataFrame, order, n: int, percent: int
         F.transform(upto(F.lit(0), m - 1), lambda i: task(i, m, 1)),
     )
     dealt = dealt.withColumn("mine", mine).withColumn("t", F.explode(tasks)).select(
-        "shingle", "t.i", "t.j", "t.side", "doc_id", "n", "component", "place", "prefix"
+        "shingle", "t.i", "t.j", "t.side", "doc_id", "n", "component", "place", "rest"
     )
     ordered = dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
 
@@ -253,12 +289,12 @@ def _tree_pairs(entries: DataFrame, docs: DataFrame, order, n: int, percent: int
         key, group, found = None, [], []
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in range(9)]
-            for shingle, i, j, side, doc, size, component, place, prefix in zip(*columns):
+            for shingle, i, j, side, doc, size, component, place, rest in zip(*columns):
                 if (shingle, i, j) != key:
                     if len(group) > 1:
                         found.extend(pairs(key, group))
                     key, group = (shingle, i, j), []
-                group.append((side, doc, size, component, place, np.frombuffer(prefix, np.uint64).tolist()))
+                group.append((side, doc, size, component, place, np.frombuffer(rest, np.uint32).tolist()))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
                 found = []
@@ -301,7 +337,7 @@ def jaccard_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, block: i
     fits = F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent
     stars = entries.join(heads, "shingle").where((F.col("doc_id") != F.col("head.doc_id")) & fits)
     stars = stars.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verified(stars, searched, n, percent)
+    links = _verified(_plausible(stars, searched, order, n, percent), searched, n, percent)
 
     found = components(links, "a", "b").withColumnsRenamed({"node": "doc_id"})
     coloured = entries.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
