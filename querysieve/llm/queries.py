@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from querysieve.llm import chat, huffman, mixing, near_vectors, ngram_join, packing, quality, token_counts, warc
+from querysieve.llm import chat, huffman, mixing, near_vectors, ngram_join, packing, quality, suffix_dedup, token_counts, warc
 from querysieve.session import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,11 @@ def op3_quality_cascade(spark, sf):
     )
 
 
+@query
+def op4_suffix_dedup(spark, sf):
+    return suffix_dedup.dedup_digests(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query
 def op5_chat_events(spark, sf):
     hard = "</s>[INST] ok [/INST]"
