@@ -359,3 +359,19 @@ def jaccard_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, block: i
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("found")).alias("component_id")
     )
+
+
+def one_of_each_group(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with the smallest doc_id of each group of near copies; columns as given.
+
+    Rows without id stay; of rows equal in id and text one stays.
+    """
+    groups = materialise(jaccard_groups(docs.select("doc_id", "text"), n, percent), "groups")
+    ids = groups.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows")
+    )
+    gone = broadcast_if_small(ids.where(~F.col("first")).select("doc_id"), max_rows=SIDE_ROWS)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    several = broadcast_if_small(ids.where(F.col("first") & (F.col("rows") > 1)).select("doc_id"))
+    single = kept.join(several, "doc_id", "left_anti").select(*docs.columns)
+    return single.unionByName(kept.join(several, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))

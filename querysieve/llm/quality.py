@@ -161,3 +161,10 @@ def cascade(
         .withColumns({"base_failed": base_failed(), "rejected_by": verdict(rules)})
         .withColumn("kept", F.col("rejected_by").isNull())
     )
+
+
+def keep_good(docs: DataFrame, text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
+    """``docs`` without the rejected rows; columns as given."""
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_judged"))
+    judged = cascade(held, "_judged", default_rules("_judged") if rules is None else rules)
+    return judged.where("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

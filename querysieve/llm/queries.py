@@ -99,3 +99,12 @@ def op9_source_mix(spark, sf):
 @query
 def op10_prefix_tree_join(spark, sf):
     return ngram_join.jaccard_groups(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+def _pipeline(spark, sf):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
+QUERIES["pipeline"] = _pipeline

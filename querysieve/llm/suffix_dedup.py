@@ -113,12 +113,18 @@ def anchors(text: bytes):
     return own, (core >> np.uint64(1)).astype(np.int64), span.view(np.int64), first, last
 
 
-def keep_bytes(text: bytes, lows: np.ndarray, highs: np.ndarray) -> tuple[bytes, int]:
-    """What is left without the strings that start in the given ranges, and the number of removed runs."""
+def keep_bytes(text: bytes, lows: np.ndarray, highs: np.ndarray, characters: bool = False) -> tuple[bytes, int]:
+    """What is left without the strings that start in the given ranges, and the number of removed runs.
+
+    ``characters``: a character that loses a byte goes whole, so UTF-8 stays UTF-8.
+    """
     change = np.zeros(len(text) + 1, np.int32)
     np.add.at(change, lows, 1)
     np.add.at(change, np.minimum(highs + LENGTH, len(text)), -1)
     gone = np.cumsum(change[:-1]) > 0
+    if characters and len(text):
+        place = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+        gone = (np.bincount(place, gone) > 0)[place]
     runs = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), runs
 
@@ -221,12 +227,15 @@ def repeated_ranges(texts: DataFrame, copied: DataFrame, base: int = BASE) -> Da
     )
 
 
-def cut_repeats(docs: DataFrame, base: int = BASE, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def cut_repeats(
+    docs: DataFrame, base: int = BASE, columns: tuple[str, ...] = ("doc_id",), characters: bool = False
+) -> DataFrame:
     """``columns, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every document."""
     ship(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(*columns, text.alias("text"), F.unhex(F.md5(text)).alias("key"))
-    long = keyed.where(F.octet_length("text") >= LENGTH)
+    narrow = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("key"))
+    long = narrow.where(F.octet_length("text") >= LENGTH)
     ids = materialise(long.select("doc_id", "key"), "keys")
     firsts = ids.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("many"))
     copied = materialise(firsts.where(F.col("many") > 1), "copied")
@@ -259,7 +268,7 @@ def cut_repeats(docs: DataFrame, base: int = BASE, columns: tuple[str, ...] = ("
                     rest, runs = b"", 1
                 else:
                     low, high = (np.array([r[c] for r in held], np.int64) for c in ("first", "last"))
-                    rest, runs = keep_bytes(value, low, high)
+                    rest, runs = keep_bytes(value, low, high, characters)
                 sizes.append(len(value))
                 gone.append(len(value) - len(rest))
                 spans.append(runs)
@@ -275,3 +284,12 @@ def cut_repeats(docs: DataFrame, base: int = BASE, columns: tuple[str, ...] = ("
 
 def dedup_digests(docs: DataFrame, base: int = BASE) -> DataFrame:
     return cut_repeats(docs, base).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, base: int = BASE) -> DataFrame:
+    """``docs`` with its texts cut (whole characters), columns as given; ``n_chars`` follows the text where present."""
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row")
+    cut = cut_repeats(docs.select(rest, "doc_id", "text"), base, ("_row",), characters=True)
+    text = F.col("kept").cast("string")
+    made = {"text": text} | ({"n_chars": F.length(text).cast("bigint")} if "n_chars" in docs.columns else {})
+    return cut.select(*[made.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
