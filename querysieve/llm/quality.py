@@ -167,4 +167,6 @@ def keep_good(docs: DataFrame, text: str = "text", rules: list[Rule] | None = No
     """``docs`` without the rejected rows; columns as given."""
     held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_judged"))
     judged = cascade(held, "_judged", default_rules("_judged") if rules is None else rules)
-    return judged.where("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    # A row number keeps the filter above the measures; pushed below, it would repeat them in every rule.
+    numbered = judged.select("_row", "kept", F.monotonically_increasing_id().alias("_at"))
+    return numbered.where(F.col("kept") & (F.col("_at") >= 0)).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
