@@ -1,101 +1,82 @@
 """Suffix ranks of many integer strings by a distributed difference-cover sort.
 
 Suffixes at places 1 and 2 modulo 3 are the sample. Their triples are sorted and named; the names of a string's
-two residues are two strings a third as long, ranked by recursion unless all names differ. The remaining suffixes are
-merged by counting: (symbol, rank of the next) orders residues 0 and 1, (two symbols, rank after them) residues 0
-and 2. Each step sorts distinct keys with their counts, so a key that repeats a billion times is one row.
+two residues are two strings a third as long, ranked by recursion. The remaining suffixes are merged by counting:
+(symbol, rank of the next) orders residues 0 and 1, (two symbols, rank after them) residues 0 and 2. Each
+step sorts distinct keys with their counts, so a key that repeats a billion times is one row.
 
-The recursion ends in one task at ``BASE`` symbols, a constant. Ranks count the strictly smaller suffixes; equal
-suffixes share a rank, and the end of a string sorts before every symbol (symbols are not negative).
+``depth`` bounds the comparison: suffixes that agree in so many symbols may share a rank or stand in any order.
+The recursion ends where a triple reaches that far. Ranks count strictly smaller suffixes; the end of a string sorts
+before every symbol (symbols are not negative).
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from querysieve.operators.ordering import running_sums
-from querysieve.session import materialise
+from querysieve.session import materialise, ship
 
-BASE = 1_000_000
 
+def smaller(counted: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """``keys`` and, for each count column, its sum over all smaller keys; keys are distinct.
 
-def ranks_of(ids: np.ndarray, places: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """Ranks by doubling, for rows sorted by (string, place)."""
-    n = len(symbols)
-    if not n:
-        return np.zeros(0, np.int64)
-    stop = np.append(np.flatnonzero(ids[1:] != ids[:-1]) + 1, n)
-    left = np.repeat(stop, np.diff(np.concatenate([[0], stop]))) - np.arange(n)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    width, longest = 1, int(left.max())
-    while width < longest:
-        ahead = np.full(n, -1, np.int64)
-        inside = np.flatnonzero(left > width)
-        ahead[inside] = rank[inside + width]
-        pair = rank * (n + 1) + ahead + 1
-        new = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        width *= 2
-        if new.max() == rank.max():
-            break
-        rank = new
-    count = np.bincount(rank)
-    return (np.cumsum(count) - count)[rank]
+    Sorted ranges sum on their own; one row per range carries the sums of earlier ranges.
+    """
+    ordered = counted.select(*keys, *names).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    n_keys, columns = len(keys), [*keys, *names, "_range", *(f"_all_{n}" for n in names)]
 
+    def add(batches):
+        block, total = TaskContext.get().partitionId(), np.zeros(len(names), np.int64)
+        for batch in batches:
+            counts = np.stack([c.to_numpy() for c in batch.columns[n_keys:]]) if batch.num_rows else np.zeros((len(names), 0))
+            upto = np.cumsum(counts, axis=1).astype(np.int64) + total[:, None]
+            before = upto - counts.astype(np.int64)
+            total = upto[:, -1] if batch.num_rows else total
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:n_keys], *map(pa.array, before), pa.array(np.full(batch.num_rows, block, np.int64)),
+                 *map(pa.array, upto)], names=columns,
+            )
 
-def _in_one_task(strings: DataFrame) -> DataFrame:
-    def rank(frames):
-        held = pd.concat(list(frames) or [pd.DataFrame({"n": [], "i": [], "s": []}, dtype="int64")])
-        held = held.sort_values(["n", "i"], kind="stable")
-        n, i, s = (held[c].to_numpy(np.int64) for c in ("n", "i", "s"))
-        yield pd.DataFrame({"n": n, "i": i, "rank": ranks_of(n, i, s)})
-
-    numbered = materialise(strings.select("sid").distinct().withColumn("n", F.monotonically_increasing_id()), "strings")
-    rows = strings.join(numbered, "sid").select("n", "i", "s").coalesce(1)
-    return rows.mapInPandas(rank, "n bigint, i bigint, rank bigint").join(numbered, "n").select("sid", "i", "rank")
-
-
-def _smaller(rows: DataFrame, keys: list[str], residues: tuple[int, int], names: tuple[str, str]) -> DataFrame:
-    """Per distinct key how many rows of either residue have smaller keys."""
-    counted = rows.where(F.col("m").isin(*residues)).groupBy(*keys).agg(
-        *[F.count_if(F.col("m") == r).alias(name) for r, name in zip(residues, names)]
+    ship(counted.sparkSession)
+    held = materialise(ordered.mapInArrow(add, ", ".join(f"{c} bigint" for c in columns)), "sums")
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = held.groupBy("_range").agg(*[F.max(f"_all_{n}").alias(f"_all_{n}") for n in names]).select(
+        "_range", *[F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_off_{n}") for n in names]
     )
-    upto = running_sums(counted, [F.col(k) for k in keys], {f"_{n}": F.col(n) for n in names})
-    return upto.select(*keys, *[(F.col(f"_{n}") - F.col(n)).alias(n) for n in names])
+    return held.join(F.broadcast(ranges), "_range").select(*keys, *[(F.col(n) + F.col(f"_off_{n}")).alias(n) for n in names])
 
 
-def suffix_ranks(strings: DataFrame, base: int = BASE) -> DataFrame:
-    """``sid, i, rank`` for strings given as rows ``sid, i, s`` with places from 0 on."""
-    strings = materialise(strings.select("sid", F.col("i").cast("bigint"), F.col("s").cast("bigint")), "symbols")
-    if strings.count() <= base:
-        return _in_one_task(strings)
+def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
+    """``sid, i, rank`` for strings given as rows ``sid, i, s`` (bigint) with places from 0 on."""
     along = Window.partitionBy("sid").orderBy("i")
     follow = lambda c, by: F.coalesce(F.lead(c, by).over(along), F.lit(-1).cast("bigint"))
-    triples = strings.withColumns({"t1": follow("s", 1), "t2": follow("s", 2), "m": (F.col("i") % 3).cast("int")})
-    sample = materialise(triples.where(F.col("m") != 0), "sample")
-    distinct = sample.groupBy("s", "t1", "t2").agg(F.count("*").alias("many"))
-    order = [F.col(c) for c in ("s", "t1", "t2")]
-    named = running_sums(distinct, order, {"name": F.lit(1).cast("bigint"), "upto": F.col("many")})
-    named = materialise(named, "names")
-    if named.agg(F.max("many")).first()[0] == 1:
-        ranked = sample.join(named, ["s", "t1", "t2"]).select("sid", "i", (F.col("name") - 1).alias("r"))
-    else:
-        shorter = sample.join(named, ["s", "t1", "t2"]).select(
-            F.struct("sid", "m").alias("sid"), F.floor(F.col("i") / 3).cast("bigint").alias("i"), F.col("name").alias("s")
-        )
-        below = suffix_ranks(shorter, base)
-        ranked = below.select(
-            F.col("sid.sid").alias("sid"), (F.col("i") * 3 + F.col("sid.m")).alias("i"), F.col("rank").alias("r")
-        )
-    whole = triples.join(ranked, ["sid", "i"], "left")
-    whole = materialise(whole.withColumns({"r1": follow("r", 1), "r2": follow("r", 2)}), "merged")
-    first = _smaller(whole, ["s", "r1"], (0, 1), ("a0", "a1"))
-    second = _smaller(whole, ["s", "t1", "r2"], (0, 2), ("b0", "b2"))
-    both = whole.join(first, ["s", "r1"], "left").join(second, ["s", "t1", "r2"], "left")
+    triples = strings.select("sid", "i", "s").withColumns({"t1": follow("s", 1), "t2": follow("s", 2)})
+    triples = materialise(triples.withColumn("m", (F.col("i") % 3).cast("int")), "triples")
+    key = ["s", "t1", "t2"]
+    sample = triples if depth <= 3 else triples.where(F.col("m") != 0)
+    names = smaller(sample.groupBy(*key).agg(F.count("*").alias("name")), key, ["name"])
+    named = sample.join(names, key)
+    if depth <= 3:
+        return named.select("sid", "i", F.col("name").alias("rank"))
+    shorter = named.select(
+        (F.col("sid") * 2 + F.col("m") - 1).alias("sid"), F.floor(F.col("i") / 3).cast("bigint").alias("i"), F.col("name").alias("s")
+    )
+    ranked = suffix_ranks(shorter, -(-depth // 3)).select(
+        F.shiftright("sid", 1).alias("sid"), (F.col("i") * 3 + 1 + F.pmod("sid", F.lit(2))).alias("i"), F.col("rank").alias("r")
+    )
+    whole = triples.join(ranked, ["sid", "i"], "left").withColumns({"r1": follow("r", 1), "r2": follow("r", 2)})
+    whole = materialise(whole, "merged")
+    count = lambda residue, name: F.count_if(F.col("m") == residue).alias(name)
+    first, second = ["s", "r1"], ["s", "t1", "r2"]
+    a = smaller(whole.where(F.col("m") != 2).groupBy(*first).agg(count(0, "a0"), count(1, "a1")), first, ["a0", "a1"])
+    b = smaller(whole.where(F.col("m") != 1).groupBy(*second).agg(count(0, "b0"), count(2, "b2")), second, ["b0", "b2"])
+    both = whole.join(a, first, "left").join(b, second, "left")
     rank = (
         F.when(F.col("m") == 0, F.col("a0") + F.col("a1") + F.col("b2"))
         .when(F.col("m") == 1, F.col("r") + F.col("a0"))
         .otherwise(F.col("r") + F.col("b0"))
     )
-    return materialise(both.select("sid", "i", rank.alias("rank")), "ranks")
+    return both.select("sid", "i", rank.alias("rank"))

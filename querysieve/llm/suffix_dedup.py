@@ -28,11 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from querysieve.llm.difference_cover import BASE, suffix_ranks
-from querysieve.operators.ordering import previous_row
+from querysieve.llm.difference_cover import suffix_ranks
 from querysieve.session import broadcast_if_small, materialise, ship
 
 LENGTH, W, K = 200, 60, 16
+# Anchors to compare: LENGTH bytes hold about LENGTH / 30. Adjacent suffixes further apart meet in step 3.
+DEPTH = 9
 SIDE_ROWS, SIDE_BYTES = 3_000_000, 256 * 1024 * 1024
 _ODD = 0x9E3779B97F4A7C15
 _C1, _C2, _C3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -180,7 +181,7 @@ def _start_hashes(asked: DataFrame) -> DataFrame:
     return asked.mapInArrow(emit, "key binary, start bigint, string bigint, settled boolean")
 
 
-def repeated_ranges(texts: DataFrame, copied: DataFrame, base: int = BASE) -> DataFrame:
+def repeated_ranges(texts: DataFrame, copied: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``key, first, last``: ranges of starts whose strings repeat, for distinct texts (key, text).
 
     ``copied`` lists the keys of texts with equal copies: all of their starts repeat and are not listed.
@@ -189,19 +190,19 @@ def repeated_ranges(texts: DataFrame, copied: DataFrame, base: int = BASE) -> Da
     side = broadcast_if_small(cores, SIDE_ROWS, SIDE_BYTES)
     found = materialise(_anchor_rows(texts).join(side, "core", "left_semi"), "anchors")
 
-    # Strings: candidates whose ordinals follow each other.
+    # Strings: candidates whose ordinals follow each other, numbered in the order of their places.
     along = Window.partitionBy("key").orderBy("ordinal")
-    new = (F.col("ordinal") - F.coalesce(F.lag("ordinal").over(along), F.lit(-2)) > 1).cast("bigint")
-    runs = found.withColumn("_new", new).withColumn("run", F.sum("_new").over(along))
-    inside = Window.partitionBy("key", "run").orderBy("ordinal")
-    strings = materialise(
-        runs.select(F.struct("key", "run").alias("sid"), (F.row_number().over(inside) - 1).alias("i"), "core", "span"), "runs"
-    )
-    ranked = suffix_ranks(strings.select("sid", "i", F.col("core").alias("s")), base)
-    placed = strings.select("sid", "i", "span").join(ranked, ["sid", "i"]).select("rank", "span", "sid", "i")
-    order = [F.col(c) for c in ("rank", "span", "sid", "i")]
-    beside = previous_row(placed, order, {"_before": "span"})
-    settled_spans = beside.where(F.col("span") == F.col("_before")).select("span").distinct()
+    follows = F.col("ordinal") - F.lag("ordinal").over(along) == 1
+    at = F.monotonically_increasing_id()
+    places = found.withColumn("_new", ~F.coalesce(follows, F.lit(False))).select("key", "ordinal", "core", "span", "_new", at.alias("at"))
+    begun = F.max(F.when(F.col("_new"), F.col("at"))).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    strings = materialise(places.select(begun.alias("sid"), "at", "core", "span"), "runs")
+    strings = strings.select("sid", (F.col("at") - F.col("sid")).alias("i"), F.col("core").alias("s"), "span")
+    ranked = suffix_ranks(strings, depth)
+    # Adjacent suffixes of one rank and span are equal in all bytes that matter here.
+    placed = strings.select("sid", "i", "span").join(ranked, ["sid", "i"])
+    beside = placed.groupBy("rank", "span").agg(F.count("*").alias("c"))
+    settled_spans = beside.where(F.col("c") > 1).select("span").distinct()
     settled_spans = materialise(settled_spans, "spans").withColumn("settled", F.lit(True))
 
     marked = found.join(settled_spans, "span", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
@@ -228,7 +229,7 @@ def repeated_ranges(texts: DataFrame, copied: DataFrame, base: int = BASE) -> Da
 
 
 def cut_repeats(
-    docs: DataFrame, base: int = BASE, columns: tuple[str, ...] = ("doc_id",), characters: bool = False
+    docs: DataFrame, depth: int = DEPTH, columns: tuple[str, ...] = ("doc_id",), characters: bool = False
 ) -> DataFrame:
     """``columns, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every document."""
     ship(docs.sparkSession)
@@ -244,7 +245,7 @@ def cut_repeats(
     skip = broadcast_if_small(later, SIDE_ROWS, SIDE_BYTES)
     texts = long.join(skip, ["key", "doc_id"], "left_anti").select("key", "text")
 
-    ranges = repeated_ranges(texts, copied.select("key"), base)
+    ranges = repeated_ranges(texts, copied.select("key"), depth)
     marks = ranges.join(copied.select("key"), "key", "left_anti").groupBy("key").agg(
         F.collect_list(F.struct("first", "last")).alias("ranges")
     )
@@ -282,14 +283,14 @@ def cut_repeats(
     return clean.unionByName(cut.mapInArrow(remove, clean.schema))
 
 
-def dedup_digests(docs: DataFrame, base: int = BASE) -> DataFrame:
-    return cut_repeats(docs, base).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+def dedup_digests(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    return cut_repeats(docs, depth).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def without_repeats(docs: DataFrame, base: int = BASE) -> DataFrame:
+def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``docs`` with its texts cut (whole characters), columns as given; ``n_chars`` follows the text where present."""
     rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"]).alias("_row")
-    cut = cut_repeats(docs.select(rest, "doc_id", "text"), base, ("_row",), characters=True)
+    cut = cut_repeats(docs.select(rest, "doc_id", "text"), depth, ("_row",), characters=True)
     text = F.col("kept").cast("string")
     made = {"text": text} | ({"n_chars": F.length(text).cast("bigint")} if "n_chars" in docs.columns else {})
     return cut.select(*[made.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
