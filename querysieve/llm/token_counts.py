@@ -67,7 +67,9 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
     stored = read_cache(spark, cache, tokenizer)
     known = stored.select("content", F.lit(None).cast("bigint").alias("_first"))
     # Rows not to encode: contents with a stored count, and later copies of a content.
-    copies = narrow.join(firsts, "content").where(F.col("doc_id") > F.col("_first")).select("content", "doc_id")
+    copies = narrow.join(firsts, "content").where(
+        F.col("_first").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("_first")))
+    ).select("content", "doc_id")
     hits = narrow.join(known.select("content"), "content", "left_semi").select("content", "doc_id")
     skip = broadcast_if_small(copies.union(hits).distinct(), max_rows=500_000)
     misses = keyed.join(
@@ -85,7 +87,8 @@ def count_tokens(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
                     [batch.column(0).slice(at, len(part)), named, counted], names=["content", "tokenizer", "n_tokens"]
                 )
 
-    misses.mapInArrow(encode, CACHE).write.mode("append").parquet(cache)
+    counted = misses.mapInArrow(encode, CACHE).groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens"))
+    counted.write.mode("append").parquet(cache)
     found = read_cache(spark, cache, tokenizer)
     return narrow.join(found, "content", "left").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")

@@ -129,6 +129,8 @@ def parse_record(data, at: int) -> tuple[dict, int]:
         if not colon:
             raise Damaged("header line without colon")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    if not {"warc-type", "warc-record-id"} <= fields.keys():
+        raise Damaged("mandatory field")
     length = fields.get("content-length", "")
     if not length.isdecimal():
         raise Damaged("no content length")
