@@ -232,7 +232,11 @@ def traverse(docs: list[tuple], others: list[tuple] | None, percent: int):
                 if misses > most_misses:
                     left = len(missed)
                     break
-            if misses <= allowed:
+            if misses > allowed:
+                continue
+            # The same bound for the other side: own keys that the other's prefix would hold.
+            end = rest[-1] if rest else -1
+            if place + len({v for v in after if v <= end}.difference(rest)) <= size - both:
                 yield (doc, other) if doc < other else (other, doc)
 
 
@@ -331,7 +335,7 @@ def jaccard_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, block: i
     prefixes = _prefixes(searched, order, n)
     shared = prefixes.groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("shingle")
     entries = materialise(
-        prefixes.join(broadcast_if_small(shared, max_rows=SIDE_ROWS), "shingle", "left_semi").distinct(), "entries"
+        prefixes.join(shared, "shingle", "left_semi").distinct(), "entries"
     )
     heads = entries.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("head"))
     fits = F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent
