@@ -38,9 +38,12 @@ def hashed(seed: int = 42) -> Draw:
 
 
 def linear() -> Draw:
-    """The plain integer generator of the fixtures, shared with the SQL oracles."""
+    """The plain integer generator of the fixtures, shared with the SQL oracles.
+
+    The row is reduced first, so the product stays in range for every row id.
+    """
     return lambda row, slot: (
-        _long(row) * F.lit(1103515245).cast("bigint") + _long(slot) * F.lit(12345).cast("bigint")
+        _long(row) % F.lit(DRAW_SPACE).cast("bigint") * F.lit(1103515245).cast("bigint") + _long(slot) * F.lit(12345).cast("bigint")
     ) % F.lit(DRAW_SPACE).cast("bigint")
 
 

@@ -35,7 +35,7 @@ def placeholders(template: Column) -> Column:
 
 def bare_name(placeholder: Column) -> Column:
     """Placeholder name without its repeat suffix."""
-    return F.regexp_replace(placeholder, "[1-9]+$", "")
+    return F.regexp_replace(placeholder, "[0-9]+$", "")
 
 
 def fixed_parts(template: Column) -> Column:

@@ -74,9 +74,13 @@ def template_split(log: DataFrame, held_out: DataFrame) -> DataFrame:
 
 
 def extract_payload(log: DataFrame, templates: DataFrame) -> DataFrame:
-    """Injected part of each statement: what its template's fixed parts leave over."""
-    side = broadcast_if_small(templates.select("query_template_id", "template"))
-    return log.join(side, "query_template_id").select(
+    """Injected part of each statement: what its template's fixed parts leave over.
+
+    Statements of unknown templates stay, with a null payload; a repeated template counts once.
+    """
+    known = templates.groupBy("query_template_id").agg(F.min("template").alias("template"))
+    side = broadcast_if_small(known)
+    return log.join(side, "query_template_id", "left").select(
         *log.columns, tx.payload(F.col("full_query"), F.col("template")).alias("payload")
     )
 

@@ -267,7 +267,7 @@ def _fill_in_place(
     def filler(i: int) -> Column:
         name = F.col(f"_name{i}")
         synthetic = dr.synthetic_filler(draw, row, F.lit(SLOT_FILLER + i), name)
-        return F.when(name.isNotNull(), _checked(F.coalesce(F.col(f"_value{i}"), synthetic), name))
+        return F.when(name.isNotNull(), _checked(F.coalesce(synthetic, F.col(f"_value{i}")), name))
 
     over = F.raise_error(F.lit(f"more than {max_slots} placeholders")).cast("int")
     used = F.when(F.size("_names") > max_slots, over).otherwise(F.size("_names"))

@@ -17,7 +17,7 @@ def lst(values) -> str:
 
 
 def draw(row: str, slot) -> str:
-    return f"((CAST({row} AS BIGINT) * 1103515245 + CAST({slot} AS BIGINT) * 12345) % 2147483647)"
+    return f"((CAST({row} AS BIGINT) % 2147483647 * 1103515245 + CAST({slot} AS BIGINT) * 12345) % 2147483647)"
 
 
 def by_type(kind: str, values: dict[str, str]) -> str:
@@ -293,7 +293,7 @@ O["augment_count"] = w(QLOG) + "SELECT count(*) AS n_attack, CAST(floor(count(*)
 O["augment_test_split"] = w(QLOG) + """, a AS (SELECT count(*) AS n FROM slog WHERE label = 1)
 SELECT split, count(*) FILTER (label = 1) AS attacks, CAST(count(*) FILTER (label = 0) + CASE WHEN split = 'test' THEN (SELECT floor(n / CAST(0.1 AS DOUBLE)) - n FROM a) ELSE 0 END AS BIGINT) AS normals FROM slog GROUP BY split"""
 O["param_pool"] = w(CATALOG, DICTS) + f""", params AS (SELECT tid, unnest({suffixed(names_of('template'))}) AS param, generate_subscripts({names_of('template')}, 1) - 1 AS i FROM catalog WHERE template <> {q(fx.CONDITIONAL_TEMPLATE)}),
-picks AS (SELECT tid, param, i, c, regexp_replace(param, '[1-9]+$', '') AS dict_name, {SLOT_FILLER} + i * 10 + c AS slot FROM params, range(10) t(c)),
+picks AS (SELECT tid, param, i, c, regexp_replace(param, '[0-9]+$', '') AS dict_name, {SLOT_FILLER} + i * 10 + c AS slot FROM params, range(10) t(c)),
 sizes AS (SELECT dict_name, count(*) AS size FROM dicts GROUP BY 1),
 vals AS (SELECT p.tid, p.param, p.c AS k, {filler('p.tid', 'p.slot', 'p.dict_name', 'd.value')} AS v FROM picks p LEFT JOIN sizes z ON p.dict_name = z.dict_name
   LEFT JOIN dicts d ON d.dict_name = p.dict_name AND d.pos = {draw('p.tid', 'p.slot')} % z.size)

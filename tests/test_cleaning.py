@@ -50,3 +50,23 @@ def test_user_input_mode_and_admin_blanking(spark):
     assert [(r["id"], r["full_query"]) for r in cl.user_input_mode(log).collect()] == [(2, "i")]
     ids = log.where("id = 2")
     assert {r["id"]: r["user_inputs"] for r in cl.blank_admin_inputs(log, ids).collect()} == {1: None, 2: ""}
+
+
+def test_payload_keeps_unknown_and_repeated_templates(spark):
+    from querysieve.operators.cleaning import extract_payload
+
+    log = spark.createDataFrame([("SELECT 1", "t1"), ("SELECT 2", "gone")], "full_query string, query_template_id string")
+    templates = spark.createDataFrame([("t1", "SELECT {x}"), ("t1", "SELECT {x}")], "query_template_id string, template string")
+    got = {r.query_template_id: r.payload for r in extract_payload(log, templates).collect()}
+    assert len(got) == 2 and got["gone"] is None and extract_payload(log, templates).count() == 2
+
+
+def test_draws_of_large_rows_and_tenth_repeat(spark):
+    from pyspark.sql import functions as F
+    from querysieve.functions import draws, text
+
+    row = spark.range(1).select(
+        draws.linear()(F.lit(9_000_000_000), F.lit(3)).alias("d"),
+        F.transform(text.placeholders(F.lit(" ".join(["{x}"] * 10))), text.bare_name).alias("names"),
+    ).first()
+    assert row.d == (9_000_000_000 * 1103515245 + 3 * 12345) % 2147483647 and set(row.names) == {"x"}
