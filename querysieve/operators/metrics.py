@@ -187,8 +187,8 @@ def metrics_report(test: DataFrame, validation: DataFrame, techniques: list[str]
             "model",
             *[percent(F.col(c)).alias(c) for c in ("fone", "accuracy", "precision", "recall")],
             percent(F.col("fpr"), 5).alias("fpr"),
-            F.format_string("%.4f", "auprc").alias("auprc"),
-            F.format_string("%.4f", "auroc").alias("rocauc"),
+            F.format_string("%.4f", F.bround("auprc", 4)).alias("auprc"),
+            F.format_string("%.4f", F.bround("auroc", 4)).alias("rocauc"),
             *[shown(t) for t in techniques],
         )
     )

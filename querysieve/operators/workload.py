@@ -60,12 +60,10 @@ def region_counts(airport: DataFrame, regions: DataFrame, country: str) -> DataF
 def keyword_or_name(airport: DataFrame, keyword: str, name: str) -> DataFrame:
     """Rows whose id is among the keyword matches, or whose name matches.
 
-    The keyword matches are reduced to distinct ids and joined as a flag.
+    ``id`` is the relation's primary key, so an id is among the matches if its own row matches; no join.
     """
-    hits = airport.where(F.col("keywords").like(keyword)).select("id").distinct().withColumn("_hit", F.lit(True))
-    return airport.join(hits, "id", "left").where(
-        F.coalesce(F.col("_hit"), F.lit(False)) | F.col("name").like(name)
-    ).select("id", "name", "municipality", "iso_country")
+    hit = F.col("id").isNotNull() & F.col("keywords").like(keyword)
+    return airport.where(hit | F.col("name").like(name)).select("id", "name", "municipality", "iso_country")
 
 
 def above_average(airport: DataFrame, country: str, floor) -> DataFrame:
@@ -140,9 +138,9 @@ def airports_in_region(airport: DataFrame, regions: DataFrame, region: str) -> D
 
 
 def keyword_union(airport: DataFrame, regions: DataFrame, countries: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct (name, entity_type) whose keywords contain the key of their table."""
+    """Distinct (name, entity_type) whose keywords hold the key of their table; ``%`` and ``_`` in it are wildcards."""
     def part(df: DataFrame, key: str, kind: str) -> DataFrame:
-        return df.where(F.col("keywords").contains(key)).select("name", F.lit(kind).alias("entity_type"))
+        return df.where(F.col("keywords").like(f"%{key}%")).select("name", F.lit(kind).alias("entity_type"))
 
     parts = [part(airport, keys[0], "airport"), part(regions, keys[1], "region"), part(countries, keys[2], "country")]
     return reduce(DataFrame.union, parts).distinct()
@@ -167,7 +165,7 @@ def busy_airports(airport: DataFrame, runways: DataFrame, country: str, more_tha
 
 def navaid_types(navaids: DataFrame, countries: DataFrame, code: str, name_part: str, more_than: int) -> DataFrame:
     """Navaids per type and country, for a country code or a part of a country name."""
-    wanted = countries.where((F.col("code") == code) | F.col("name").contains(name_part)).select(
+    wanted = countries.where((F.col("code") == code) | F.col("name").like(f"%{name_part}%")).select(
         "code", F.col("name").alias("country_name")
     )
     counts = navaids.groupBy("type", "iso_country").agg(F.count("id").alias("n"))
@@ -241,8 +239,11 @@ def insert(df: DataFrame, rows: DataFrame, key: str | None = None) -> DataFrame:
     """
     typed = rows.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in rows.columns])
     if key is not None:
-        clashes = key_violations(df.select(key).unionByName(typed.select(key)), key)
-        fresh = typed.join(clashes.select(key, F.lit(True).alias("_dup")), key, "left")
+        # The table is filtered by the new keys; only its few hits are shuffled.
+        fresh_keys = broadcast_if_small(typed.where(F.col(key).isNotNull()).select(key).distinct())
+        held = df.select(key).join(fresh_keys, key, "left_semi")
+        clashes = held.unionByName(key_violations(typed, key).select(key)).distinct()
+        fresh = typed.join(clashes.withColumn("_dup", F.lit(True)), key, "left")
         typed = fresh.where(
             F.when(F.col("_dup"), F.raise_error(F.lit(f"duplicate {key}")).cast("boolean")).otherwise(F.lit(True))
         ).select(*rows.columns)

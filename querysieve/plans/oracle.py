@@ -422,7 +422,7 @@ _WL = {
     "wl_s15": "SELECT a.ident, a.name, r.name AS region_name FROM airport a JOIN regions r ON a.iso_region = r.code WHERE r.name = 'NATION_3'",
     "wl_s16": "SELECT r.name AS region_name, count(a.id) AS airport_count FROM airport a JOIN regions r ON a.iso_region = r.code WHERE a.iso_country = '4' GROUP BY r.name",
     "wl_s17": "SELECT name, 'airport' AS entity_type FROM airport WHERE keywords LIKE '%a%' UNION SELECT name, 'region' FROM regions WHERE keywords LIKE '%a%' UNION SELECT name, 'country' FROM countries WHERE keywords LIKE '%a%'",
-    "wl_s18": "SELECT name, 'airport' AS entity_type FROM airport WHERE contains(keywords, 'k3') UNION SELECT name, 'region' FROM regions WHERE contains(keywords, 'nation_1') UNION SELECT name, 'country' FROM countries WHERE contains(keywords, 'asia')",
+    "wl_s18": "SELECT name, 'airport' AS entity_type FROM airport WHERE keywords LIKE '%g,k_%' UNION SELECT name, 'region' FROM regions WHERE keywords LIKE '%nation_1%' UNION SELECT name, 'country' FROM countries WHERE keywords LIKE '%asia%'",
     "wl_s19": "SELECT a.name AS airport_name, a.ident AS airport_code, a.municipality, count(r.id) AS runway_count FROM airport a JOIN runways r ON a.id = r.airport_ref WHERE a.iso_country = '1' GROUP BY a.id, a.name, a.ident, a.municipality HAVING count(r.id) > 10",
     "wl_s20": "SELECT n.type, c.name AS country_name, count(n.id) AS navaid_count FROM navaids n JOIN countries c ON n.iso_country = c.code WHERE c.code = '1' OR c.name LIKE '%AS%' GROUP BY n.type, c.name HAVING count(n.id) > 2",
     "wl_s21": "SELECT name, coalesce(iata_code, 'NO_IATA') AS iata_display, coalesce(icao_code, 'NO_ICAO') AS icao_display, substr(name, 1, 5) AS short_name, municipality FROM airport WHERE municipality LIKE 'Town 1%'",

@@ -670,7 +670,7 @@ airports("wl_s14", "airport")(lambda a: rounded(wl.nearest(a, "Field 7"), "dista
 airports("wl_s15", "airport", "regions")(lambda a, r: wl.airports_in_region(a, r, "NATION_3"))
 airports("wl_s16", "airport", "regions")(lambda a, r: wl.region_counts(a, r, "4"))
 airports("wl_s17", "airport", "regions", "countries")(lambda a, r, c: wl.keyword_union(a, r, c, ["a", "a", "a"]))
-airports("wl_s18", "airport", "regions", "countries")(lambda a, r, c: wl.keyword_union(a, r, c, ["k3", "nation_1", "asia"]))
+airports("wl_s18", "airport", "regions", "countries")(lambda a, r, c: wl.keyword_union(a, r, c, ["g,k_", "nation_1", "asia"]))
 airports("wl_s19", "airport", "runways")(lambda a, r: wl.busy_airports(a, r, "1", 10))
 airports("wl_s20", "navaids", "countries")(lambda n, c: wl.navaid_types(n, c, "1", "AS", 2))
 airports("wl_s21", "airport")(lambda a: wl.display_codes(a, "Town 1%"))
