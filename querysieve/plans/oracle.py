@@ -166,12 +166,12 @@ LEXICAL = "wide AS (" + lexical(lx.FEATURES, ("id", "label", "split", "attack_te
 VOCAB = f"""
 terms AS (SELECT unnest({TOKENS}) AS term FROM slog WHERE split = 'train'),
 totals AS (SELECT term, count(*) AS freq FROM terms GROUP BY 1),
-vocab AS (SELECT term, freq, row_number() OVER (ORDER BY term) - 1 AS idx FROM totals)
+vocab AS MATERIALIZED (SELECT term, freq, row_number() OVER (ORDER BY term) - 1 AS idx FROM totals)
 """
 DOC_TERMS = f"""
 doc_tokens AS (SELECT id, split, unnest({TOKENS}) AS term FROM slog),
-doc_terms AS (SELECT id, split, term, count(*) AS n FROM doc_tokens GROUP BY ALL),
-matrix AS (SELECT d.id, d.split, v.idx, d.n FROM doc_terms d JOIN vocab v ON d.term = v.term)
+doc_terms AS MATERIALIZED (SELECT id, split, term, count(*) AS n FROM doc_tokens GROUP BY ALL),
+matrix AS MATERIALIZED (SELECT d.id, d.split, v.idx, d.n FROM doc_terms d JOIN vocab v ON d.term = v.term)
 """
 
 # ---- scores ------------------------------------------------------------------------------

@@ -52,3 +52,19 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     plan = wl.by_range(fx.airport_tables(spark, sf)["airport"], "elevation_ft", 1000, 5000, ["id", "name"])
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(c_acctbal,1000.0)" in text and "c_mktsegment" not in text
+
+
+def test_keys_are_like_patterns(spark):
+    a = airport(spark)
+    found = wl.keyword_union(a, a, a, ["k_,k", "zz", "zz"]).collect()
+    assert [tuple(r) for r in found] == [("x", "airport")]
+    assert sorted(r["id"] for r in wl.keyword_or_name(a, "k2%", "x").collect()) == [1, 3]
+
+
+def test_terms_are_counted_in_their_row(spark):
+    from querysieve.operators import bagofwords as bow
+
+    docs = spark.createDataFrame([(1, "bb aa bb"), (2, None), (3, ""), (4, "cc")], "id int, full_query string")
+    made = bow.doc_terms(docs)
+    assert sorted(tuple(r) for r in made.collect()) == [(1, "aa", 1), (1, "bb", 2), (4, "cc", 1)]
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
