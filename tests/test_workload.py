@@ -55,7 +55,7 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 
 
 def test_keys_are_like_patterns(spark):
-    a = airport(spark)
+    a = airport(spark).withColumn("municipality", F.lit("m"))
     found = wl.keyword_union(a, a, a, ["k_,k", "zz", "zz"]).collect()
     assert [tuple(r) for r in found] == [("x", "airport")]
     assert sorted(r["id"] for r in wl.keyword_or_name(a, "k2%", "x").collect()) == [1, 3]
