@@ -13,11 +13,15 @@ from functools import lru_cache
 
 import numpy as np
 
-# Characters that every Unicode version counts as visible: a cut needs one on both sides.
+# Characters that every Unicode version counts as visible: a cut needs one on both sides. The space
+# comes first in the pattern, so the search jumps from space to space.
 _PLAIN = "!-~À-ɏ"
-_CUT = re.compile(f"(?<=[{_PLAIN}]) (?=[{_PLAIN}])")
-CACHE_WORDS = 300_000
+_CUT = re.compile(f" (?<=[{_PLAIN}] )(?=[{_PLAIN}])")
+_IS_PLAIN = re.compile(f"[{_PLAIN}]")
+# Pieces in each of the two generations of the cache: about 200 bytes each.
+CACHE_PIECES = 500_000
 BATCH_CHARS = 2_000_000
+JOINED = 5_000
 
 
 @lru_cache(maxsize=4)
@@ -31,23 +35,72 @@ def _library(path: str):
 
 
 @lru_cache(maxsize=4)
-def _cache(path: str) -> dict[str, bytes]:
-    return {}
+def _widths(path: str) -> np.ndarray:
+    """Bytes of text behind each id: a byte-level token has one character per byte, an added one is plain text."""
+    library = _library(path)
+    added = library.get_added_tokens_decoder()
+    vocabulary = library.get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        out[i] = len(token.encode()) if i in added else len(token)
+    return out
+
+
+class _Cache:
+    """Ids of pieces in two generations: a full young one becomes the old one, whose pieces in use come back."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def load(self, pieces: set[str], path: str) -> None:
+        """Bring every piece into the young generation."""
+        if len(self.young) > CACHE_PIECES:
+            self.young, self.old = {}, self.young
+        joinable, single = [], []
+        for piece in pieces.difference(self.young):
+            if piece in self.old:
+                self.young[piece] = self.old[piece]
+            elif piece[0] != FIRST and _IS_PLAIN.match(piece[-1]):
+                joinable.append(piece)
+            else:
+                single.append(piece)
+        texts = [p[1:] if p[0] == FIRST else " " + p for p in single]
+        for piece, got in zip(single, _library(path).encode_batch_fast(texts, add_special_tokens=False)):
+            self.young[piece] = np.array(got.ids, "<u4").tobytes()
+        for at in range(0, len(joinable), JOINED):
+            self._joined(joinable[at:at + JOINED], path)
+
+    def _joined(self, pieces: list[str], path: str) -> None:
+        """Encode pieces as one text; the bytes behind the ids tell which piece each id belongs to."""
+        text = " " + " ".join(pieces)
+        ids = np.array(_library(path).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        upto = np.cumsum(_widths(path)[ids])
+        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        stops = np.searchsorted(upto, ends) + 1
+        if (upto[stops - 1] != ends).any():
+            raise ValueError("an id crosses a cut between two pieces")
+        held, start = ids.tobytes(), 0
+        for piece, stop in zip(pieces, (4 * stops).tolist()):
+            self.young[piece] = held[start:stop]
+            start = stop
+
+
+# A text's first piece has no space before it, so its key is marked; a later piece starts with a plain character.
+FIRST = "\0"
+
+
+@lru_cache(maxsize=4)
+def _cache(path: str) -> _Cache:
+    return _Cache()
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
     cache = _cache(path)
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    cut = []
-    for text in texts:
-        pieces = _CUT.split(text) if text else []
-        cut.append(pieces[:1] + [" " + p for p in pieces[1:]])
-    unknown = list(set().union(*cut) - cache.keys()) if cut else []
-    for piece, got in zip(unknown, _library(path).encode_batch_fast(unknown, add_special_tokens=False)):
-        cache[piece] = np.array(got.ids, "<u4").tobytes()
-    return [b"".join(map(cache.__getitem__, pieces)) for pieces in cut]
+    cut = [_CUT.split(FIRST + text) if text else [] for text in texts]
+    cache.load(set().union(*cut), path)
+    return [b"".join(map(cache.young.__getitem__, pieces)) for pieces in cut]
 
 
 def in_parts(texts: list[str | None], chars: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:

@@ -212,44 +212,28 @@ def write_files(tokens: DataFrame, path: str, vocabulary: int = 1 << 16) -> None
     spark.createDataFrame(book, "id bigint, bits int").coalesce(1).write.parquet(f"{path}/codebook")
 
     def code(batches):
+        # A range's documents come in order; a block closes at ``BLOCK_IDS`` ids and where a batch ends.
         for batch in batches:
             raw = batch.column(1)
             at = 0
             while at < len(raw):
-                stop, size = at, 0
-                while stop < len(raw) and size < BLOCK_IDS:
-                    size += len(raw[stop].as_buffer()) // 2
-                    stop += 1
-                arrays = [np.frombuffer(raw[i].as_buffer(), "<u2") for i in range(at, stop)]
+                arrays, size, start = [], 0, at
+                while at < len(raw) and size < BLOCK_IDS:
+                    arrays.append(np.frombuffer(raw[at].as_buffer(), "<u2"))
+                    size += len(arrays[-1])
+                    at += 1
                 sizes = np.array([len(a) for a in arrays], np.int64)
                 payload, starts, n_bytes, bit = encode_streams(np.concatenate(arrays), sizes, codes, lengths)
                 first = np.cumsum(sizes) - sizes
-                data, marks = payload.tobytes(), []
-                for k in range(len(sizes)):
+                data, held = payload.tobytes(), []
+                for k, doc in enumerate(batch.column(0).slice(start, len(arrays)).to_pylist()):
                     own = bit[first[k]:first[k] + sizes[k]:STRIDE] - 8 * starts[k]
-                    marks.append(own.astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, stop - at), pa.array(sizes),
-                    pa.array([data[s:s + n] for s, n in zip(starts, n_bytes)], pa.binary()),
-                    pa.array(marks, pa.binary()),
-                ], names=["doc_id", "n", "payload", "marks"])
-                at = stop
-
-    def gather(batches):
-        held, size = [], 0
-        for batch in batches:
-            for doc, n, payload, marks in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append((doc, n, payload, marks))
-                size += n
-                if size >= BLOCK_IDS:
-                    yield pa.RecordBatch.from_arrays([pa.array([pack_block(held)[:-1]], pa.binary())], names=["block"])
-                    held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([pack_block(held)[:-1]], pa.binary())], names=["block"])
-
-    coded = tokens.mapInArrow(code, "doc_id bigint, n bigint, payload binary, marks binary")
-    ordered = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "payload")
-    ordered.mapInArrow(gather, "block binary").select(F.col("block").cast("string").alias("value")).write.option(
+                    held.append((doc, int(sizes[k]), data[starts[k]:starts[k] + n_bytes[k]], own.astype("<u8").tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([pack_block(held)[:-1]], pa.binary())], names=["block"])
+
+    # Ids are dealt by ranges before they are coded: what finds the ranges only reads the written table.
+    ordered = tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered.mapInArrow(code, "block binary").select(F.col("block").cast("string").alias("value")).write.option(
         "lineSep", "\n"
     ).option("maxRecordsPerFile", BLOCKS_PER_FILE).text(f"{path}/ids")
 
