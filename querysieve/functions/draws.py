@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-# (row id, slot) -> non-negative bigint below DRAW_SPACE
+# (row id, slot) -> non-negative bigint below the draw's ``space`` (DRAW_SPACE where it names none)
 Draw = Callable[[Column, Column], Column]
 DRAW_SPACE = 2147483647
 
@@ -31,10 +31,12 @@ def _long(x) -> Column:
 
 
 def hashed(seed: int = 42) -> Draw:
-    """Well-mixed draws for production use."""
-    return lambda row, slot: F.pmod(
-        F.xxhash64(_long(row), _long(slot), F.lit(seed)), F.lit(DRAW_SPACE).cast("bigint")
-    )
+    """Well-mixed draws of 62 bits for production use."""
+    def draw(row, slot) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(_long(row), _long(slot), F.lit(seed)), 2)
+
+    draw.space = 1 << 62
+    return draw
 
 
 def linear() -> Draw:
@@ -49,7 +51,11 @@ def linear() -> Draw:
 
 def unit(draw: Draw, row, slot) -> Column:
     """Draw in [0, 1)."""
-    return draw(row, slot) / F.lit(float(DRAW_SPACE))
+    space = getattr(draw, "space", DRAW_SPACE)
+    if space <= 1 << 53:
+        return draw(row, slot) / F.lit(float(space))
+    # A double tells 2^53 values in [0, 1) apart; more bits could round up to 1.
+    return F.shiftright(draw(row, slot), space.bit_length() - 54) / F.lit(2.0**53)
 
 
 def below(draw: Draw, row, slot, n) -> Column:

@@ -56,7 +56,9 @@ WORD = "\\p{L}\\p{N}_"
 DIGITS = f"[0-9\\x{{80}}-\\x{{10FFFF}}&&[\\p{{Nd}}{OTHER_DIGITS}]]"
 UPPER = "[A-Z]|(?![\\x00-\\x7F])\\p{IsUppercase}"
 SPACE = "(?U)[\\s\\x1c-\\x1f]"
-SPECIAL = "(?U)[^\\p{L}\\p{N}\\s\\x1c-\\x1f/*+\\-\\[\\](){}]"
+# Circled, squared and negative capitals count as upper case, not as special characters.
+ENCLOSED = "\\x{24B6}-\\x{24CF}\\x{1F130}-\\x{1F149}\\x{1F150}-\\x{1F169}\\x{1F170}-\\x{1F189}"
+SPECIAL = f"(?U)[^\\p{{L}}\\p{{N}}\\s\\x1c-\\x1f/*+\\-\\[\\](){{}}{ENCLOSED}]"
 
 FEATURES = [
     "len_query", "has_null", "has_comment", "has_query_keywords", "has_union",

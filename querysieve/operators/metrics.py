@@ -137,8 +137,11 @@ def recall_by_technique(predictions: DataFrame) -> DataFrame:
 
 
 def recall_columns(recalls: DataFrame, techniques: list[str]) -> DataFrame:
-    """One column ``recall<technique>`` per technique."""
-    return recalls.groupBy("model").pivot("attack_technique", techniques).agg(F.first("recall")).select(
+    """One column ``recall<technique>`` per technique; a technique that is not listed raises."""
+    technique = F.col("attack_technique")
+    unknown = F.raise_error(F.concat(F.lit("unlisted technique "), technique)).cast("string")
+    named = recalls.withColumn("attack_technique", F.when(technique.isin(*techniques), technique).otherwise(unknown))
+    return named.groupBy("model").pivot("attack_technique", techniques).agg(F.first("recall")).select(
         "model", *[F.col(t).alias(f"recall{t}") for t in techniques]
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from querysieve.session import broadcast_if_small
@@ -9,11 +11,14 @@ from querysieve.session import broadcast_if_small
 STAGES = ["exploit", "recon"]
 
 
-def stage_pivot(log: DataFrame) -> DataFrame:
-    """Rows per campaign and stage, zero-filled."""
+def stage_pivot(log: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
+    """Rows per campaign and stage, zero-filled; a stage that is not listed raises."""
+    stage = F.col("attack_stage")
+    unknown = F.raise_error(F.concat(F.lit("unlisted stage "), stage)).cast("string")
     return (
         log.where(F.col("attack_id").isNotNull() & F.col("attack_stage").isNotNull())
-        .groupBy("attack_id").pivot("attack_stage", STAGES).count().na.fill(0)
+        .withColumn("attack_stage", F.when(stage.isin(*stages), stage).otherwise(unknown))
+        .groupBy("attack_id").pivot("attack_stage", list(stages)).count().na.fill(0)
     )
 
 

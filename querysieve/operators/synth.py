@@ -111,15 +111,20 @@ def template_weights(templates: DataFrame) -> DataFrame:
 
 
 def weighted_sample(
-    rows: DataFrame, items: DataFrame, weight: str, order: list[str], u: Column, scale: float = 1e9
+    rows: DataFrame, items: DataFrame, weight: str, order: list[str], u: Column, scale: float | None = None
 ) -> DataFrame:
     """Attach to each row one item drawn with replacement, proportionally to ``weight``.
 
     Items own consecutive integer ranges; the ranges are cut into as many equal buckets as
     there are items, so the range lookup becomes an equi join on the bucket that touches
-    about two candidates per row whatever the weights.
+    about two candidates per row whatever the weights. ``scale`` turns weights into integers; by
+    default it spreads their sum over 2^52, what a double in [0, 1) can tell apart. Every positive
+    weight keeps one unit at least, so no item is out of reach.
     """
-    sized = items.withColumn("_w", F.round(F.col(weight) * scale).cast("bigint"))
+    if scale is None:
+        scale = 2.0**52 / (items.agg(F.sum(F.col(weight).cast("double"))).first()[0] or 1.0)
+    units = F.round(F.col(weight) * F.lit(float(scale))).cast("bigint")
+    sized = items.withColumn("_w", F.when(F.col(weight) > 0, F.greatest(F.lit(1).cast("bigint"), units)).otherwise(F.lit(0).cast("bigint")))
     spans = running_sums(sized, [F.col(c) for c in order], {"_hi": F.col("_w")})
     total, n = spans.agg(F.sum("_w"), F.count("*")).first()
     width = max(1, -(-total // n))

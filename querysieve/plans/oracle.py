@@ -131,6 +131,7 @@ has = lambda p, c="lq": f"contains({c}, {q(p)})"
 occ = lambda p, c="t": f"((length({c}) - length(replace({c}, {q(p)}, ''))) // {len(p)})"
 cls = lambda p: f"(length(t) - length(regexp_replace(t, '{p}', '', 'g')))"
 SPACES = "\\s\\x0b\\x1c-\\x1f\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
+ENCLOSED = "\\x{24B6}-\\x{24CF}\\x{1F130}-\\x{1F149}\\x{1F150}-\\x{1F169}\\x{1F170}-\\x{1F189}"
 FEATURE_SQL = {"len_query": "length(t)"}
 FEATURE_SQL |= {n: f"CAST({word(w)} AS INT)" for n, w in lx.WORD_FLAGS.items()}
 FEATURE_SQL |= {n: f"CAST({' OR '.join(word(w) for w in ws)} AS INT)" for n, ws in lx.WORD_SETS.items()}
@@ -145,9 +146,9 @@ FEATURE_SQL |= {
         f"right(string_split(t, '=')[i], CAST(k AS INT)) = left(string_split(t, '=')[i + 1], CAST(k AS INT)))) > 0)) > 0 THEN 1 ELSE 0 END"
     ),
     "c_num": cls("[\\p{Nd}" + lx.OTHER_DIGITS + "]"),
-    "c_upper": cls("[\\p{Lu}\\x{2160}-\\x{216F}\\x{24B6}-\\x{24CF}]"),
+    "c_upper": cls(f"[\\p{{Lu}}\\x{{2160}}-\\x{{216F}}{ENCLOSED}]"),
     "c_space": cls(f"[{SPACES}]"),
-    "c_special": cls(f"[^\\p{{L}}\\p{{N}}{SPACES}/*+\\-\\[\\](){{}}]"),
+    "c_special": cls(f"[^\\p{{L}}\\p{{N}}{SPACES}/*+\\-\\[\\](){{}}{ENCLOSED}]"),
     "c_arith": f"{occ('/')} - {occ('/*')} + {occ('*')} - {occ('*/')} + {occ('+')} + {occ('-')}",
     "c_square_brackets": f"{occ('[')} + {occ(']')}",
     "c_round_brackets": f"{occ('(')} + {occ(')')}",

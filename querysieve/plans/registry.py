@@ -173,7 +173,7 @@ def order_rows(spark, sf) -> DataFrame:
 def sampled(spark, sf) -> DataFrame:
     return sy.weighted_sample(
         order_rows(spark, sf), sy.template_weights(fx.catalog(spark, sf)), "normalized_weight", ["ID"],
-        dr.unit(DRAW, F.col("o_orderkey"), F.lit(sy.SLOT_TEMPLATE)),
+        dr.unit(DRAW, F.col("o_orderkey"), F.lit(sy.SLOT_TEMPLATE)), scale=1e9,
     )
 
 

@@ -85,3 +85,8 @@ def test_tokens_and_escapes(spark):
 def test_payload(spark, statement, template, want):
     df = spark.createDataFrame([(statement, template)], "s string, t string")
     assert df.select(tx.payload(F.col("s"), F.col("t"))).first()[0] == want
+
+
+def test_enclosed_capitals_count_once(spark):
+    got = features(spark, ["Ⓐⓐ\U0001f130#"])[0]
+    assert (got["c_upper"], got["c_special"]) == (2, 2)

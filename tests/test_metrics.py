@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from querysieve.operators import metrics as me
+from querysieve.operators import metrics as me, stats as st
 from querysieve.session import scratch_path
 
 
@@ -72,3 +73,13 @@ def test_report_file_name_follows_the_run_mode(spark):
     path = me.write_report(report, root, gpu=True, on_user_inputs=True)
     assert path == f"{root}/results-gpu-on-user-inputs.csv"
     assert spark.read.option("header", True).csv(path).first()["fone"] == "1.00%"
+
+
+def test_unlisted_technique_or_stage_raises(spark):
+    recalls = spark.createDataFrame([("m", "union", 1.0)], "model string, attack_technique string, recall double")
+    with pytest.raises(Exception, match="unlisted technique"):
+        me.recall_columns(recalls, ["boolean"]).collect()
+    log = spark.createDataFrame([("a", "recon"), ("a", "cleanup")], "attack_id string, attack_stage string")
+    with pytest.raises(Exception, match="unlisted stage"):
+        st.stage_pivot(log).collect()
+    assert st.stage_pivot(log, ["recon", "cleanup"]).first().asDict() == {"attack_id": "a", "recon": 1, "cleanup": 1}
