@@ -218,3 +218,21 @@ def test_repeated_strings_go(spark, docs, none, depth):
     cut = suffix_dedup.without_repeats(docs, depth)
     assert cut.columns == docs.columns and cut.count() == len(ROWS)
     assert all("�" not in r.text for r in cut.collect())
+
+
+def test_cached_pieces_give_the_librarys_ids(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    hard = [
+        "", " ", "a", " a", "a ", "  x  y", "<|endoftext|>", "x <|endoftext|> y", "é è ñ", "\0 \0a b", "don't 's x 's",
+        "x \n y", "日本 語 x", "a​ b", "     a", "x\tb c", "ÿ Ā ɏ ə x", "× ÷ ª º ¼", "a" * 5000 + " b",
+    ]
+    # More different words than two small generations hold, so old pieces come back and others are encoded again.
+    texts = hard + [" ".join(f"w{(i * j) % 997}é" for j in range(200)) for i in range(60)] + hard
+    library = Tokenizer.from_file(path)
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
+    monkeypatch.setattr(bpe, "JOINED", 7)
+    bpe._cache.cache_clear()
+    got = [b for at in range(0, len(texts), 3) for b in bpe.encode(texts[at:at + 3], path)]
+    bpe._cache.cache_clear()
+    assert got == want
