@@ -3,7 +3,10 @@
 The writer makes one gzip member per record (or plain records) and leaves the files to Spark's text writer,
 whose record end is the last byte of each record. The reader checks gzip sums, version line, header lines,
 content length, record end and payload digest. After a failed check it looks for the next place where a member
-or a version line begins and a whole record passes the checks; the bytes skipped are logged as a gap.
+or a version line begins and a whole record passes the checks; the bytes skipped are logged as a gap. Inside a
+member, what was decompressed before an error is searched in the same way: such a gap has the member's byte range
+(for a broken member, up to where the search goes on) and, as ``inner_start`` and ``inner_end``, its range in the content.
+For records of a broken member only their own checks vouch, as in a plain archive.
 
 Defined results: a null payload is empty; a null page_id has no id in the archive and comes back null, and it is no
 target of revisits; rows with one page_id and payload are responses alike; url characters that would break a
@@ -32,7 +35,7 @@ MEMBER, VERSION = b"\x1f\x8b\x08", re.compile(rb"WARC/1\.[01]\r\n")
 # An empty member ends in a zero byte; as padding after each record it lets the writer's record end be one byte.
 PADDING = gzip.compress(b"", mtime=0)
 SCANNED = (
-    "file string, kind string, start bigint, end bigint, reason string, record_type string, page_id bigint, "
+    "file string, kind string, start bigint, end bigint, inner_start bigint, inner_end bigint, reason string, record_type string, page_id bigint, "
     "refers_to bigint, payload_bytes bigint, payload_digest string, url string, payload binary"
 )
 
@@ -155,49 +158,55 @@ def parse_record(data, at: int) -> tuple[dict, int]:
     }, end + 4
 
 
-def inflate(data, at: int) -> tuple[bytes, int]:
-    """A gzip member's content and end; fed in steps, so that what follows is not copied each time."""
-    out, inner = [], zlib.decompressobj(31)
+def inflate(data, at: int) -> tuple[bytes, int, str | None, list[tuple[int, int]]]:
+    """A gzip member's content, where it ends and what broke it; fed in steps, so that what follows is not copied each time.
+
+    Of a broken member, the content is what comes before the error, and the end is the byte that failed. The list has
+    the place and the content so far before each step.
+    """
+    out, inner, size, steps = [], zlib.decompressobj(31), 0, []
     view = memoryview(data)
     while not inner.eof:
         step = view[at:at + 65536]
+        steps.append((at, size))
         if not step:
-            raise Damaged("member without end")
+            return b"".join(out), at, "member without end", steps
         try:
             out.append(inner.decompress(step))
         except zlib.error as e:
-            raise Damaged(f"gzip: {e}") from None
+            again = zlib.decompressobj(31)
+            for place, _ in steps[:-1]:
+                again.decompress(view[place:place + 65536])
+            rest, at = _until_error(again, step, at)
+            return b"".join([*out, rest]), at, f"gzip: {e}", steps
+        size += len(out[-1])
         at += len(step) - len(inner.unused_data)
-    return b"".join(out), at
+    return b"".join(out), at, None, steps
 
 
-def unit_at(data: bytes, at: int) -> tuple[list[dict], int]:
-    """The records of the member or plain record at ``at``, and where it ends."""
-    if data[at:at + 3] != MEMBER:
-        found, end = parse_record(data, at)
-        return [found], end
-    content, end = inflate(data, at)
-    found, inside = [], 0
-    while inside < len(content):
-        record, inside = parse_record(content, inside)
-        found.append(record)
-    return found, end
+def _until_error(inner, step, at: int) -> tuple[bytes, int]:
+    """What a step gives before its error, found by feeding halves; and the place of the byte that fails."""
+    out = []
+    while len(step) > 1:
+        half, kept = len(step) // 2, inner.copy()
+        try:
+            out.append(inner.decompress(step[:half]))
+            step, at = step[half:], at + half
+        except zlib.error:
+            inner, step = kept, step[:half]
+    try:  # one byte may stand for many
+        piece = inner.decompress(step, 1)
+        while piece or inner.unconsumed_tail:
+            out.append(piece)
+            piece = inner.decompress(inner.unconsumed_tail, 1)
+    except zlib.error:
+        pass
+    return b"".join(out), at
 
 
-def scan(data: bytes) -> Iterator[dict]:
-    """Records and gaps of an archive in order, with their byte ranges."""
+def spans(data: bytes, unit_at, following) -> Iterator[tuple[int, int, object]]:
+    """``(start, end, found)`` of whole units and, with the reason as ``found``, of the ranges between them."""
     at, gap, reason = 0, None, None
-    ahead = {"member": -1, "version": -1}
-
-    def following(start: int) -> int:
-        if ahead["member"] < start:
-            found = data.find(MEMBER, start)
-            ahead["member"] = len(data) if found < 0 else found
-        if ahead["version"] < start:
-            found = VERSION.search(data, start)
-            ahead["version"] = found.start() if found else len(data)
-        return min(ahead.values())
-
     while at < len(data):
         try:
             found, end = unit_at(data, at)
@@ -207,19 +216,70 @@ def scan(data: bytes) -> Iterator[dict]:
             at = following(at + 1)
             continue
         if gap is not None:
-            yield {"kind": "gap", "start": gap, "end": at, "reason": reason}
+            yield gap, at, reason
             gap = None
-        for record in found:
-            yield {"kind": "record", "start": at, "end": end} | record
+        yield at, end, found
         at = end
     if gap is not None:
-        yield {"kind": "gap", "start": gap, "end": len(data), "reason": reason}
+        yield gap, len(data), reason
+
+
+def next_version(data: bytes, start: int) -> int:
+    found = VERSION.search(data, start)
+    return found.start() if found else len(data)
+
+
+def inside(content: bytes) -> Iterator[dict]:
+    """Records and gaps of a member's content, with their ranges in it."""
+    for start, end, found in spans(content, parse_record, lambda at: next_version(content, at)):
+        place = {"inner_start": start, "inner_end": end}
+        yield place | ({"kind": "gap", "reason": found} if isinstance(found, str) else {"kind": "record"} | found)
+
+
+def scan(data: bytes) -> Iterator[dict]:
+    """Records and gaps of an archive in order, with their byte ranges."""
+    ahead = {"member": -1, "version": -1}
+
+    def following(start: int, plain: int = 0) -> int:
+        """The next place where a member begins or, from ``plain`` on, a version line."""
+        if ahead["member"] < start:
+            found = data.find(MEMBER, start)
+            ahead["member"] = len(data) if found < 0 else found
+        if ahead["version"] < max(start, plain):
+            ahead["version"] = next_version(data, max(start, plain))
+        return min(ahead.values())
+
+    def unit_at(data: bytes, at: int) -> tuple[list[dict], int]:
+        """What the member or plain record at ``at`` holds, and where it ends."""
+        if data[at:at + 3] != MEMBER:
+            found, end = parse_record(data, at)
+            return [found | {"kind": "record"}], end
+        content, end, broken, steps = inflate(data, at)
+        held = list(inside(content))
+        if not any(r["kind"] == "record" for r in held) and (broken or held):
+            raise Damaged(broken or held[0]["reason"])
+        if broken:
+            # Lost bytes let a member run into the next ones, so members are looked for behind the last good record;
+            # version lines before the error are stored bytes of this member, which were searched.
+            good = max(r["inner_end"] for r in held if r["kind"] == "record")
+            end = following(max([at + 1, *(place for place, size in steps if size <= good)]), end)
+            if held[-1]["kind"] == "gap":
+                held[-1]["reason"] = broken
+            else:
+                held.append({"kind": "gap", "reason": broken, "inner_start": len(content), "inner_end": len(content)})
+        return held, end
+
+    for start, end, found in spans(data, unit_at, following):
+        if isinstance(found, str):
+            yield {"kind": "gap", "start": start, "end": end, "reason": found}
+        else:
+            yield from ({"start": start, "end": end} | r for r in found)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records (``kind`` is record) and quarantined byte ranges (``kind`` is gap) of the archives below ``path``."""
     names = [f.split(" ")[0] for f in SCANNED.split(", ")]
-    types = {"payload": pa.binary()} | dict.fromkeys(("start", "end", "page_id", "refers_to", "payload_bytes"), pa.int64())
+    types = {"payload": pa.binary()} | dict.fromkeys(("start", "end", "inner_start", "inner_end", "page_id", "refers_to", "payload_bytes"), pa.int64())
 
     def table(rows):
         return pa.RecordBatch.from_arrays(

@@ -1,5 +1,6 @@
 """Archives, vectors, conversations and the pipeline."""
 
+import gzip
 import hashlib
 
 import duckdb
@@ -72,6 +73,39 @@ def test_salvage_recovers_later_records(compress):
     assert list(warc.scan(b"")) == [] and [r["kind"] for r in warc.scan(b"rubbish")] == ["gap"]
 
 
+def test_salvage_looks_inside_members():
+    rng = np.random.default_rng(3)
+
+    def record(i):
+        body = b"HTTP/1.1 200 OK\r\n\r\n" + rng.bytes(40_000)
+        digest = hashlib.sha256(body.partition(b"\r\n\r\n")[2]).hexdigest()
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Payload-Digest: sha256:{digest}\r\n"
+        return f"{head}Content-Type: application/http\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    records = [record(i) for i in range(6)]
+    inner = np.cumsum([0] + [len(r) for r in records])
+    whole, after = gzip.compress(b"".join(records), mtime=0), warc.member(record(9))
+    pages = lambda found: [r["page_id"] for r in found if r["kind"] == "record"]
+    places = lambda found: [(r["start"], r["end"], r.get("inner_start"), r.get("inner_end")) for r in found if r["kind"] == "gap"]
+
+    bad = bytearray(b"".join(records))
+    bad[inner[2] + 5000] ^= 255  # the digest of one record in a whole member
+    found = list(warc.scan((member := gzip.compress(bytes(bad), mtime=0)) + after))
+    assert pages(found) == [0, 1, 3, 4, 5, 9] and places(found) == [(0, len(member), inner[2], inner[3])]
+
+    cut = whole[:int(len(whole) * 0.7)]  # the tail is lost: four records are whole
+    found = list(warc.scan(cut))
+    assert pages(found) == [0, 1, 2, 3] and found[-1]["reason"] == "member without end"
+    assert [(a, b, c) for a, b, c, _ in places(found)] == [(0, len(cut), inner[4])]
+    assert pages(warc.scan(cut + after))[:4] == [0, 1, 2, 3] and pages(warc.scan(cut + after))[-1] == 9
+
+    whole = gzip.compress(b"".join(records) + b"A" * 3_000_000, mtime=0)
+    broken = whole[:-30] + b"\xff" * 30  # the bytes go bad behind the last record
+    assert pages(warc.scan(broken + after)) == [0, 1, 2, 3, 4, 5, 9]
+    wrong = whole[:-8] + bytes(8)  # only the sum is wrong
+    assert pages(warc.scan(wrong)) == [0, 1, 2, 3, 4, 5]
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "src bigint, dst bigint")).collect()}
