@@ -46,6 +46,11 @@ def _widths(path: str) -> np.ndarray:
     return out
 
 
+def vocabulary_size(path: str, *others: int) -> int:
+    """One more than the largest id of the library's vocabulary and ``others``."""
+    return max(len(_widths(path)), *(i + 1 for i in others))
+
+
 class _Cache:
     """Ids of pieces in two generations: a full young one becomes the old one, whose pieces in use come back."""
 

@@ -168,14 +168,19 @@ def stretch_sizes(n_ids: Iterable[int]) -> np.ndarray:
 # ---- Spark -------------------------------------------------------------------------------
 
 
+def id_type(vocabulary: int) -> str:
+    """u16 where all ids below ``vocabulary`` fit, else u32; little-endian."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def token_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
-    """``doc_id, ids`` (little-endian u16 where all ids fit, else u32), the end id appended."""
-    end = np.array([end_id], "<u4").tobytes()
+    """``doc_id, ids`` (of the ``id_type`` of the tokenizer's vocabulary and the end id), the end id appended."""
+    end, kind = np.array([end_id], "<u4").tobytes(), id_type(bpe.vocabulary_size(path, end_id))
 
     def encode(batches):
         for batch in batches:
             for at, part in bpe.in_parts(batch.column(1).to_pylist()):
-                held = [np.frombuffer(ids + end, "<u4").astype("<u2").tobytes() for ids in bpe.encode(part, path)]
+                held = [np.frombuffer(ids + end, "<u4").astype(kind).tobytes() for ids in bpe.encode(part, path)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(part)), pa.array(held, pa.binary())], names=["doc_id", "ids"]
                 )
@@ -186,12 +191,13 @@ def token_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
 
 def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     """Occurrences of every id over the whole table; the driver gets one number per vocabulary entry."""
+    kind = id_type(vocabulary)
 
     def count(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), "<u2"), minlength=vocabulary)
+                total += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
@@ -203,8 +209,11 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
 
 def write_files(tokens: DataFrame, path: str, vocabulary: int = 1 << 16) -> None:
-    """Code all documents and write them in ascending ``doc_id`` below ``path``."""
-    spark = tokens.sparkSession
+    """Code all documents and write them in ascending ``doc_id`` below ``path``; ids are of ``id_type(vocabulary)``.
+
+    A code of ``MAX_BITS`` bits has room for 65,536 ids in use; more raise.
+    """
+    spark, kind = tokens.sparkSession, id_type(vocabulary)
     lengths = code_lengths(id_counts(tokens, vocabulary))
     codes = canonical(lengths)
     used = np.flatnonzero(lengths)
@@ -219,7 +228,7 @@ def write_files(tokens: DataFrame, path: str, vocabulary: int = 1 << 16) -> None
             while at < len(raw):
                 arrays, size, start = [], 0, at
                 while at < len(raw) and size < BLOCK_IDS:
-                    arrays.append(np.frombuffer(raw[at].as_buffer(), "<u2"))
+                    arrays.append(np.frombuffer(raw[at].as_buffer(), kind))
                     size += len(arrays[-1])
                     at += 1
                 sizes = np.array([len(a) for a in arrays], np.int64)
@@ -273,5 +282,5 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> DataFrame:
-    write_files(materialise(token_table(docs, tokenizer, end_id), "ids"), path)
+    write_files(materialise(token_table(docs, tokenizer, end_id), "ids"), path, bpe.vocabulary_size(tokenizer, end_id))
     return read_files(docs.sparkSession, path)

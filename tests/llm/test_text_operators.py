@@ -120,6 +120,16 @@ def test_files_give_the_ids_back(spark, docs, none):
     assert huffman.round_trip(none, path, scratch_path(spark, "huffman")).count() == 0
 
 
+def test_wide_ids_do_not_wrap(spark):
+    path, end = public_tokenizers.path("byte_bpe_50k.json"), 70_000
+    few = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in huffman.round_trip(few, path, scratch_path(spark, "huffman"), end).collect()}
+    for doc, text in ((1, "one two"), (2, "")):
+        ids = np.append(np.frombuffer(bpe.encode([text], path)[0], "<u4"), np.uint32(end)).astype("<u4")
+        assert got[doc] == (len(ids), zlib.crc32(ids.tobytes()))
+    assert huffman.id_type(1 << 16) == "<u2" and huffman.id_type((1 << 16) + 1) == "<u4"
+
+
 def test_packing_is_gapless_and_close_to_the_bound(spark, docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(packing.pieces(docs, path)).collect()
