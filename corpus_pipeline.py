@@ -43,7 +43,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-# Components, string covers and token ids are beyond SQL; tests hold the result against brute force.
+# Components, string covers and token ids are beyond SQL; tests hold each stage's operator against brute force, not the chain.
 ORACLE_SQL = None
 
 
