@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from querysieve.llm import license_scan
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op3_quality_cascade"] = r"""
@@ -90,3 +92,49 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(length(role) + length(body) + 20)::BIGINT AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _values(rows) -> str:
+    quoted = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({', '.join(map(quoted, r))})" for r in rows)
+
+
+def _license_sql() -> str:
+    known = license_scan.Templates(license_scan.TEMPLATES, license_scan.PERCENT)
+    wanted = _values([
+        (number, label, known.span(words), license_scan.needed(len(set(words)), known.percent), len(set(words)), word.decode())
+        for number, (label, words) in enumerate(known.held) for word in sorted(set(words))
+    ])
+    phrases = _values([
+        (label, phrase, k, len(phrase.split()), word) for phrase, label in license_scan.PHRASES for k, word in enumerate(phrase.split())
+    ])
+    return f"""
+WITH wanted(template, label, span, least, size, word) AS (VALUES {wanted}), phrases(label, phrase, k, n, word) AS (VALUES {phrases}),
+held AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents
+), spots AS (
+  SELECT * FROM (SELECT r, unnest(range(len(w)))::BIGINT AS spot, unnest(w) AS word FROM held)
+  WHERE word IN (SELECT word FROM wanted UNION ALL SELECT word FROM phrases)
+), base AS (
+  SELECT r, spot - k AS spot, label FROM spots JOIN phrases USING (word) GROUP BY r, spot - k, label, phrase, n HAVING count(*) = n
+), based AS (
+  SELECT r, count(*)::BIGINT AS n_base, min(spot) AS first_word, max(spot) AS last_word, list(DISTINCT label) AS labels FROM base GROUP BY r
+), blocks AS (
+  SELECT DISTINCT r, c.span, spot // c.span - k AS block, word
+  FROM spots, (SELECT DISTINCT span FROM wanted) c, (VALUES (0), (1)) back(k)
+  WHERE spot // c.span >= k AND word IN (SELECT word FROM wanted)
+), met AS (
+  SELECT r, label, count(*)::DOUBLE / any_value(size) AS score FROM blocks JOIN wanted USING (span, word)
+  GROUP BY r, block, template, label HAVING count(*) >= any_value(least)
+), more AS (SELECT r, list(DISTINCT label) AS labels, max(score) AS score FROM met GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(array_to_string(list_sort(based.labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(based.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(more.score, 0.0) END::DOUBLE AS score
+FROM held LEFT JOIN based USING (r) LEFT JOIN more USING (r)
+"""
+
+
+ORACLE["op11_license_scan"] = _license_sql()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from querysieve.llm import chat, huffman, mixing, near_vectors, ngram_join, packing, quality, suffix_dedup, token_counts, warc
+from querysieve.llm import chat, huffman, license_scan, mixing, near_vectors, ngram_join, packing, quality, suffix_dedup, token_counts, warc
 from querysieve.session import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,11 @@ def op10_prefix_tree_join(spark, sf):
     return ngram_join.jaccard_groups(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query
+def op11_license_scan(spark, sf):
+    return license_scan.scan(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def _pipeline(spark, sf):
     import corpus_pipeline
 
