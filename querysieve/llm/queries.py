@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from querysieve.llm import chat, huffman, license_scan, mixing, near_vectors, ngram_join, packing, quality, spelling, suffix_dedup, token_counts, warc
+from querysieve.llm import alignment, chat, huffman, license_scan, mixing, near_vectors, ngram_join, packing, quality, spelling, suffix_dedup, token_counts, warc
 from querysieve.session import materialise, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,12 @@ def op11_license_scan(spark, sf):
     return license_scan.scan(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query
+def op12_merge_path_alignment(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return alignment.align(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 @query
 def op13_permuterm_variants(spark, sf):
     return spelling.variants(table(spark, sf, "documents").select("doc_id", "text"))
