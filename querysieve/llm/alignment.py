@@ -33,10 +33,10 @@ from querysieve.session import materialise, ship
 
 WORK = 32_768
 LISTED = 200_000  # it has no influence on results
-CHUNK_TOKENS = 600_000
-BUFFER = 3_000_000
-# Bytes of pieces and ids in each of the two generations of a worker's cache, about 250 beside them for each piece.
-CACHE_BYTES = 60_000_000
+CHUNK_TOKENS = 150_000
+BUFFER = 1_500_000
+# Bytes in each of the two generations of a worker's cache.
+CACHE_BYTES = 100_000_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -105,11 +105,6 @@ class Encoder:
         self.old: dict[str, tuple[bytes, bytes] | None] = {}
         self.held = 0
 
-    def _add(self, piece: str, ids_a: np.ndarray | None, ids_b: np.ndarray | None) -> None:
-        found = None if ids_a is None or ids_b is None else (ids_a.tobytes(), ids_b.tobytes())
-        self.young[piece] = found
-        self.held += 250 + 4 * len(piece)
-
     def load(self, pieces: set[str]) -> None:
         if self.held > CACHE_BYTES:
             self.young, self.old, self.held = {}, self.young, 0
@@ -117,7 +112,7 @@ class Encoder:
         for piece in pieces.difference(self.young):
             if piece in self.old:
                 self.young[piece] = self.old[piece]
-                self.held += 250 + 4 * len(piece)
+                self.held += 330 + 4 * len(piece)
             elif piece and bpe._IS_PLAIN.match(piece[0]) and bpe._IS_PLAIN.match(piece[-1]):
                 joinable.append(piece)
             else:
@@ -127,13 +122,13 @@ class Encoder:
             if not self._joined(part):
                 single += part
         for piece, ids_a, ids_b in zip(single, self.a.encode(single), self.b.encode(single)):
-            self._add(piece, ids_a, ids_b)
+            self.young[piece] = None if ids_a is None or ids_b is None else (ids_a.tobytes(), ids_b.tobytes())
+            self.held += 330 + 4 * len(piece)
 
     def _joined(self, pieces: list[str]) -> bool:
         """Encode pieces as one text and cut its ids where the pieces end."""
         text = " ".join(pieces)
-        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
-        cuts = []
+        ends, cuts = np.cumsum([len(p.encode()) + 1 for p in pieces]), []
         for side in (self.a, self.b):
             ids = side.encode([text])[0]
             if ids is None:
@@ -142,9 +137,10 @@ class Encoder:
             stops = np.searchsorted(upto, ends) + 1
             if (upto[stops - 1] != ends).any():
                 return False
-            cuts.append(np.split(ids, stops[:-1]))
-        for piece, ids_a, ids_b in zip(pieces, *cuts):
-            self._add(piece, ids_a, ids_b)
+            held, at = ids.tobytes(), (stops * ids.itemsize).tolist()
+            cuts.append([held[low:high] for low, high in zip([0, *at], at)])
+        self.young.update(zip(pieces, zip(*cuts)))
+        self.held += 330 * len(pieces) + len(text)
         return True
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
@@ -340,6 +336,7 @@ def pair_counts(pieces: DataFrame, path_a: str, path_b: str) -> DataFrame:
     names = ["row", "a", "b", "n"]
 
     def count(batches):
+        encoder.cache_clear()  # workers are used again
         a, b, seen, held = vocabulary(path_a), vocabulary(path_b), [], 0
 
         def batch_of(row, pair, n):
@@ -415,6 +412,7 @@ def _aligned(pieces: DataFrame, path_a: str, path_b: str, listed) -> DataFrame:
     """Per piece its numbers and groups, and rows of its pairs that are not listed."""
 
     def align(batches):
+        encoder.cache_clear()
         a, b = vocabulary(path_a), vocabulary(path_b)
         spelled, common = spelling(a.size, b.size), listed.value
         for batch in in_chunks(batches):
