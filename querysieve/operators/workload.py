@@ -7,12 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import log2, radians, sin, sqrt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-from querysieve.session import broadcast_if_small
+from querysieve.session import broadcast_if_small, materialise
 
 EARTH_RADIUS_KM = 6371
+# Cells of ten metres at the equator; computed distances of near places are off by less than the rounding.
+FINEST_LEVEL = 22
+ROUNDING_KM = 0.001
 
 
 def by_equality(df: DataFrame, column: str, value, columns: Sequence[str] | None = None) -> DataFrame:
@@ -114,21 +118,88 @@ def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(EARTH_RADIUS_KM) * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))
 
 
+def _cells(lat: Column, lon: Column, level: int) -> tuple[Column, Column]:
+    """Row and column of a place in a grid of ``2 ** level`` columns around the globe."""
+    size = 360.0 / 2**level
+    column = F.pmod(F.floor((lon + 180) / size), F.lit(2**level))
+    return F.floor((lat + 90) / size).cast("bigint"), column.cast("bigint")
+
+
+def covered_km(lat: Column, level: int) -> Column:
+    """Everything this near to a place of that latitude lies in its cell or one beside it."""
+    size = 360.0 / 2**level
+    if size >= 180:
+        return F.lit(float("inf"))
+    # The next row but one begins a cell's height away; a meridian that far off comes nearer towards a pole.
+    across = F.asin(F.cos(F.radians(lat)) * F.lit(sin(radians(min(size, 90.0)))))
+    return F.lit(EARTH_RADIUS_KM) * F.least(F.lit(radians(size)), across) - F.lit(ROUNDING_KM)
+
+
+def pairs_in_cells(airport: DataFrame, origin: DataFrame, level: int) -> DataFrame:
+    """Airports beside the origins (``_id, _lat, _lon, _north, _east``), met by grid cell."""
+    row, column = _cells(F.col("_north"), F.col("_east"), level)
+    beside = lambda c: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda step: c + step)
+    columns = F.array_distinct(F.transform(beside(column), lambda c: F.pmod(c, F.lit(2**level))))
+    asked = origin.withColumn("_row", F.explode(beside(row))).withColumn("_column", F.explode(columns))
+    row, column = _cells(F.col("_north"), F.col("_east"), level)
+    held = airport.withColumns({"_row": row, "_column": column}).drop("_north", "_east")
+    distance = great_circle(F.col("latitude_deg"), F.col("longitude_deg"), F.col("_lat"), F.col("_lon"))
+    met = held.join(asked.drop("_north", "_east"), ["_row", "_column"]).where(F.col("id") != F.col("_id"))
+    return met.select("id", "ident", "name", "latitude_deg", "longitude_deg", distance.alias("distance"), "_id")
+
+
 def nearest(airport: DataFrame, name: str, n: int = 50) -> DataFrame:
-    """The ``n`` airports nearest to the airports of a given name.
+    """The ``n`` airports nearest to the airports of a given name, by distance and id.
 
-    The origins of that name become an inner side of measured size; the ordered limit keeps
-    ``n`` rows per task.
+    Origins meet the airports of their own and the eight neighbouring cells of a grid whose cells hold about as many
+    pairs as are asked for. Origins whose neighbours could still be nearer than the n-th pair go on with larger cells,
+    until none is left or the cells cover the globe. Of airports at one place only the first ``n + 1`` can be among
+    the ``n`` rows, as origins and as neighbours, so a crowded place stays small. The driver holds ``n`` rows.
+
+    Airports without a place have no distance; such pairs come first, as nulls do. ``id`` is the key.
     """
-    origin = airport.where(F.col("name") == name).select(
-        F.col("id").alias("_id"), F.col("latitude_deg").alias("_lat"), F.col("longitude_deg").alias("_lon")
-    )
-    distance = great_circle(F.col("latitude_deg"), F.col("longitude_deg"), F.col("_lat"), F.col("_lon"))
-    return (
-        airport.join(broadcast_if_small(origin), F.col("id") != F.col("_id"))
-        .select("id", "ident", "name", "latitude_deg", "longitude_deg", distance.alias("distance"))
-        .orderBy("distance", "id").limit(n)
-    )
+    columns = ["id", "ident", "name", "latitude_deg", "longitude_deg"]
+    lat, lon = F.radians("latitude_deg"), F.radians("longitude_deg")
+    # The same place in the usual ranges, whatever turns the coordinates hold.
+    north = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(lat)))))
+    east = F.degrees(F.atan2(F.cos(lat) * F.sin(lon), F.cos(lat) * F.cos(lon)))
+    known = F.col("latitude_deg").isNotNull() & F.col("longitude_deg").isNotNull()
+    here = Window.partitionBy("latitude_deg", "longitude_deg").orderBy("id")
+
+    def few(df: DataFrame) -> DataFrame:
+        return df.where(known).withColumn("_at", F.row_number().over(here)).where(F.col("_at") <= n + 1).select(
+            *columns, north.alias("_north"), east.alias("_east")
+        )
+
+    origins = airport.where(F.col("name") == name).select(*columns)
+    held = materialise(few(airport.select(*columns)), "places")
+    asked = materialise(few(origins).select(
+        F.col("id").alias("_id"), F.col("latitude_deg").alias("_lat"), F.col("longitude_deg").alias("_lon"), "_north", "_east"
+    ), "origins")
+    pairs = held.count() * asked.count()
+    level = max(0, min(FINEST_LEVEL, int(log2(360 / sqrt(4 * n * 64800 / (9 * max(pairs, 1)))))))
+    best: dict[tuple, Row] = {}
+    while pairs:
+        for row in pairs_in_cells(held, asked, level).orderBy("distance", "id", "_id").limit(n).collect():
+            best[row["id"], row["_id"]] = row
+        ranked = sorted(best.values(), key=lambda r: (r["distance"], r["id"], r["_id"]))[:n]
+        best = {(r["id"], r["_id"]): r for r in ranked}
+        reached = ranked[-1]["distance"] if len(ranked) == n else float("inf")
+        asked = asked.where(covered_km(F.col("_north"), level) < reached)
+        if level <= 1 or asked.isEmpty():
+            break
+        level = max(1, level - 2)
+    spark, schema = airport.sparkSession, airport.select(*columns).schema.simpleString()[7:-1] + ",distance:double"
+    placed = spark.createDataFrame([tuple(r)[:6] for r in best.values()], schema)
+
+    def without_distance(rows: DataFrame, of: DataFrame) -> DataFrame:
+        first = [r["id"] for r in of.orderBy("id").limit(n + 1).select("id").collect()]
+        rows = rows.orderBy("id").limit(n + 1).withColumn("_id", F.explode(F.array(*map(F.lit, first)).cast("array<bigint>")))
+        return rows.where(F.col("id") != F.col("_id")).select(*columns, F.lit(None).cast("double").alias("distance"))
+
+    every = airport.select(*columns)
+    unplaced = without_distance(every.where(~known), origins).unionByName(without_distance(every.where(known), origins.where(~known)))
+    return unplaced.unionByName(placed).orderBy("distance", "id").limit(n)
 
 
 def airports_in_region(airport: DataFrame, regions: DataFrame, region: str) -> DataFrame:

