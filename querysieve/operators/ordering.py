@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -116,3 +117,48 @@ def exact_quantile(
         .agg(at("_lo").alias("_a"), at("_hi").alias("_b"), F.max(F.col("_t") - F.col("_lo")).alias("_f"))
         .select(*groups, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(name))
     )
+
+
+def bracketed_quantile(df: DataFrame, value: str, q: float, low: float, high: float, bins: int = 4096, few: int = 20_000) -> float:
+    """Linear-interpolation quantile of finite values between two bounds, exact, without sorting or writing them.
+
+    Values are counted in equal bins and the bin of each wanted rank is divided again until it holds few rows or
+    cannot be divided; only that bin's different values reach the driver, or ``bins`` counts. Each division reads ``df`` once.
+    Null and not-a-number count as no value; no values give nan.
+    """
+    held = F.col(value)
+
+    def counted(low: float, high: float) -> dict[int, tuple[int, float, float]]:
+        width = (high - low) / bins
+        place = F.least(F.greatest(F.floor((held - F.lit(low)) / F.lit(width)), F.lit(0)), F.lit(bins - 1))
+        rows = df.where(held.between(low, high)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        return {r["b"]: (r["n"], r["lo"], r["hi"]) for r in rows.collect()}
+
+    def find(ranks: list[int], held_bins: dict[int, tuple[int, float, float]]) -> dict[int, float]:
+        out, before, inside = {}, 0, {}
+        for b in sorted(held_bins):
+            n = held_bins[b][0]
+            for rank in ranks:
+                if before <= rank < before + n:
+                    inside.setdefault(b, []).append((rank, rank - before))
+            before += n
+        for b, wanted in inside.items():
+            n, lo, hi = held_bins[b]
+            if n <= few or hi - lo <= 1e-13 * max(abs(lo), abs(hi)):
+                rows = df.where(held.between(lo, hi)).groupBy(value).agg(F.count("*").alias("n")).collect() if lo < hi else [{value: lo, "n": n}]
+                rows, at = sorted((r[value], r["n"]) for r in rows), 0
+                for x, times in rows:
+                    out |= {rank: x for rank, place in wanted if at <= place < at + times}
+                    at += times
+            else:
+                deeper = find([place for _, place in wanted], counted(lo, hi))
+                out |= {rank: deeper[place] for rank, place in wanted}
+        return out
+
+    first = counted(low, high)
+    target = (sum(n for n, *_ in first.values()) - 1) * q
+    if target < 0:
+        return float("nan")
+    values = find([floor(target), ceil(target)], first)
+    below, above = values[floor(target)], values[ceil(target)]
+    return below + (above - below) * (target - floor(target))

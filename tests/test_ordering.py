@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from querysieve.operators import ordering
 from querysieve.operators.ordering import exact_quantile, global_index, previous_row, running_sums
 
 
@@ -46,3 +47,14 @@ def test_exact_quantile(spark):
         for g, part in pdf.groupby("g"):
             assert abs(got[g] - np.percentile(part["v"], q * 100)) < 1e-9
     assert abs(exact_quantile(df, "v", 0.25).first()[0] - np.percentile(pdf["v"], 25)) < 1e-9
+
+
+def test_bracketed_quantile_is_exact(spark):
+    rng = np.random.default_rng(2)
+    for x in (rng.normal(size=3000), np.round(rng.normal(size=3000), 1), np.r_[np.zeros(2000), rng.normal(size=9) * 1e-9], np.array([1.5])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "d double")
+        for q in (0.0, 0.05, 0.5, 0.999, 1.0):
+            for kw in ({}, {"bins": 4, "few": 3}):
+                got = ordering.bracketed_quantile(df, "d", q, -10.0, 10.0, **kw)
+                assert abs(got - np.quantile(x, q)) <= 1e-15, (q, kw)
+    assert np.isnan(ordering.bracketed_quantile(df.limit(0), "d", 0.5, 0.0, 1.0))
