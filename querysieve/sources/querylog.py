@@ -8,16 +8,17 @@ from querysieve.functions.text import null_if_token
 from querysieve.operators.ordering import global_index
 from querysieve.schemas import QUERY_LOG
 from querysieve.sources.catalogue import CSV_OPTIONS
+from querysieve.sources.records import read_csv
 
 
 def read_log(
     spark: SparkSession, path: str, null_tokens: list[str] | None = None
 ) -> DataFrame:
-    """Typed eleven-column scan; quoted statements may hold quotes and line breaks.
+    """Typed eleven-column scan; quoted statements may hold quotes and line breaks, files are split at any byte.
 
     Empty strings come back as null. ``null_tokens`` adds further null spellings.
     """
-    df = spark.read.schema(QUERY_LOG).options(**CSV_OPTIONS).csv(path)
+    df = read_csv(spark, path, QUERY_LOG, CSV_OPTIONS)
     return with_null_tokens(df, null_tokens) if null_tokens is not None else df
 
 

@@ -1,10 +1,14 @@
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from querysieve.functions.text import NULL_TOKENS
 from querysieve.schemas import QUERY_LOG, STATEMENT_SHARES
 from querysieve.session import broadcast_if_small, scratch_path, scratch_root
-from querysieve.sources import catalogue as ca, curves as cu, dictionaries as di, querylog as ql
+from querysieve.sources import catalogue as ca, curves as cu, dictionaries as di, querylog as ql, records
 
 
 def test_log_round_trip(spark):
@@ -21,6 +25,38 @@ def test_log_round_trip(spark):
     assert ql.read_log(spark, path, NULL_TOKENS).where("full_query IS NULL").count() == 1
 
 
+@pytest.mark.parametrize("size", ["37", "64", "1000"])
+def test_records_with_line_breaks_come_from_many_ranges(spark, tmp_path, size):
+    draw = random.Random(5)
+    cell = lambda: draw.choice(["a", "", "x,y", 'say ""no""', "two\nlines", "\n\n", "é\n" * draw.randint(1, 40), "1 = 1 -- '"])
+    for file, end in (("one.csv", "\n"), ("two.csv", "\r\n")):
+        lines = ['a,"b', 'c",n'] if file == "one.csv" else ["a,b,n"]
+        lines += [f'"{cell()}","{cell()}",{i}' for i in range(60)] + ["", f"plain,,{60}"]
+        (tmp_path / file).write_bytes(end.join(lines).encode())
+    schema = spark.createDataFrame([], "a string, b string, n int").schema
+    want = []
+    for file in ("one.csv", "two.csv"):
+        held = (tmp_path / file).read_text(newline="").replace("\r\n", "\n")
+        want += [tuple(int(v) if k == 2 else v or None for k, v in enumerate(r)) for r in list(csv.reader(io.StringIO(held)))[1:] if r]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        df = records.read_csv(spark, str(tmp_path), schema, ca.CSV_OPTIONS)
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(want, key=repr)
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 5
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_records_of_nothing(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "header.csv").write_text("a,b\n")
+    schema = spark.createDataFrame([], "a string, b string").schema
+    assert records.read_csv(spark, str(tmp_path), schema, ca.CSV_OPTIONS).count() == 0
+
+
 def test_split_sink_prunes(spark):
     path = scratch_path(spark, "sink")
     df = spark.range(10).select("id", F.when(F.col("id") < 3, "train").otherwise("test").alias("split"))
