@@ -60,6 +60,8 @@ SPACE = "(?U)[\\s\\x1c-\\x1f]"
 ENCLOSED = "\\x{24B6}-\\x{24CF}\\x{1F130}-\\x{1F149}\\x{1F150}-\\x{1F169}\\x{1F170}-\\x{1F189}"
 SPECIAL = f"(?U)[^\\p{{L}}\\p{{N}}\\s\\x1c-\\x1f/*+\\-\\[\\](){{}}{ENCLOSED}]"
 
+ROLLING_PRIME, ROLLING_BASE = 2147483647, 1000003
+
 FEATURES = [
     "len_query", "has_null", "has_comment", "has_query_keywords", "has_union",
     "has_database_keywords", "has_connection_keywords", "has_file_keywords", "has_exec",
@@ -96,22 +98,42 @@ def _count_class(text: Column, char_class: str) -> Column:
     return (F.length(text) - F.length(F.regexp_replace(text, char_class, ""))).cast("int")
 
 
+def _ends_meet(left: Column, right: Column) -> Column:
+    """Some end of ``left`` is a beginning of ``right``."""
+    most = F.least(F.length(left), F.length(right))
+    characters = F.arrays_zip(
+        F.reverse(F.split(F.right(left, most), "")).alias("x"), F.split(F.left(right, most), "").alias("y")
+    )
+    number = lambda c: F.ascii(c).cast("bigint")
+    whole = lambda n: F.lit(n).cast("bigint")
+
+    def step(held: Column, pair: Column) -> Column:
+        end = F.pmod(held["end"] + number(pair["x"]) * held["weight"], whole(ROLLING_PRIME))
+        begin = F.pmod(held["begin"] * whole(ROLLING_BASE) + number(pair["y"]), whole(ROLLING_PRIME))
+        size = held["size"] + 1
+        met = held["met"] | ((end == begin) & (F.right(left, size) == F.left(right, size)))
+        weight = F.pmod(held["weight"] * whole(ROLLING_BASE), whole(ROLLING_PRIME))
+        return F.struct(end.alias("end"), begin.alias("begin"), weight.alias("weight"), size.alias("size"), met.alias("met"))
+
+    start = F.struct(
+        whole(0).alias("end"), whole(0).alias("begin"), whole(1).alias("weight"), F.lit(0).alias("size"), F.lit(False).alias("met")
+    )
+    return F.aggregate(characters, start, step)["met"]
+
+
 def has_tautology(text: Column) -> Column:
     """Some non-empty run of word characters stands on both sides of an equals sign.
 
-    Linear form of a back-reference match: for each ``left=right`` pair of maximal runs,
-    some suffix of the left run equals a prefix of the right run of the same length. Only
-    texts with an equals sign between word characters get that far.
+    For each ``left=right`` pair of maximal runs, some suffix of the left run equals a prefix of the right
+    run of the same length. One fold over the length keeps a rolling hash of both ends, so the work is linear
+    in the runs; ends are compared as text where their hashes agree. Only texts with an equals sign between
+    word characters get that far.
     """
     touching = text.rlike(f"=(?<=[{WORD}]=)[{WORD}]")
     pattern = f"(?<![{WORD}])([{WORD}]++)=(?=([{WORD}]+))"
     left = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     right = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    meets = lambda a, b: F.exists(
-        F.sequence(F.lit(1), F.least(F.length(a), F.length(b))),
-        lambda k: F.right(a, k) == F.left(b, k),
-    )
-    found = F.exists(F.arrays_zip(left.alias("l"), right.alias("r")), lambda p: meets(p["l"], p["r"]))
+    found = F.exists(F.arrays_zip(left.alias("l"), right.alias("r")), lambda p: _ends_meet(p["l"], p["r"]))
     return F.when(text.isNull(), F.lit(None)).when(touching, _flag(found)).otherwise(F.lit(0))
 
 

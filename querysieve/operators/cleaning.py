@@ -86,9 +86,19 @@ def extract_payload(log: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def drop_default_queries(log: DataFrame, defaults: DataFrame) -> DataFrame:
-    """Drop rows equal to their template's default statement; rows without one stay."""
-    keys = ["query_template_id", "full_query"]
-    return log.join(broadcast_if_small(defaults.select(*keys).distinct()), keys, "left_anti").select(*log.columns)
+    """Drop rows equal to their template's default statement; rows without one stay.
+
+    Rows meet by template and a hash of the text, so no text is a key; texts are compared where both agree.
+    """
+    hashed = lambda df: F.xxhash64(df["full_query"])
+    known = defaults.where(F.col("query_template_id").isNotNull() & F.col("full_query").isNotNull())
+    side = known.groupBy(F.col("query_template_id").alias("_template"), hashed(known).alias("_hash")).agg(
+        F.collect_set("full_query").alias("_texts")
+    )
+    met = (F.col("query_template_id") == F.col("_template")) & (hashed(log) == F.col("_hash"))
+    joined = log.join(broadcast_if_small(side), met, "left")
+    same = F.coalesce(F.array_contains("_texts", F.col("full_query")), F.lit(False))
+    return joined.where(~same).select(*[log[c] for c in log.columns])
 
 
 def campaign_outcome(attacks: DataFrame, order: str = "id") -> DataFrame:

@@ -9,10 +9,20 @@ from pyspark.sql import DataFrame, functions as F
 from querysieve.session import broadcast_if_small
 
 STAGES = ["exploit", "recon"]
+MOST_STAGES = 1000
 
 
-def stage_pivot(log: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
-    """Rows per campaign and stage, zero-filled; a stage that is not listed raises."""
+def found_stages(log: DataFrame) -> list[str]:
+    """The usual stages and all others of the log, in order; too many for columns raise."""
+    found = log.select("attack_stage").where(F.col("attack_stage").isNotNull()).distinct().limit(MOST_STAGES + 1).collect()
+    if len(found) > MOST_STAGES:
+        raise ValueError(f"more than {MOST_STAGES} stages")
+    return sorted({*STAGES, *(r[0] for r in found)})
+
+
+def stage_pivot(log: DataFrame, stages: Sequence[str] | None = None) -> DataFrame:
+    """Rows per campaign and stage, zero-filled: all stages found, or those given, beside which any other raises."""
+    stages = found_stages(log) if stages is None else stages
     stage = F.col("attack_stage")
     unknown = F.raise_error(F.concat(F.lit("unlisted stage "), stage)).cast("string")
     return (

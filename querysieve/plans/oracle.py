@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from querysieve.operators import build as bu
 from querysieve.plans import fixtures as fx
 from querysieve.operators.synth import SLOT_FIELDS, SLOT_FILLER, SLOT_ROLE, SLOT_TEMPLATE, SLOT_VARIANT
 from querysieve.functions import draws as dr, lexical as lx, text as tx
@@ -264,13 +267,14 @@ O = ORACLE
 # sources
 O["scan_templates"] = w(CATALOG) + f"SELECT template, ID, description, payload_type, proportion, statement_type, array_to_string({suffixed(names_of('template'))}, ' ') AS placeholders FROM catalog"
 O["scan_dictionaries"] = O["build_dictionaries"] = w(DICTS) + "SELECT * FROM dicts"
-O["check_proportions"] = """WITH s AS (SELECT count(*) / (SELECT count(*) FROM orders) AS p FROM orders GROUP BY o_orderpriority)
-SELECT round(sum(p), 6) AS total, abs(sum(p) - 1) <= 1e-9 AS ok FROM s"""
+O["check_proportions"] = """SELECT o_orderstatus, round(1 - lost / n, 6) AS total, lost = 0 AS ok
+FROM (SELECT o_orderstatus, count(*) AS n, count(*) FILTER (o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') AS lost FROM orders GROUP BY 1)"""
 LOG_COLUMNS = "full_query, label, nullif(user_inputs, '') AS user_inputs, attack_stage, tamper_method, attack_status, statement_type, query_template_id, attack_id, attack_technique, split"
 O["scan_log"] = w(QLOG) + f"SELECT {LOG_COLUMNS} FROM qlog"
 O["null_tokens"] = f"""WITH t AS (SELECT {lst([*tx.NULL_TOKENS, 'nah', 'Null '])}[1 + CAST(o_orderkey % 21 AS INT)] || CASE WHEN o_orderstatus = 'P' THEN 'x' ELSE '' END AS v FROM orders)
 SELECT CASE WHEN v IN ({', '.join(q(t) for t in tx.NULL_TOKENS)}) THEN NULL ELSE v END AS value, count(*) AS n FROM t GROUP BY 1"""
 O["sink_log"] = w(QLOG) + "SELECT id, full_query, label, statement_type, split FROM slog"
+O["campaign_rerun"] = w(QLOG) + "SELECT query_template_id, attack_technique, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM qlog WHERE label = 1 GROUP BY 1, 2"
 O["resume_anti"] = w(QLOG) + """, done AS (SELECT DISTINCT query_template_id, attack_technique FROM qlog WHERE attack_stage = 'exploit'),
 todo AS (SELECT DISTINCT query_template_id, attack_technique FROM qlog WHERE label = 1 EXCEPT SELECT * FROM done)
 SELECT query_template_id, attack_technique, CAST((SELECT count(*) FROM done) + row_number() OVER (ORDER BY query_template_id, attack_technique) - 1 AS BIGINT) AS campaign_no FROM todo"""
@@ -293,6 +297,15 @@ O["assemble_normal"] = w(GENERATED) + "SELECT full_query, 0 AS label, user_input
 O["augment_count"] = w(QLOG) + "SELECT count(*) AS n_attack, CAST(floor(count(*) / CAST(0.1 AS DOUBLE)) AS BIGINT) - count(*) AS n_normal FROM slog WHERE split = 'test' AND label = 1"
 O["augment_test_split"] = w(QLOG) + """, a AS (SELECT count(*) AS n FROM slog WHERE label = 1)
 SELECT split, count(*) FILTER (label = 1) AS attacks, CAST(count(*) FILTER (label = 0) + CASE WHEN split = 'test' THEN (SELECT floor(n / CAST(0.1 AS DOUBLE)) - n FROM a) ELSE 0 END AS BIGINT) AS normals FROM slog GROUP BY split"""
+# The second batch of statements: the same views under other names, over the rows that the test split lacks.
+_AGAIN = re.sub(r"\b(aimed|sampled|expanded|slots|sizes|valued|gathered|filled)\b", r"\1_2", ",".join([SAMPLED[SAMPLED.index("aimed AS"):], conditions("sampled"), FILLED]))
+_AGAIN = _AGAIN.replace("FROM orders)", f"FROM (SELECT unnest(range((SELECT CAST(floor(count(*) / CAST(0.1 AS DOUBLE)) AS BIGINT) - count(*) FROM qlog WHERE label = 1))) + {bu.SECOND_BATCH} AS o_orderkey))")
+_RECORD = "CAST(NULL AS VARCHAR) AS attack_stage, CAST(NULL AS VARCHAR) AS tamper_method, CAST(NULL AS VARCHAR) AS attack_status, statement_type, ID AS query_template_id, CAST(NULL AS VARCHAR) AS attack_id, CAST(NULL AS VARCHAR) AS attack_technique"
+O["build_log"] = w(QLOG, GENERATED, _AGAIN) + f""", every AS (
+  SELECT full_query, label, user_inputs, attack_stage, tamper_method, attack_status, statement_type, query_template_id, attack_id, attack_technique, split FROM slog WHERE label = 1
+  UNION ALL SELECT full_query, 0, user_inputs, {_RECORD}, 'train' FROM filled UNION ALL SELECT full_query, 0, user_inputs, {_RECORD}, 'test' FROM filled_2)
+SELECT * REPLACE (CASE WHEN query_template_id IN (SELECT ID FROM catalog WHERE statement_type = 'admin') THEN '' ELSE user_inputs END AS user_inputs)
+FROM every WHERE full_query NOT IN (SELECT full_query FROM every GROUP BY 1 HAVING min(label) <> max(label))"""
 O["param_pool"] = w(CATALOG, DICTS) + f""", params AS (SELECT tid, unnest({suffixed(names_of('template'))}) AS param, generate_subscripts({names_of('template')}, 1) - 1 AS i FROM catalog WHERE template <> {q(fx.CONDITIONAL_TEMPLATE)}),
 picks AS (SELECT tid, param, i, c, regexp_replace(param, '[0-9]+$', '') AS dict_name, {SLOT_FILLER} + i * 10 + c AS slot FROM params, range(10) t(c)),
 sizes AS (SELECT dict_name, count(*) AS size FROM dicts GROUP BY 1),
@@ -339,9 +352,10 @@ _mab = lambda c: r6(f"greatest(0, least(1, {c} / (SELECT CAST(CASE WHEN max(abs(
 FIT = "fit AS (SELECT * FROM wide WHERE split = 'train')"
 O["scale_standard"] = w(QLOG, LEXICAL, FIT) + f"SELECT id, {', '.join(_std(c) for c in lx.FEATURES)} FROM wide"
 O["scale_maxabs"] = w(QLOG, LEXICAL, FIT) + f"SELECT id, {', '.join(_mab(c) for c in lx.FEATURES)} FROM wide"
-O["scale_counts"] = w(QLOG, VOCAB, DOC_TERMS) + """, nd AS (SELECT count(*) AS d FROM slog WHERE split = 'train'),
-dev AS (SELECT idx, sqrt(greatest(sum(n * n) / max(d) - (sum(n) / max(d)) * (sum(n) / max(d)), 0)) AS s FROM matrix, nd WHERE split = 'train' GROUP BY 1)
-SELECT id, CAST(m.idx AS BIGINT) AS idx, round(n / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS scaled FROM matrix m LEFT JOIN dev USING (idx)"""
+O["scale_counts"] = w(QLOG, VOCAB, DOC_TERMS) + """, summed AS (SELECT id, idx, n, (SELECT count(*) FROM slog WHERE split = 'train') AS d,
+  coalesce(sum(n) FILTER (split = 'train') OVER term, 0) AS s, coalesce(sum(n * n) FILTER (split = 'train') OVER term, 0) AS q FROM matrix WINDOW term AS (PARTITION BY idx)),
+dev AS (SELECT id, idx, n, sqrt(greatest(q / d - (s / d) * (s / d), 0)) AS s FROM summed)
+SELECT id, CAST(idx AS BIGINT) AS idx, round(n / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS scaled FROM dev"""
 O["feature_min_check"] = w(QLOG, LEXICAL) + " UNION ALL ".join(
     f"SELECT {q(c)} AS feature, CAST(min({c}) AS DOUBLE) AS minimum, min({c}) >= 0 AS ok FROM wide" for c in lx.FEATURES
 )
@@ -361,6 +375,7 @@ m AS (SELECT label, i, avg(x) AS m FROM c GROUP BY 1, 2)
 SELECT vec_id, round(avg((x - m) * (x - m)), 6) AS score FROM c JOIN m USING (label, i) GROUP BY 1"""
 
 # metrics
+O["fpr_threshold_sketch"] = w(QLOG, SCORES, thresholds(0.05)) + "SELECT model, count(*) AS n, true AS within_error FROM val GROUP BY 1"
 O["fpr_threshold"] = w(QLOG, SCORES, thresholds(0.001)) + "SELECT model, round(threshold, 6) AS threshold FROM thr"
 O["threshold_share"] = w(QLOG, SCORES, thresholds(0.05)) + "SELECT model, count(*) FILTER (score > threshold) AS n_above, round(count(*) FILTER (score > threshold) / count(*), 6) AS share_above FROM val JOIN thr USING (model) GROUP BY 1"
 O["confusion"] = w(QLOG, SCORES, PREDS, CONF) + "SELECT model, tn, fp, fn, tp, " + ", ".join(r6(c, c) for c in ("accuracy", "fone", "precision", "recall", "fpr")) + " FROM rates"
@@ -384,7 +399,8 @@ O["label_consistency"] = w(QLOG) + """, u AS (SELECT id, label FROM slog UNION A
 SELECT id, min(label) AS lowest, max(label) AS highest FROM u GROUP BY 1 HAVING min(label) <> max(label)"""
 
 # statistics
-O["stage_pivot"] = w(QLOG) + "SELECT attack_id, count(*) FILTER (attack_stage = 'exploit') AS exploit, count(*) FILTER (attack_stage = 'recon') AS recon FROM qlog WHERE attack_id IS NOT NULL GROUP BY 1"
+O["stage_pivot"] = w(QLOG) + """SELECT attack_id, count(*) FILTER (s = 'cleanup') AS cleanup, count(*) FILTER (s = 'exploit') AS exploit, count(*) FILTER (s = 'recon') AS recon
+FROM (SELECT attack_id, CASE WHEN label = 1 AND id % 11 = 0 THEN 'cleanup' ELSE attack_stage END AS s FROM qlog) WHERE attack_id IS NOT NULL GROUP BY 1"""
 O["success_rate"] = w(QLOG) + """, f AS (SELECT attack_id, arg_min(attack_technique, id) AS attack_technique, arg_min(attack_status, id) AS s FROM qlog WHERE label = 1 GROUP BY 1),
 c AS (SELECT attack_technique, count(*) FILTER (s = 'success') AS successful, count(*) AS n FROM f GROUP BY 1),
 t AS (SELECT attack_technique, count(*) AS total_queries FROM qlog WHERE label = 1 GROUP BY 1)
@@ -440,7 +456,11 @@ _WL = {
       UNION ALL SELECT 'region', CAST(id AS BIGINT), CASE WHEN iso_country = '4' THEN 'moved' ELSE keywords END, NULL FROM regions""",
     "wl_update_in": "SELECT id, airport_ident, CASE WHEN airport_ident IN ('Customer#000000001', 'Customer#000000002', 'Customer#000000004', 'Customer#000000005') THEN 'TWR' ELSE type END AS type FROM airport_frequencies",
     "wl_insert": """SELECT 'airport' AS relation, ident AS code, CAST(id AS BIGINT) AS id, name, iso_country FROM airport UNION ALL SELECT 'airport', 'new-' || s_name, NULL, s_name, NULL FROM supplier
-      UNION ALL SELECT 'region', code, CAST(id AS BIGINT), name, iso_country FROM regions UNION ALL SELECT 'region', 'S-' || s_suppkey, NULL, s_name, '9' FROM supplier""",
+      UNION ALL SELECT 'region', code, CAST(id AS BIGINT), name, iso_country FROM regions UNION ALL SELECT 'region', 'S-' || s_suppkey, NULL, s_name, '9' FROM supplier
+      UNION ALL SELECT 'country', code, CAST(id AS BIGINT), name, NULL FROM countries UNION ALL SELECT 'country', 'C' || n_nationkey, NULL, n_name, NULL FROM nation
+      UNION ALL SELECT 'frequency', airport_ident, CAST(id AS BIGINT), type, NULL FROM airport_frequencies UNION ALL SELECT 'frequency', c_name, CAST(-c_custkey - 1 AS BIGINT), 'TWR', NULL FROM customer
+      UNION ALL SELECT 'runway', airport_ident, CAST(id AS BIGINT), surface, NULL FROM runways UNION ALL SELECT 'runway', c_name, CAST(-c_custkey - 1 AS BIGINT), 'ASP', NULL FROM customer
+      UNION ALL SELECT 'navaid', ident, CAST(id AS BIGINT), name, iso_country FROM navaids UNION ALL SELECT 'navaid', 'N-' || p_partkey, CAST(-p_partkey - 1 AS BIGINT), p_name, NULL FROM part""",
     "wl_delete": """SELECT 'airport' AS relation, CAST(id AS BIGINT) AS id FROM airport WHERE ident <> 'Customer#000000003' AND (gps_code IS NULL OR gps_code <> 'G7')
       UNION ALL SELECT 'frequency', id FROM airport_frequencies WHERE type <> '1-URGENT' UNION ALL SELECT 'runway', id FROM runways WHERE airport_ident <> 'Customer#000000010'
       UNION ALL SELECT 'navaid', id FROM navaids WHERE ident <> 'Supplier#000000002' UNION ALL SELECT 'country', id FROM countries WHERE code <> '0' UNION ALL SELECT 'region', id FROM regions WHERE name <> 'NATION_7'""",
@@ -449,3 +469,10 @@ _WL = {
     "missing_references": "SELECT id FROM airport WHERE id NOT IN (SELECT airport_ref FROM runways)",
 }
 O |= {key: w(AIRPORT) + sql for key, sql in _WL.items()}
+
+# streamed scores of fixed weights
+_cell = lambda j: f"(((7 * (i - 1) + 3 * {j}) % 11) - 5) / 10"
+O["ocsvm_stream"] = "WITH c AS (SELECT vec_id AS id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), " + (
+    "p AS (SELECT id, label, " + ", ".join(f"sum(x * {_cell(j)}) AS p{j}" for j in range(8)) + " FROM c GROUP BY 1, 2) "
+    "SELECT id, label, round(0.125 - 0.5 * (" + " + ".join(f"{(j % 3 - 1) / 4} * cos(p{j} + {j / 8})" for j in range(8)) + "), 6) AS score FROM p"
+)

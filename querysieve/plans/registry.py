@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from querysieve.functions import draws as dr, lexical as lx, text as tx
 from querysieve.functions.vectors import mean_squared_error
-from querysieve.operators import bagofwords as bow, cleaning as cl, embedding as em, metrics as me
+from querysieve.operators import bagofwords as bow, build as bu, cleaning as cl, embedding as em, metrics as me
 from querysieve.operators import scaling as sc, stats as st, synth as sy, workload as wl
 from querysieve.operators.detectors import hashed, lof, neighbours as nb, ocsvm
 from querysieve.operators.ordering import global_index
@@ -89,12 +90,13 @@ def build_dictionaries(spark, sf):
 
 @query("check_proportions")
 def check_proportions(spark, sf):
+    """Shares of a catalogue per order status; that of status P lacks its urgent part, so its check fails."""
     orders = table(spark, sf, "orders")
-    total = orders.agg(F.count("*"))
-    shares = orders.groupBy("o_orderpriority").agg(F.count("*").alias("n")).withColumn(
-        "proportion", F.col("n") / total.scalar()
-    )
-    return ca.share_check(shares)
+    totals = orders.groupBy("o_orderstatus").agg(F.count("*").alias("total"))
+    shares = orders.groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")).join(F.broadcast(totals), "o_orderstatus")
+    whole = (F.col("o_orderstatus") != "P") | (F.col("o_orderpriority") != "1-URGENT")
+    given = shares.where(whole).withColumn("proportion", F.col("n") / F.col("total"))
+    return ca.share_check(given, groups=["o_orderstatus"])
 
 
 @query("scan_log")
@@ -130,6 +132,24 @@ def resume_anti(spark, sf):
     return ql.pending_campaigns(attacks, done)
 
 
+@query("campaign_rerun")
+def campaign_rerun(spark, sf):
+    """A run that is lost between its rows and its markers, and the run after it."""
+    attacks = fx.qlog(spark, sf).where(F.col("label") == 1).select("id", *ql.CAMPAIGN, "attack_status")
+    path = scratch_path(spark, "campaigns")
+    number = global_index(attacks.select(*ql.CAMPAIGN).distinct(), [F.col(c) for c in ql.CAMPAIGN], "_n")
+    number = materialise(number, "numbered")
+    of = lambda part: attacks.join(number.where(part).select(*ql.CAMPAIGN), ql.CAMPAIGN, "left_semi")
+    ql.finish_campaigns(of(F.col("_n") % 3 == 0), path)
+    ql.put_campaigns(of(F.col("_n") % 3 == 1).where(F.col("id") % 2 == 0), path)  # lost: half of the rows, no marker
+    todo = attacks.join(ql.unfinished(attacks, path).select(*ql.CAMPAIGN), ql.CAMPAIGN, "left_semi")
+    ql.finish_campaigns(todo, path)
+    ql.finish_campaigns(todo, path)  # a repeated run
+    return ql.finished_rows(spark, path).groupBy(*ql.CAMPAIGN).agg(
+        F.count("*").alias("n"), F.sum("id").cast("bigint").alias("ids")
+    )
+
+
 @query("scan_curves")
 def scan_curves(spark, sf):
     root = scratch_path(spark, "curves")
@@ -231,6 +251,14 @@ def augment_test_split(spark, sf):
     return st.split_label_counts(out)
 
 
+@query("build_log")
+def build_log(spark, sf):
+    attacks = fx.qlog(spark, sf).where(F.col("label") == 1)
+    return bu.build_log(
+        attacks, order_rows(spark, sf), fx.catalog(spark, sf), fx.dictionaries(spark, sf), DRAW, "o_orderkey", fx.SEARCH_FIELDS
+    )
+
+
 @query("param_pool")
 def param_pool(spark, sf):
     templates = fx.catalog(spark, sf).where(F.col("template") != fx.CONDITIONAL_TEMPLATE)
@@ -527,6 +555,21 @@ def fpr_threshold(spark, sf):
     return rounded(me.fpr_threshold(validation(fx.rule_scores(assigned(spark, sf)))), "threshold")
 
 
+@query("fpr_threshold_sketch")
+def fpr_threshold_sketch(spark, sf):
+    """Thresholds by a sketch; the exact scores tell whether their rank is as near as stated."""
+    val = materialise(validation(fx.rule_scores(assigned(spark, sf))), "validation")
+    rate = 0.05
+    held = val.join(F.broadcast(me.fpr_threshold_sketch(val, rate)), "model")
+    at = held.groupBy("model").agg(
+        F.count("*").alias("n"), F.count_if(F.col("score") < F.col("threshold")).alias("below"),
+        F.count_if(F.col("score") <= F.col("threshold")).alias("upto"), F.max("rank_error").alias("e"),
+    )
+    low, high = F.col("below") / F.col("n"), F.col("upto") / F.col("n")
+    near = (low - F.col("e") - 1 / F.col("n") <= 1 - rate) & (high + F.col("e") + 1 / F.col("n") >= 1 - rate)
+    return at.select("model", "n", near.alias("within_error"))
+
+
 @query("threshold_share")
 def threshold_share(spark, sf):
     val = validation(scored(spark, sf))
@@ -604,7 +647,9 @@ def label_consistency(spark, sf):
 
 @query("stage_pivot")
 def stage_pivot(spark, sf):
-    return st.stage_pivot(fx.qlog(spark, sf))
+    """A third stage, of every eleventh attack, becomes a column."""
+    late = F.when((F.col("label") == 1) & (F.col("id") % 11 == 0), "cleanup").otherwise(F.col("attack_stage"))
+    return st.stage_pivot(materialise(fx.qlog(spark, sf).select("attack_id", late.alias("attack_stage")), "stages"))
 
 
 @query("success_rate")
@@ -735,7 +780,7 @@ def wl_update_in(spark, sf):
 
 @query("wl_insert")
 def wl_insert(spark, sf):
-    """New regions and airports derived from suppliers; missing columns stay null."""
+    """New rows of all six relations, from suppliers, nations, customers and parts; missing columns stay null."""
     t, supplier = fx.airport_tables(spark, sf), table(spark, sf, "supplier")
     airports_ = supplier.select(
         F.concat(F.lit("new-"), "s_name").alias("ident"), F.lit("heliport").alias("type"), F.col("s_name").alias("name"),
@@ -751,7 +796,29 @@ def wl_insert(spark, sf):
     r = wl.insert(t["regions"], regions_, "code").select(
         F.lit("region").alias("relation"), "code", F.col("id").cast("bigint").alias("id"), "name", "iso_country"
     )
-    return a.unionByName(r)
+    customer, s = table(spark, sf, "customer"), lambda c: F.col(c).cast("string")
+    countries_ = table(spark, sf, "nation").select(F.concat(F.lit("C"), s("n_nationkey")).alias("code"), F.col("n_name").alias("name"))
+    at = [(-F.col("c_custkey") - 1).alias("id"), F.col("c_custkey").alias("airport_ref"), F.col("c_name").alias("airport_ident")]
+    frequencies_ = customer.select(*at, F.lit("TWR").alias("type"), F.lit(118.1).alias("frequency_mhz"))
+    runways_ = customer.select(*at, F.lit(2500).alias("length_ft"), F.lit("ASP").alias("surface"))
+    navaids_ = table(spark, sf, "part").select(
+        (-F.col("p_partkey") - 1).alias("id"), F.concat(F.lit("N-"), s("p_partkey")).alias("ident"), F.col("p_name").alias("name"),
+        F.lit("VOR").alias("type"),
+    )
+    none = F.lit(None).cast("string")
+    rest = [
+        ("country", "countries", countries_, "code", "code", "name", none),
+        ("frequency", "airport_frequencies", frequencies_, "id", "airport_ident", "type", none),
+        ("runway", "runways", runways_, "id", "airport_ident", "surface", none),
+        ("navaid", "navaids", navaids_, "id", "ident", "name", F.col("iso_country")),
+    ]
+    out = a.unionByName(r)
+    for kind, name, rows, key, code, label, country in rest:
+        out = out.unionByName(wl.insert(t[name], rows, key).select(
+            F.lit(kind).alias("relation"), F.col(code).alias("code"), F.col("id").cast("bigint").alias("id"), F.col(label).alias("name"),
+            country.alias("iso_country"),
+        ))
+    return out
 
 
 @query("wl_delete")
@@ -792,3 +859,18 @@ def missing_references(spark, sf):
 @query("stream_features")
 def stream_features(spark, sf):
     return ss.stream_lexical(spark, fx.qlog(spark, sf).select("id", "full_query"))
+
+
+def fixed_machine(dim: int = 64, features: int = 8) -> ocsvm.OneClassModel:
+    """A one-class machine of small fixed weights."""
+    i, j = np.arange(dim)[:, None], np.arange(features)
+    return ocsvm.OneClassModel(dim, (j % 3 - 1) / 4, 0.125, ((7 * i + 3 * j) % 11 - 5) / 10, j / 8)
+
+
+@query("ocsvm_stream")
+def ocsvm_stream(spark, sf):
+    """Scores of a stream that is stopped in the middle and resumed from its checkpoint."""
+    rows = vectors(spark, sf).select("id", "label", "vec")
+    score = lambda df: ocsvm.score_ocsvm(fixed_machine(), df)
+    scored_ = ss.stop_and_resume(spark, rows.repartition(6, "id"), score)
+    return rounded(scored_.select("id", "label", "score"), "score")

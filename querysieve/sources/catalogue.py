@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -24,10 +25,10 @@ def check_shares(shares: dict[str, float]) -> dict[str, float]:
     return shares
 
 
-def share_check(shares: DataFrame, column: str = "proportion") -> DataFrame:
-    """The same check on a table of shares: one row (total, ok)."""
+def share_check(shares: DataFrame, column: str = "proportion", groups: Sequence[str] = ()) -> DataFrame:
+    """The same check on a table of shares: (total, ok) of each group, or of the table."""
     total = F.sum(column)
-    return shares.agg(
+    return shares.groupBy(*groups).agg(
         F.round(total, 6).alias("total"), (F.abs(total - 1) <= F.lit(1e-9)).alias("ok")
     )
 

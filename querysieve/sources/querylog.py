@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from querysieve.functions.text import null_if_token
 from querysieve.operators.ordering import global_index
 from querysieve.schemas import QUERY_LOG
+from querysieve.session import materialise
 from querysieve.sources.catalogue import CSV_OPTIONS
 from querysieve.sources.records import read_csv
 
@@ -56,3 +58,40 @@ def pending_campaigns(planned: DataFrame, done: DataFrame) -> DataFrame:
 def append_campaigns(df: DataFrame, path: str) -> None:
     """Add finished campaigns, partitioned so that the next run sees them by listing only."""
     df.write.mode("append").partitionBy(*CAMPAIGN).parquet(path)
+
+
+def put_campaigns(df: DataFrame, path: str) -> None:
+    """Write whole campaigns below ``path``; what a lost run left of them is replaced, others stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*CAMPAIGN).parquet(f"{path}/rows")
+
+
+def finish_campaigns(df: DataFrame, path: str) -> None:
+    """Write whole campaigns and then mark them as done, so a run that is lost in between does them again.
+
+    Rows are replaced and markers counted once: repeated runs neither double nor skip a campaign.
+    """
+    held = materialise(df, "campaigns")
+    put_campaigns(held, path)
+    held.select(*CAMPAIGN).distinct().write.mode("append").parquet(f"{path}/done")
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame:
+    """The marked campaigns, each once."""
+    schema = ", ".join(f"{c} string" for c in CAMPAIGN)
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/done").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def unfinished(planned: DataFrame, path: str) -> DataFrame:
+    """Planned campaigns without a marker."""
+    done = finished(planned.sparkSession, path)
+    return planned.select(*CAMPAIGN).distinct().join(done, CAMPAIGN, "left_anti")
+
+
+def finished_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of marked campaigns only."""
+    return spark.read.parquet(f"{path}/rows").join(finished(spark, path), CAMPAIGN, "left_semi")

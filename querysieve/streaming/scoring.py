@@ -46,3 +46,23 @@ def stream_lexical(spark: SparkSession, rows: DataFrame) -> DataFrame:
     source = scratch_path(spark, "source")
     rows.write.parquet(source)
     return run_once(spark, source, rows.schema, with_lexical).select("id", *lx.FEATURES)
+
+
+def stop_and_resume(
+    spark: SparkSession, rows: DataFrame, transform: Callable[[DataFrame], DataFrame], files_per_trigger: int = 1
+) -> DataFrame:
+    """Replay a table as a stream that stops after its first batches and goes on from its checkpoint.
+
+    The second run sees the same source, sink and checkpoint: batches that are committed are not done again, those that
+    were not are, and the sink's log counts every file once.
+    """
+    source, sink, checkpoint = (scratch_path(spark, name) for name in ("source", "sink", "offsets"))
+    rows.write.parquet(source)
+    out = transform(read_stream(spark, source, rows.schema, files_per_trigger))
+    first = write_stream(out, sink, checkpoint)
+    while first.isActive and (first.lastProgress is None or first.lastProgress["batchId"] < 1):
+        first.awaitTermination(0.2)
+    first.stop()
+    again = transform(read_stream(spark, source, rows.schema, files_per_trigger))
+    write_stream(again, sink, checkpoint, once=True).awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)

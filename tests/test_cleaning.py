@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from querysieve.functions import draws as dr
@@ -70,3 +72,18 @@ def test_draws_of_large_rows_and_tenth_repeat(spark):
         F.transform(text.placeholders(F.lit(" ".join(["{x}"] * 10))), text.bare_name).alias("names"),
     ).first()
     assert row.d == (9_000_000_000 * 1103515245 + 3 * 12345) % 2147483647 and set(row.names) == {"x"}
+
+
+def test_default_statements_are_no_join_key(spark):
+    held = [(1, "T", "x"), (2, "T", "y"), (3, "U", "x"), (4, None, "x"), (5, "T", None), (6, "T", "x")]
+    log = spark.createDataFrame(held, "id int, query_template_id string, full_query string")
+    defaults = spark.createDataFrame([("T", "x"), ("T", "x"), (None, "x"), ("T", None), ("U", "z")], "query_template_id string, full_query string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = cl.drop_default_queries(log, defaults.hint("merge"))
+        assert sorted(r["id"] for r in out.collect()) == [2, 3, 4, 5] and out.columns == log.columns
+        plan = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+        assert plan and all("xxhash64(full_query" in x and "full_query" not in re.sub(r"xxhash64\([^)]*\)", "", x) for x in plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -1,3 +1,4 @@
+import time
 import re
 
 import pytest
@@ -90,3 +91,12 @@ def test_payload(spark, statement, template, want):
 def test_enclosed_capitals_count_once(spark):
     got = features(spark, ["Ⓐⓐ\U0001f130#"])[0]
     assert (got["c_upper"], got["c_special"]) == (2, 2)
+
+
+def test_tautology_of_long_runs_takes_linear_time(spark):
+    run = "a" * 100_000
+    texts = [(f"{run}b=c{run}", 0), (f"{run}={run}b", 1), (f"b{run}=c{run}", 0), (f"x{run}y=y{run}z", 1), (f"{'0f' * 50_000}=f{'1e' * 50_000}", 1)]
+    df = spark.createDataFrame([(t,) for t, _ in texts], "t string")
+    start = time.time()
+    assert [r[0] for r in df.select(lx.has_tautology(F.col("t"))).collect()] == [want for _, want in texts]
+    assert time.time() - start < 30

@@ -81,5 +81,6 @@ def test_unlisted_technique_or_stage_raises(spark):
         me.recall_columns(recalls, ["boolean"]).collect()
     log = spark.createDataFrame([("a", "recon"), ("a", "cleanup")], "attack_id string, attack_stage string")
     with pytest.raises(Exception, match="unlisted stage"):
-        st.stage_pivot(log).collect()
+        st.stage_pivot(log, ["recon"]).collect()
+    assert st.stage_pivot(log).first().asDict() == {"attack_id": "a", "recon": 1, "cleanup": 1, "exploit": 0}
     assert st.stage_pivot(log, ["recon", "cleanup"]).first().asDict() == {"attack_id": "a", "recon": 1, "cleanup": 1}
