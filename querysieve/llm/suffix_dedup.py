@@ -7,13 +7,15 @@ from their start; a start belongs to its first such anchor.
 
 1. An anchor's core (the bytes common to all starts that belong to it) must repeat, else none of them does. Cores
    are counted as hashes; what is left are the candidates, about as many as repeated bytes / 30.
-2. Runs of candidates are strings of cores. Their suffixes are sorted by the difference-cover algorithm, and
-   adjacent ones are compared: an equal span (all bytes of all strings at the anchor's starts) settles the anchor.
-3. The remaining suffixes, starts of anchors not settled so, are merged with those of one anchor for each span of
-   the same core: their strings of ``LENGTH`` bytes are compared by hash.
+2. Runs of candidates are strings of cores and the steps between them. Their suffixes are sorted by the difference-cover
+   algorithm, ``DEPTH`` cores deep, and adjacent ones are compared. Where the suffix that begins one anchor earlier shares
+   cores with one beside it that reach to the end of the anchor's last string, all its strings repeat: the order settles it.
+3. The remaining suffixes are starts of anchors with their core in a suffix beside them that are not settled (the first and the
+   last ones of a repeated passage, mostly). They are merged with those of one settled anchor for each sequence of cores: their
+   strings of ``LENGTH`` bytes are compared by 128-bit digests.
 
-Equal whole texts are one text; a text of ``LENGTH`` bytes or more with a copy goes entirely. Strings are compared by
-64-bit hashes, whole texts by 128-bit digests.
+Equal whole texts are one text; a text of ``LENGTH`` bytes or more with a copy goes entirely. Whole texts are compared by
+128-bit digests, settled strings by hashes of three or more cores in a row.
 
 Defined results: null texts are empty; shorter texts lose nothing; rows with equal ids are documents of their own;
 an empty table gives an empty table.
@@ -26,14 +28,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from querysieve.llm.difference_cover import suffix_ranks
+from querysieve.operators.ordering import BLOCK, range_blocks
 from querysieve.session import broadcast_if_small, materialise, ship
 
 LENGTH, W, K = 200, 60, 16
-# Anchors to compare: LENGTH bytes hold about LENGTH / 30. Adjacent suffixes further apart meet in step 3.
+# Anchors to compare: LENGTH bytes hold about LENGTH / 30. Suffixes whose cores do not reach far enough meet in step 3.
 DEPTH = 9
+CHUNK_BYTES = 1 << 20
 SIDE_ROWS, SIDE_BYTES = 3_000_000, 256 * 1024 * 1024
 _ODD = 0x9E3779B97F4A7C15
 _C1, _C2, _C3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -79,8 +83,8 @@ class Rolling:
         return _mix(value + (stop - start).astype(np.uint64) * _C3)
 
 
-def anchor_places(text: bytes) -> np.ndarray:
-    """Places whose ``K`` bytes hash smallest in some run of ``W`` places; the last one on ties."""
+def anchor_windows(text: bytes) -> np.ndarray:
+    """Of every run of ``W`` places the one whose ``K`` bytes hash smallest; the last one on ties."""
     n = len(text) - K + 1
     eight = np.zeros(len(text) - 7, np.uint64)
     for k in range(8):
@@ -93,25 +97,35 @@ def anchor_places(text: bytes) -> np.ndarray:
         span *= 2
     if span < W:
         key = np.minimum(key[:span - W], key[W - span:])
-    at = (np.uint64(0xFFFFFFFF) - (key & np.uint64(0xFFFFFFFF))).astype(np.int64)
-    return at[np.concatenate([[True], at[1:] != at[:-1]])]
+    return (np.uint64(0xFFFFFFFF) - (key & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
 
-def anchors(text: bytes):
-    """``(ordinal, core hash, span hash, first start, last start)`` arrays of the anchors that have starts."""
-    n = len(text)
-    if n < LENGTH:
-        return None
-    at = anchor_places(text)
-    before = np.concatenate([[-1], at[:-1]])
+def anchors(texts: list[bytes]):
+    """``(text, ordinal, place, core hash, first start, last start)`` arrays of the anchors of several texts that have starts.
+
+    The texts lie one behind the other; runs of places that reach into the next text are left out.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    raw = b"".join(texts)
+    if (sizes >= LENGTH).sum() == 0:
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    runs = np.where(sizes >= LENGTH, sizes - K - W + 2, 0)
+    text = np.repeat(np.arange(len(texts)), runs)
+    run = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs) + begin[text]
+    at = anchor_windows(raw)[run]
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
+    text, at = text[new], at[new] - begin[text[new]]
+    opens = np.concatenate([[True], text[1:] != text[:-1]])
+    ordinal = np.arange(len(text)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]
+    before = np.where(opens, -1, np.concatenate([[-1], at[:-1]]))
     first = np.maximum(before + 1 - (W - 1), 0)
-    last = np.minimum(at - (W - 1), n - LENGTH)
+    last = np.minimum(at - (W - 1), sizes[text] - LENGTH)
     own = np.flatnonzero(first <= last)
-    at, first, last = at[own], first[own], last[own]
-    rolling = Rolling(np.frombuffer(text, np.uint8))
-    core = rolling.of(at - (W - 1), at - 2 * (W - 1) + LENGTH)
-    span = rolling.of(first, last + LENGTH) ^ _mix((at - first).astype(np.uint64) + _C1)
-    return own, (core >> np.uint64(1)).astype(np.int64), span.view(np.int64), first, last
+    text, ordinal, at, first, last = text[own], ordinal[own], at[own], first[own], last[own]
+    middle = begin[text] + at
+    core = Rolling(np.frombuffer(raw, np.uint8)).of(middle - (W - 1), middle - 2 * (W - 1) + LENGTH)
+    return text, ordinal, at, (core >> np.uint64(1)).astype(np.int64), first, last
 
 
 def keep_bytes(text: bytes, lows: np.ndarray, highs: np.ndarray, characters: bool = False) -> tuple[bytes, int]:
@@ -134,51 +148,133 @@ def _texts(batch: pa.RecordBatch, column: int):
     return (v.as_py() or b"" for v in batch.column(column).cast(pa.binary()))
 
 
+def _chunks(batches):
+    """Keys and texts, about ``CHUNK_BYTES`` at a time."""
+    for batch in batches:
+        keys, texts, size = [], [], 0
+        for key, text in zip(batch.column(0).to_pylist(), _texts(batch, 1)):
+            keys.append(key)
+            texts.append(text)
+            size += len(text)
+            if size >= CHUNK_BYTES:
+                yield keys, texts
+                keys, texts, size = [], [], 0
+        if texts:
+            yield keys, texts
+
+
 def _cores(texts: DataFrame) -> DataFrame:
     def emit(batches):
-        for batch in batches:
-            found = [a[1] for t in _texts(batch, 1) if (a := anchors(t)) is not None]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["core"])
+        for _, held in _chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(anchors(held)[3])], names=["core"])
 
     return texts.mapInArrow(emit, "core bigint")
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
+    names = ["key", "ordinal", "at", "core", "first", "last"]
+
     def emit(batches):
-        for batch in batches:
-            for key, text in zip(batch.column(0), _texts(batch, 1)):
-                found = anchors(text)
-                if found is not None:
-                    own, core, span, first, last = found
-                    keys = pa.array([key.as_py()], pa.binary()).take(pa.array(np.zeros(len(own), np.int64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [keys, *map(pa.array, (own, core, span, first, last))],
-                        names=["key", "ordinal", "core", "span", "first", "last"],
-                    )
+        for keys, held in _chunks(batches):
+            text, *columns = anchors(held)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(text)), *map(pa.array, columns)], names=names)
 
-    return texts.mapInArrow(
-        emit, "key binary, ordinal bigint, core bigint, span bigint, first bigint, last bigint"
-    )
+    return texts.mapInArrow(emit, "key binary, ordinal bigint, at bigint, core bigint, first bigint, last bigint")
 
 
-def _start_hashes(asked: DataFrame) -> DataFrame:
-    """``key, start, string, settled`` for all starts of the listed ranges."""
+def _start_digests(asked: DataFrame) -> DataFrame:
+    """``key, start, string, settled`` for all starts of the listed ranges; ``string`` is a digest of the bytes."""
+    names = ["key", "start", "string", "settled"]
 
     def emit(batches):
         for batch in batches:
             for key, text, ranges in zip(batch.column(0), _texts(batch, 1), batch.column(2)):
-                rolling = Rolling(np.frombuffer(text, np.uint8))
                 held = [(r["first"], r["last"], r["settled"]) for r in ranges.as_py()]
                 start = np.concatenate([np.arange(a, b + 1) for a, b, _ in held])
                 done = np.concatenate([np.full(b - a + 1, s) for a, b, s in held])
-                keys = pa.array([key.as_py()], pa.binary()).take(pa.array(np.zeros(len(start), np.int64)))
-                string = rolling.of(start, start + LENGTH).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(start), pa.array(string), pa.array(done)], names=["key", "start", "string", "settled"]
-                )
+                for at in range(0, len(start), 50_000):
+                    part = start[at:at + 50_000].tolist()
+                    digests = [hashlib.md5(text[i:i + LENGTH], usedforsecurity=False).digest() for i in part]
+                    keys = pa.array([key.as_py()], pa.binary()).take(pa.array(np.zeros(len(part), np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [keys, pa.array(part), pa.array(digests, pa.binary()), pa.array(done[at:at + 50_000])], names=names
+                    )
 
-    return asked.mapInArrow(emit, "key binary, start bigint, string bigint, settled boolean")
+    return asked.mapInArrow(emit, "key binary, start bigint, string binary, settled boolean")
+
+
+def beside(rows: DataFrame, order: list[str], column: str) -> DataFrame:
+    """``rows`` with ``_before`` and ``_after``: ``column`` of the rows beside each in the order.
+
+    Sorted ranges look inside themselves; one row per range carries its ends to the next ones.
+    """
+    held = range_blocks(rows, [F.col(c) for c in order])
+    inside, across = Window.partitionBy(BLOCK).orderBy(*order), Window.orderBy(BLOCK)
+    place = F.struct(*order)
+    ends = held.groupBy(BLOCK).agg(F.min_by(column, place).alias("_low"), F.max_by(column, place).alias("_high"))
+    ends = ends.select(BLOCK, F.lag("_high").over(across).alias("_earlier"), F.lead("_low").over(across).alias("_later"))
+    looked = held.withColumns({"_lag": F.lag(column).over(inside), "_lead": F.lead(column).over(inside)})
+    return looked.join(F.broadcast(ends), BLOCK).select(
+        *rows.columns, F.coalesce("_lag", "_earlier").alias("_before"), F.coalesce("_lead", "_later").alias("_after")
+    )
+
+
+def common_prefix(one: Column, two: Column) -> Column:
+    """Equal leading entries of two arrays; null is nothing."""
+    apart = F.array_position(F.zip_with(one, two, lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(one.isNull() | two.isNull(), 0).when(apart == 0, F.size(one)).otherwise(apart - 1).cast("int")
+
+
+def settled_anchors(found: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``found`` (key, ordinal, at, core, first, last) with ``settled``, ``met`` and ``name``.
+
+    ``settled``: a suffix beside that of the anchor before, in the sorted order, shares cores with it that cover all strings of
+    the anchor; ``name`` is a digest of these cores, equal for equal strings. ``met``: a suffix beside the anchor's own
+    begins with its core; other anchors have nothing to be compared with.
+    """
+    # Strings: candidates whose ordinals follow each other, numbered in the order of their places.
+    along = Window.partitionBy("key").orderBy("ordinal")
+    follows = F.coalesce(F.col("ordinal") - F.lag("ordinal").over(along) == 1, F.lit(False))
+    # Rows are numbered behind the window, where they lie in order.
+    places = found.withColumn("_new", ~follows).withColumn("_at", F.monotonically_increasing_id())
+    begun = F.max(F.when(F.col("_new"), F.col("_at"))).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    places = places.select("key", "at", "core", "first", "last", "_at", begun.alias("sid"))
+    in_run = Window.partitionBy("key", "sid").orderBy("_at")
+    step = F.coalesce(F.lead("at").over(in_run) - F.col("at"), F.lit(-1))
+    strings = materialise(places.withColumns({"i": F.col("_at") - F.col("sid"), "step": step}).drop("_at"), "runs")
+    # A core and behind it its step, so suffixes that share only their first core stand together too.
+    symbol = F.shiftleft(F.shiftright("core", 7), 7).bitwiseOR(F.when(F.col("step") < 0, 127).otherwise(F.col("step")).cast("bigint"))
+    symbols = strings.select("sid", "i", symbol.alias("s"))
+    ranked = suffix_ranks(symbols, depth)
+
+    # What the suffixes begin with, 32 bits of each core and step; a suffix settles by three of them at least.
+    run = Window.partitionBy("sid").orderBy("i")
+    ahead = F.array(*[F.lead("_short", k).over(run) for k in range(depth)])
+    begins = strings.withColumn("_short", F.hash("core", "step"))
+    begins = begins.select("sid", "i", F.hash("core").alias("core32"), ahead.alias("ahead"))
+    sorted_rows = ranked.join(begins, ["sid", "i"]).select("rank", "sid", "i", F.struct("core32", "ahead").alias("own"))
+    looked = beside(sorted_rows, ["rank", "sid", "i"], "own")
+    shares = lambda c: common_prefix(F.col("own.ahead"), F.col(c)["ahead"])
+    same = lambda c: F.coalesce(F.col(c)["core32"] == F.col("own.core32"), F.lit(False))
+    # No value stands for the end of a run in the arrays, so it is not shared.
+    known = F.size(F.filter("own.ahead", lambda x: x.isNotNull()))
+    looked = looked.select(
+        "sid", "i", F.least(F.greatest(shares("_before"), shares("_after")), known).alias("shared"), (same("_before") | same("_after")).alias("met")
+    )
+    looked = materialise(looked, "beside")
+
+    held = strings.join(looked, ["sid", "i"])
+    ats = F.array(*[F.lead("at", k - 1).over(run) for k in range(depth)])
+    cores = F.array(*[F.lead("core", k - 1).over(run) for k in range(depth)])
+    held = held.withColumns({"_ats": ats, "_cores": cores, "_shared": F.lag("shared").over(run)})
+    # How many cores, from the anchor before on, reach to the end of the anchor's last string.
+    needed = F.array_position(F.transform("_ats", lambda x: F.coalesce(x >= F.col("at") + (W - 1), F.lit(False))), True).cast("int")
+    held = held.withColumn("_needed", needed)
+    settled = (F.col("_needed") > 0) & (F.coalesce(F.col("_shared"), F.lit(0)) >= F.col("_needed"))
+    some = lambda values: F.array_join(F.slice(values, F.lit(1), F.greatest(F.col("_needed"), F.lit(1))), ",")
+    steps = F.transform("_ats", lambda x: x - F.col("at"))
+    name = F.when(settled, F.unhex(F.md5(F.concat_ws(";", some(F.col("_cores")), some(steps)))))
+    return held.select("key", "at", "core", "first", "last", "met", settled.alias("settled"), name.alias("name"))
 
 
 def repeated_ranges(texts: DataFrame, copied: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -189,41 +285,25 @@ def repeated_ranges(texts: DataFrame, copied: DataFrame, depth: int = DEPTH) ->
     cores = _cores(texts).groupBy("core").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("core")
     side = broadcast_if_small(cores, SIDE_ROWS, SIDE_BYTES)
     found = materialise(_anchor_rows(texts).join(side, "core", "left_semi"), "anchors")
-
-    # Strings: candidates whose ordinals follow each other, numbered in the order of their places.
-    along = Window.partitionBy("key").orderBy("ordinal")
-    follows = F.col("ordinal") - F.lag("ordinal").over(along) == 1
-    at = F.monotonically_increasing_id()
-    places = found.withColumn("_new", ~F.coalesce(follows, F.lit(False))).select("key", "ordinal", "core", "span", "_new", at.alias("at"))
-    begun = F.max(F.when(F.col("_new"), F.col("at"))).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    strings = materialise(places.select(begun.alias("sid"), "at", "core", "span"), "runs")
-    strings = strings.select("sid", (F.col("at") - F.col("sid")).alias("i"), F.col("core").alias("s"), "span")
-    ranked = suffix_ranks(strings, depth)
-    # Adjacent suffixes of one rank and span are equal in all bytes that matter here.
-    placed = strings.select("sid", "i", "span").join(ranked, ["sid", "i"])
-    beside = placed.groupBy("rank", "span").agg(F.count("*").alias("c"))
-    settled_spans = beside.where(F.col("c") > 1).select("span").distinct()
-    settled_spans = materialise(settled_spans, "spans").withColumn("settled", F.lit(True))
-
-    marked = found.join(settled_spans, "span", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    marked = materialise(marked, "marked")
-    whole = marked.join(copied.withColumn("whole", F.lit(True)), "key", "left")
-    whole = whole.withColumn("settled", F.col("settled") | F.coalesce("whole", F.lit(False))).drop("whole")
-    still = whole.where(~F.col("settled"))
+    marked = materialise(settled_anchors(found, depth), "marked")
+    whole = marked.join(copied.withColumn("whole", F.lit(True)), "key", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    still = whole.where(F.col("met") & ~F.col("settled") & ~F.col("whole"))
     classes = still.select("core").distinct()
-    # Of the settled anchors one for each span is enough to meet.
-    partners = whole.where(F.col("settled")).join(classes, "core", "left_semi").groupBy("span").agg(
-        F.min(F.struct("key", "first", "last")).alias("one")
-    ).select("one.key", "one.first", "one.last", F.lit(True).alias("settled"))
+    # Of the anchors whose strings all repeat one for each name is enough to meet, added up before cores meet: a common
+    # core has many anchors. Those of copied texts that the order leaves open stand for themselves.
+    reach = [F.col("core"), F.col("name"), (F.col("at") - F.col("first")).alias("reach")]
+    settled = whole.where(F.col("settled")).groupBy(*reach).agg(F.min(F.struct("key", "first", "last")).alias("one")).select("core", "one.*")
+    open_copies = whole.where(F.col("met") & F.col("whole") & ~F.col("settled")).select("core", "key", "first", "last")
+    partners = settled.unionByName(open_copies).join(classes, "core", "left_semi").select("key", "first", "last", F.lit(True).alias("settled"))
     members = still.select("key", "first", "last", "settled").unionByName(partners)
     wanted = members.groupBy("key").agg(F.collect_list(F.struct("first", "last", "settled")).alias("ranges"))
     wanted = materialise(wanted, "wanted")
     listed = broadcast_if_small(wanted.select("key"), SIDE_ROWS, SIDE_BYTES)
     asked = texts.join(listed, "key", "left_semi").join(wanted, "key")
-    starts = materialise(_start_hashes(asked.select("key", "text", "ranges")), "starts")
+    starts = materialise(_start_digests(asked.select("key", "text", "ranges")), "starts")
     twice = starts.groupBy("string").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("string")
     late = starts.where(~F.col("settled")).join(twice, "string", "left_semi")
-    return whole.where(F.col("settled")).select("key", "first", "last").unionByName(
+    return whole.where(F.col("settled") | F.col("whole")).select("key", "first", "last").unionByName(
         late.select("key", F.col("start").alias("first"), F.col("start").alias("last"))
     )
 

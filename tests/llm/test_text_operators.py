@@ -230,6 +230,22 @@ def test_repeated_strings_go(spark, docs, none, depth):
     assert all("�" not in r.text for r in cut.collect())
 
 
+def test_the_order_of_suffixes_settles_repeats(spark, monkeypatch):
+    passage, other = prose(400), prose(400)
+    texts = [prose(50) + passage + prose(50), prose(30) + passage, prose(90) + other, prose(200)]
+    held = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    keyed = held.selectExpr("unhex(md5(text)) AS key", "text")
+    found = suffix_dedup._anchor_rows(keyed)
+    cores = found.groupBy("core").count().where("count > 1").select("core")
+    marked = suffix_dedup.settled_anchors(found.join(cores, "core", "left_semi"))
+    shares = [r["count"] for r in marked.groupBy("settled").count().orderBy("settled").collect()]
+    assert shares[1] > 3 * shares[0]  # most anchors of a long passage are settled by the order
+    right = rows(suffix_dedup.dedup_digests(held))
+    # Wrong ranks give wrong rows: only what stands beside a suffix is looked at.
+    monkeypatch.setattr(suffix_dedup, "suffix_ranks", lambda strings, depth: strings.selectExpr("sid", "i", "CAST(0 AS BIGINT) AS rank"))
+    assert rows(suffix_dedup.dedup_digests(held)) != right
+
+
 def test_cached_pieces_give_the_librarys_ids(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     hard = [
