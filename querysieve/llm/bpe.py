@@ -18,8 +18,8 @@ import numpy as np
 _PLAIN = "!-~À-ɏ"
 _CUT = re.compile(f" (?<=[{_PLAIN}] )(?=[{_PLAIN}])")
 _IS_PLAIN = re.compile(f"[{_PLAIN}]")
-# Pieces in each of the two generations of the cache: about 200 bytes each.
-CACHE_PIECES = 500_000
+# Pieces in each of the two generations of the cache, about 200 bytes each. More save little: most misses are words seen once.
+CACHE_PIECES = 200_000
 BATCH_CHARS = 2_000_000
 JOINED = 5_000
 

@@ -65,10 +65,11 @@ def source_targets(
 
 def copies(sized: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", seed: str = SEED,
            **how) -> DataFrame:
-    """``sized`` with ``source_size``, ``target`` and ``copies``."""
-    targets = broadcast_if_small(source_targets(sized, source, size, **how))
-    clash = targets.withColumnRenamed(source, "_source")
-    joined = sized.join(clash, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
+    """``sized`` with ``source_size``, ``target`` and ``copies``, in place of columns of these names."""
+    sized = sized.drop("source_size", "target", "copies", "_mix_source")
+    targets = broadcast_if_small(source_targets(sized.select(source, size), source, size, **how))
+    clash = targets.withColumnRenamed(source, "_mix_source")
+    joined = sized.join(clash, F.col(source).eqNullSafe(F.col("_mix_source")), "left").drop("_mix_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     extra = (unit_draw(seed, F.col(key)) < rate - whole).cast("bigint")
@@ -82,16 +83,17 @@ def sizes(docs: DataFrame, text: str = "text", columns: tuple[str, ...] = ("doc_
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
-    """``docs`` with each row repeated as often as the mix takes it; columns as given."""
+    """``docs`` with each row repeated as often as the mix takes it; columns as given, whatever their names."""
     targets = source_targets(sizes(docs, text, (source,)), source, "size", **how)
     rates = broadcast_if_small(targets.select(
         F.col(source).alias("_source"),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_rate"),
     ))
-    joined = docs.join(rates, F.col(source).eqNullSafe(F.col("_source")), "left")
+    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(source).alias("_by"), F.col(key).alias("_key"))
+    joined = held.join(rates, F.col("_by").eqNullSafe(F.col("_source")), "left")
     whole = F.floor("_rate")
-    times = whole + (unit_draw(SEED, F.col(key)) < F.col("_rate") - whole).cast("bigint")
+    times = whole + (unit_draw(SEED, F.col("_key")) < F.col("_rate") - whole).cast("bigint")
     repeated = joined.withColumn("_times", times).where(F.col("_times") > 0)
     return repeated.withColumn(
         "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_times")))
-    ).select(*[F.col(c) for c in docs.columns])
+    ).select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -33,7 +33,7 @@ from querysieve.session import broadcast_if_small, materialise, ship
 N, PERCENT = 5, 80
 FREQUENT_SHARE = 1000  # a shingle in more than one of so many documents is frequent
 MAX_FREQUENT = 200_000  # length of the ordering list; it has no influence on results
-BUFFER = 2_000_000
+BUFFER = 1_000_000
 BLOCK = 512
 SIDE_ROWS = 3_000_000
 

@@ -7,7 +7,8 @@ for documents that all earlier ones have passed.
 
 Defined results: a null text has no words, lines or symbols; a document with fewer than ten words
 fails the base rule and is not kept; rows are judged one by one, so repeated rows and ids give
-repeated verdicts; an empty table gives an empty table.
+repeated verdicts; an empty table gives an empty table. Names that begin with ``_quality`` are the operator's own;
+measures take the place of columns of their names.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from querysieve.session import materialise
+
 # Fixed values of the word definition: everything but space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +28,8 @@ WINDOW = 5
 
 # Rows of the sample that orders the rules; it has no influence on a verdict.
 SAMPLE_ROWS = 2000
+# Copies of the sample that a rule is timed on, and the least time that counts: shorter ones are noise.
+COPIES, LEAST_SECONDS = 20, 0.02
 
 
 @dataclass(frozen=True)
@@ -61,45 +66,45 @@ def base_measures(docs: DataFrame, text: str = "text") -> DataFrame:
     document with a repeated window sorts its windows to find the words they cover.
     """
     held = F.coalesce(F.col(text), F.lit(""))
-    wide = docs.withColumns({"_text": held}).withColumns({
-        "_hashes": F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)),
-        "_lines": worded_lines(F.col("_text")),
-        "word_chars": F.length(F.translate(F.col("_text"), SPACES, "")).cast("bigint"),
-        "n_symbols": (F.length("_text") - F.length(F.translate(F.col("_text"), SYMBOLS, ""))).cast("bigint"),
+    wide = docs.withColumns({"_quality_text": held}).withColumns({
+        "_quality_hashes": F.transform(words(F.col("_quality_text")), lambda w: F.xxhash64(w)),
+        "_quality_lines": worded_lines(F.col("_quality_text")),
+        "word_chars": F.length(F.translate(F.col("_quality_text"), SPACES, "")).cast("bigint"),
+        "n_symbols": (F.length("_quality_text") - F.length(F.translate(F.col("_quality_text"), SYMBOLS, ""))).cast("bigint"),
     })
     wide = wide.withColumns({
-        "n_words": F.size("_hashes").cast("bigint"),
-        "n_lines": F.size("_lines").cast("bigint"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-        "_spots": F.greatest(F.size("_hashes") - F.lit(WINDOW - 1), F.lit(0)),
+        "n_words": F.size("_quality_hashes").cast("bigint"),
+        "n_lines": F.size("_quality_lines").cast("bigint"),
+        "n_dup_lines": (F.size("_quality_lines") - F.size(F.array_distinct("_quality_lines"))).cast("bigint"),
+        "_quality_spots": F.greatest(F.size("_quality_hashes") - F.lit(WINDOW - 1), F.lit(0)),
     })
-    parts = [_shifted("_hashes", k, F.col("_spots")).alias(f"w{k}") for k in range(WINDOW)]
-    wide = wide.withColumn("_windows", F.transform(F.arrays_zip(*parts), lambda z: F.xxhash64(z)))
-    wide = wide.withColumn("_repeats", F.size("_windows") > F.size(F.array_distinct("_windows")))
+    parts = [_shifted("_quality_hashes", k, F.col("_quality_spots")).alias(f"w{k}") for k in range(WINDOW)]
+    wide = wide.withColumn("_quality_windows", F.transform(F.arrays_zip(*parts), lambda z: F.xxhash64(z)))
+    wide = wide.withColumn("_quality_repeats", F.size("_quality_windows") > F.size(F.array_distinct("_quality_windows")))
     # Sorted (window, place) pairs, each beside its neighbours; repeated ones give their places.
     none = F.lit(None).cast("array<bigint>")
-    placed = F.transform(F.col("_windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    wide = wide.withColumn("_sorted", F.when(F.col("_repeats"), F.sort_array(placed)))
-    n = F.size("_sorted")
+    placed = F.transform(F.col("_quality_windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    wide = wide.withColumn("_quality_sorted", F.when(F.col("_quality_repeats"), F.sort_array(placed)))
+    n = F.size("_quality_sorted")
     last = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
     beside = F.arrays_zip(
-        F.col("_sorted").alias("here"),
-        F.concat(last, F.slice("_sorted", F.lit(1), n - 1)).alias("before"),
-        F.concat(F.slice("_sorted", F.lit(2), n - 1), last).alias("after"),
+        F.col("_quality_sorted").alias("here"),
+        F.concat(last, F.slice("_quality_sorted", F.lit(1), n - 1)).alias("before"),
+        F.concat(F.slice("_quality_sorted", F.lit(2), n - 1), last).alias("after"),
     )
     same = lambda z: (z["here"]["h"].eqNullSafe(z["before"]["h"])) | (z["here"]["h"].eqNullSafe(z["after"]["h"]))
     places = F.sort_array(F.transform(F.filter(beside, same), lambda z: z["here"]["i"].cast("bigint")))
-    wide = wide.withColumn("_places", F.when(F.col("_repeats"), places).otherwise(none))
+    wide = wide.withColumn("_quality_places", F.when(F.col("_quality_repeats"), places).otherwise(none))
     following = F.concat(
-        F.slice("_places", F.lit(2), F.size("_places") - 1), F.array(F.lit(1 << 40).cast("bigint"))
+        F.slice("_quality_places", F.lit(2), F.size("_quality_places") - 1), F.array(F.lit(1 << 40).cast("bigint"))
     )
-    steps = F.arrays_zip(F.col("_places").alias("here"), following.alias("after"))
+    steps = F.arrays_zip(F.col("_quality_places").alias("here"), following.alias("after"))
     covered = F.aggregate(
         steps, F.lit(0).cast("bigint"),
         lambda total, z: total + F.least(F.lit(WINDOW).cast("bigint"), z["after"] - z["here"]),
     )
-    wide = wide.withColumn("n_repeat_words", F.when(F.col("_repeats"), covered).otherwise(F.lit(0).cast("bigint")))
-    return wide.drop("_hashes", "_spots", "_windows", "_repeats", "_sorted", "_places", "_lines", "_text")
+    wide = wide.withColumn("n_repeat_words", F.when(F.col("_quality_repeats"), covered).otherwise(F.lit(0).cast("bigint")))
+    return wide.drop("_quality_hashes", "_quality_spots", "_quality_windows", "_quality_repeats", "_quality_sorted", "_quality_places", "_quality_lines", "_quality_text")
 
 
 def base_failed() -> Column:
@@ -121,22 +126,44 @@ def default_rules(text: str = "text") -> list[Rule]:
     ]
 
 
+def rule_costs(sample: DataFrame, rules: list[Rule], copies: int = COPIES) -> list[float]:
+    """Seconds of each rule over ``copies`` copies of the sample, beyond those of a job without a rule; the less of two runs."""
+    wide = sample.withColumn("_quality_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+
+    def seconds(condition: Column) -> float:
+        runs = []
+        for _ in range(2):
+            start = time.perf_counter()
+            wide.agg(F.count_if(condition)).first()
+            runs.append(time.perf_counter() - start)
+        return min(runs)
+
+    seconds(F.col("_quality_copy") > 0)  # the first job compiles
+    without = seconds(F.col("_quality_copy") > 0)
+    return [max(seconds(rule.rejects) - without, LEAST_SECONDS) for rule in rules]
+
+
 def order_rules(measured: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by rejections per second on about ``sample_rows`` rows; ties keep the given order."""
+    """The rules by rejections per second on about ``sample_rows`` rows; ties keep the given order.
+
+    A rule's rejections are counted among the rows that the base and the rules before it have passed.
+    """
     total = measured.count()
-    if not total:
+    if not total or not rules:
         return rules
-    sample = measured.sample(min(1.0, sample_rows / total), seed=7).cache()
-    try:
-        sample.count()
-        worth = []
-        for rule in rules:
-            start = time.perf_counter()
-            rejected = sample.agg(F.count_if(rule.rejects)).first()[0]
-            worth.append((rejected + 0.5) / max(time.perf_counter() - start, 1e-6))
-        return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -worth[i])]
-    finally:
-        sample.unpersist()
+    sample = materialise(measured.sample(min(1.0, sample_rows / total), seed=7), "sample")
+    costs = rule_costs(sample, rules)
+    passed = sample.where(~base_failed()).select(*[F.coalesce(r.rejects, F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)])
+    # One row per combination of verdicts: no more than rows of the sample.
+    seen = [(tuple(r)[:-1], r["count"]) for r in passed.groupBy(*passed.columns).count().collect()]
+    order, left = [], list(range(len(rules)))
+    while left:
+        worth = {i: (sum(n for verdicts, n in seen if verdicts[i]) + 0.5) / costs[i] for i in left}
+        best = max(left, key=lambda i: (worth[i], -i))
+        order.append(best)
+        left.remove(best)
+        seen = [(verdicts, n) for verdicts, n in seen if not verdicts[best]]
+    return [rules[i] for i in order]
 
 
 def verdict(rules: list[Rule]) -> Column:

@@ -47,7 +47,7 @@ def test_archives_come_back(spark, compress):
 def test_no_pages(spark):
     path = scratch_path(spark, "warc")
     warc.write_archives(spark.createDataFrame([], PAGES), path)
-    assert warc.read_archives(spark, path + "-none").count() == 0
+    assert warc.read_archives(spark, path).count() == 0
 
 
 @pytest.mark.parametrize("compress", [True, False])

@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from querysieve.llm import bpe, huffman, mixing, ngram_join, packing, quality, suffix_dedup, token_counts
@@ -75,8 +77,8 @@ def test_ids_of_pieces_are_ids_of_texts():
 
 def test_token_counts_fill_the_cache_once(spark, docs, none, monkeypatch):
     cache, path = scratch_path(spark, "cache"), public_tokenizers.path("piece_bpe_32k.model")
-    want = sorted(((d, len((t or "").encode()), n := token_counts.counts_of([t or ""], path)[0], n > 4096)
-                   for d, t, *_ in ROWS), key=repr)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = sorted(((d, len((t or "").encode()), n := len(library.encode(t or "")), n > 4096) for d, t, *_ in ROWS), key=repr)
     assert rows(token_counts.count_tokens(docs, path, cache)) == want
     stored = spark.read.parquet(cache).count()
     assert stored == len({t or "" for t in TEXTS})
@@ -139,8 +141,15 @@ def test_packing_is_gapless_and_close_to_the_bound(spark, docs, none):
     for held in bins.values():
         held.sort()
         assert [o for o, _ in held] == np.cumsum([0] + [n for _, n in held])[:-1].tolist() and sum(n for _, n in held) <= 1024
-    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == Counter(
-        map(tuple, packing.pieces(docs, path).collect()))
+    library, want = Tokenizer.from_file(path), []
+    for doc, text, *_ in ROWS:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        for k, start in enumerate([0, *range(first, len(ids), 1024)]):
+            part = ids[start:first if k == 0 else start + 1024]
+            want.append((doc, k, start, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == Counter(want)
+    assert max(Counter(d for d, *_ in want).values()) > 3  # texts far over the limit are among them
     assert packing.pack(packing.pieces(none, path)).count() == 0
 
 
@@ -163,6 +172,23 @@ def test_mix_meets_targets(spark, none):
     mixed = mixing.mix(many)
     assert mixed.columns == many.columns and mixed.count() == got["copies"].sum()
     assert mixing.mix(none).count() == 0
+    clashing = many.selectExpr("*", "'x' AS _source", "1 AS _rate", "2 AS _times", "3 AS target", "4 AS copies", "5 AS _row", "6 AS _by")
+    assert mixing.mix(clashing).columns == clashing.columns and mixing.mix(clashing).count() == mixed.count()
+    assert mixing.copies(mixing.sizes(clashing, columns=("doc_id", "source", "target", "copies"))).agg({"copies": "sum"}).first()[0] == mixed.count()
+
+
+def test_cheap_rules_come_first_every_time(spark):
+    texts = [(" ".join(f"w{i}x{k}" for k in range(30)) + ("" if i % 4 else "x" * 400),) for i in range(400)]
+    held = spark.createDataFrame(texts, "text string").selectExpr("*", "'l' AS _lines", "'h' AS _hashes")
+    # Both reject the same rows; the dear one digests the text many times over.
+    dear = quality.Rule("dear", (F.length(F.sha2(F.repeat("text", 300), 512)) > 0) & (F.col("word_chars") > 300))
+    cheap = quality.Rule("cheap", F.col("word_chars") > 300)
+    never = quality.Rule("never", F.col("n_words") < 0)
+    measured = quality.base_measures(held)
+    orders = [[r.name for r in quality.order_rules(measured, [dear, never, cheap])] for _ in range(3)]
+    assert orders == [orders[0]] * 3 and orders[0][0] == "cheap"
+    out = quality.cascade(held, rules=[dear, cheap])
+    assert out.select("_lines", "_hashes").distinct().collect() == [("l", "h")] and out.where("kept").count() == 300
 
 
 @pytest.mark.parametrize("kw", [{}, {"block": 2}])
