@@ -84,7 +84,29 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.scratch = path
+    return held
+
+
+# Paths of the tables written so far, in order.
+_written: list[str] = []
+
+
+def written() -> int:
+    """How many tables were written so far: the place from which ``drop_written`` deletes."""
+    return len(_written)
+
+
+def drop_written(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Delete the tables written since, except those given; nothing may read them any more."""
+    kept = {df.scratch for df in keep}
+    for path in _written[since:]:
+        if path not in kept:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written[since:] = [path for path in _written[since:] if path in kept]
 
 
 def broadcast_if_small(
