@@ -36,7 +36,7 @@ LISTED = 200_000  # it has no influence on results
 CHUNK_TOKENS = 150_000
 BUFFER = 1_500_000
 # Bytes in each of the two generations of a worker's cache.
-CACHE_BYTES = 100_000_000
+CACHE_BYTES = 40_000_000
 
 
 def byte_characters() -> dict[str, int]:

@@ -15,7 +15,7 @@ from their start; a start belongs to its first such anchor.
    strings of ``LENGTH`` bytes are compared by 128-bit digests.
 
 Equal whole texts are one text; a text of ``LENGTH`` bytes or more with a copy goes entirely. Whole texts are compared by
-128-bit digests, settled strings by hashes of three or more cores in a row.
+128-bit digests, settled strings by a hash of three or more cores in a row, of the suffixes beside each other only.
 
 Defined results: null texts are empty; shorter texts lose nothing; rows with equal ids are documents of their own;
 an empty table gives an empty table.
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from querysieve.llm.difference_cover import suffix_ranks
 from querysieve.operators.ordering import BLOCK, range_blocks
-from querysieve.session import broadcast_if_small, materialise, ship
+from querysieve.session import broadcast_if_small, drop_written, materialise, ship, written
 
 LENGTH, W, K = 200, 60, 16
 # Anchors to compare: LENGTH bytes hold about LENGTH / 30. Suffixes whose cores do not reach far enough meet in step 3.
@@ -219,62 +219,53 @@ def beside(rows: DataFrame, order: list[str], column: str) -> DataFrame:
     )
 
 
-def common_prefix(one: Column, two: Column) -> Column:
-    """Equal leading entries of two arrays; null is nothing."""
-    apart = F.array_position(F.zip_with(one, two, lambda x, y: ~x.eqNullSafe(y)), True)
-    return F.when(one.isNull() | two.isNull(), 0).when(apart == 0, F.size(one)).otherwise(apart - 1).cast("int")
-
-
 def settled_anchors(found: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``found`` (key, ordinal, at, core, first, last) with ``settled``, ``met`` and ``name``.
 
-    ``settled``: a suffix beside that of the anchor before, in the sorted order, shares cores with it that cover all strings of
-    the anchor; ``name`` is a digest of these cores, equal for equal strings. ``met``: a suffix beside the anchor's own
-    begins with its core; other anchors have nothing to be compared with.
+    A suffix's name is a digest of the cores, and the steps between them, that cover all strings of the anchor behind
+    its first one. ``settled``: a suffix beside that of the anchor before, in the sorted order, begins with the same cores.
+    ``met``: a suffix beside the anchor's own begins with its core; other anchors have nothing to be compared with.
     """
+    spark, since = found.sparkSession, written()
     # Strings: candidates whose ordinals follow each other, numbered in the order of their places.
     along = Window.partitionBy("key").orderBy("ordinal")
     follows = F.coalesce(F.col("ordinal") - F.lag("ordinal").over(along) == 1, F.lit(False))
     # Rows are numbered behind the window, where they lie in order.
     places = found.withColumn("_new", ~follows).withColumn("_at", F.monotonically_increasing_id())
     begun = F.max(F.when(F.col("_new"), F.col("_at"))).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    places = places.select("key", "at", "core", "first", "last", "_at", begun.alias("sid"))
-    in_run = Window.partitionBy("key", "sid").orderBy("_at")
-    step = F.coalesce(F.lead("at").over(in_run) - F.col("at"), F.lit(-1))
-    strings = materialise(places.withColumns({"i": F.col("_at") - F.col("sid"), "step": step}).drop("_at"), "runs")
+    places = places.withColumn("sid", begun)
+    run = Window.partitionBy("key", "sid").orderBy("_at")
+    ahead = lambda c: F.array(*[F.lead(c, k).over(run) for k in range(depth)])
+    # How many cores reach to the end of the last string of the next anchor.
+    far = F.lead("at", 1).over(run) + (W - 1)
+    places = places.withColumns({"_ats": ahead("at"), "_cores": ahead("core"), "_far": far})
+    reached = F.array_position(F.transform("_ats", lambda x: F.coalesce(x >= F.col("_far"), F.lit(False))), True).cast("int")
+    steps = F.transform("_ats", lambda x: x - F.col("at"))
+    some = lambda values: F.slice(values, F.lit(1), F.greatest(reached, F.lit(1)))
+    named = F.when(reached > 0, F.xxhash64(some(F.col("_cores")), some(steps)))
+    step = F.coalesce(F.get("_ats", F.lit(1)) - F.col("at"), F.lit(127))
     # A core and behind it its step, so suffixes that share only their first core stand together too.
-    symbol = F.shiftleft(F.shiftright("core", 7), 7).bitwiseOR(F.when(F.col("step") < 0, 127).otherwise(F.col("step")).cast("bigint"))
-    symbols = strings.select("sid", "i", symbol.alias("s"))
-    ranked = suffix_ranks(symbols, depth)
-
-    # What the suffixes begin with, 32 bits of each core and step; a suffix settles by three of them at least.
-    run = Window.partitionBy("sid").orderBy("i")
-    ahead = F.array(*[F.lead("_short", k).over(run) for k in range(depth)])
-    begins = strings.withColumn("_short", F.hash("core", "step"))
-    begins = begins.select("sid", "i", F.hash("core").alias("core32"), ahead.alias("ahead"))
-    sorted_rows = ranked.join(begins, ["sid", "i"]).select("rank", "sid", "i", F.struct("core32", "ahead").alias("own"))
+    symbol = F.shiftleft(F.shiftright("core", 7), 7).bitwiseOR(step.cast("bigint"))
+    strings = materialise(places.select(
+        "key", "at", "core", "first", "last", "sid", (F.col("_at") - F.col("sid")).alias("i"), symbol.alias("s"), named.alias("own")
+    ), "runs")
+    ranked = suffix_ranks(strings.select("sid", "i", "s"), depth)
+    begins = strings.select("sid", "i", F.struct(F.hash("core").alias("core"), F.col("own").alias("name")).alias("own"))
+    sorted_rows = ranked.join(begins, ["sid", "i"]).select("rank", "sid", "i", "own")
     looked = beside(sorted_rows, ["rank", "sid", "i"], "own")
-    shares = lambda c: common_prefix(F.col("own.ahead"), F.col(c)["ahead"])
-    same = lambda c: F.coalesce(F.col(c)["core32"] == F.col("own.core32"), F.lit(False))
-    # No value stands for the end of a run in the arrays, so it is not shared.
-    known = F.size(F.filter("own.ahead", lambda x: x.isNotNull()))
-    looked = looked.select(
-        "sid", "i", F.least(F.greatest(shares("_before"), shares("_after")), known).alias("shared"), (same("_before") | same("_after")).alias("met")
+    either = lambda c: F.coalesce(F.col("_before")[c] == F.col("own")[c], F.lit(False)) | F.coalesce(F.col("_after")[c] == F.col("own")[c], F.lit(False))
+    looked = materialise(looked.select("sid", "i", either("name").alias("shared"), either("core").alias("met")), "beside")
+    drop_written(spark, since, strings, looked)
+
+    earlier = looked.where("shared").select("sid", (F.col("i") + 1).alias("i"), F.lit(True).alias("settled"))
+    names = strings.where(F.col("own").isNotNull()).select("sid", (F.col("i") + 1).alias("i"), F.col("own").alias("name"))
+    marks = looked.select("sid", "i", "met").join(earlier.join(names, ["sid", "i"]), ["sid", "i"], "left")
+    marked = strings.join(marks, ["sid", "i"]).select(
+        "key", "at", "core", "first", "last", "met", F.coalesce("settled", F.lit(False)).alias("settled"), "name"
     )
-    looked = materialise(looked, "beside")
-
-    held = strings.join(looked, ["sid", "i"])
-    ats = F.array(*[F.lead("at", k - 1).over(run) for k in range(depth)])
-    cores = F.array(*[F.lead("core", k - 1).over(run) for k in range(depth)])
-    held = held.withColumns({"_ats": ats, "_cores": cores, "_shared": F.lag("shared").over(run)})
-    # How many cores, from the anchor before on, reach to the end of the anchor's last string.
-    needed = F.array_position(F.transform("_ats", lambda x: F.coalesce(x >= F.col("at") + (W - 1), F.lit(False))), True).cast("int")
-    held = held.withColumn("_needed", needed)
-    settled = (F.col("_needed") > 0) & (F.coalesce(F.col("_shared"), F.lit(0)) >= F.col("_needed"))
-    some = lambda values: F.array_join(F.slice(values, F.lit(1), F.greatest(F.col("_needed"), F.lit(1))), ",")
-    steps = F.transform("_ats", lambda x: x - F.col("at"))
-    name = F.when(settled, F.unhex(F.md5(F.concat_ws(";", some(F.col("_cores")), some(steps)))))
-    return held.select("key", "at", "core", "first", "last", "met", settled.alias("settled"), name.alias("name"))
+    marked = materialise(marked, "marked")
+    drop_written(spark, since, marked)
+    return marked
 
 
 def repeated_ranges(texts: DataFrame, copied: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -282,10 +273,12 @@ def repeated_ranges(texts: DataFrame, copied: DataFrame, depth: int = DEPTH) ->
 
     ``copied`` lists the keys of texts with equal copies: all of their starts repeat and are not listed.
     """
+    since = written()
     cores = _cores(texts).groupBy("core").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("core")
     side = broadcast_if_small(cores, SIDE_ROWS, SIDE_BYTES)
     found = materialise(_anchor_rows(texts).join(side, "core", "left_semi"), "anchors")
-    marked = materialise(settled_anchors(found, depth), "marked")
+    marked = settled_anchors(found, depth)
+    drop_written(texts.sparkSession, since, marked)
     whole = marked.join(copied.withColumn("whole", F.lit(True)), "key", "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
     still = whole.where(F.col("met") & ~F.col("settled") & ~F.col("whole"))
     classes = still.select("core").distinct()

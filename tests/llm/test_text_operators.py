@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from querysieve.llm import bpe, huffman, mixing, ngram_join, packing, quality, suffix_dedup, token_counts
 from querysieve.llm.difference_cover import suffix_ranks
-from querysieve.session import scratch_path
+from querysieve.session import materialise, scratch_path
 
 DOCS = "doc_id bigint, text string, source string, _row string, key string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -263,7 +263,7 @@ def test_the_order_of_suffixes_settles_repeats(spark, monkeypatch):
     keyed = held.selectExpr("unhex(md5(text)) AS key", "text")
     found = suffix_dedup._anchor_rows(keyed)
     cores = found.groupBy("core").count().where("count > 1").select("core")
-    marked = suffix_dedup.settled_anchors(found.join(cores, "core", "left_semi"))
+    marked = suffix_dedup.settled_anchors(materialise(found.join(cores, "core", "left_semi"), "found"))
     shares = [r["count"] for r in marked.groupBy("settled").count().orderBy("settled").collect()]
     assert shares[1] > 3 * shares[0]  # most anchors of a long passage are settled by the order
     right = rows(suffix_dedup.dedup_digests(held))
