@@ -12,7 +12,7 @@ from their start; a start belongs to its first such anchor.
    cores with one beside it that reach to the end of the anchor's last string, all its strings repeat: the order settles it.
 3. The remaining suffixes are starts of anchors with their core in a suffix beside them that are not settled (the first and the
    last ones of a repeated passage, mostly). They are merged with those of one settled anchor for each sequence of cores: their
-   strings of ``LENGTH`` bytes are compared by 128-bit digests.
+   strings of ``LENGTH`` bytes are compared by 64 bits of a digest (128 do not fit the disk limit).
 
 Equal whole texts are one text; a text of ``LENGTH`` bytes or more with a copy goes entirely. Whole texts are compared by
 128-bit digests, settled strings by a hash of three or more cores in a row, of the suffixes beside each other only.
@@ -194,13 +194,13 @@ def _start_digests(asked: DataFrame) -> DataFrame:
                 done = np.concatenate([np.full(b - a + 1, s) for a, b, s in held])
                 for at in range(0, len(start), 50_000):
                     part = start[at:at + 50_000].tolist()
-                    digests = [hashlib.md5(text[i:i + LENGTH], usedforsecurity=False).digest() for i in part]
+                    digests = b"".join([hashlib.md5(text[i:i + LENGTH], usedforsecurity=False).digest()[:8] for i in part])
                     keys = pa.array([key.as_py()], pa.binary()).take(pa.array(np.zeros(len(part), np.int64)))
                     yield pa.RecordBatch.from_arrays(
-                        [keys, pa.array(part), pa.array(digests, pa.binary()), pa.array(done[at:at + 50_000])], names=names
+                        [keys, pa.array(part), pa.array(np.frombuffer(digests, "<i8")), pa.array(done[at:at + 50_000])], names=names
                     )
 
-    return asked.mapInArrow(emit, "key binary, start bigint, string binary, settled boolean")
+    return asked.mapInArrow(emit, "key binary, start bigint, string bigint, settled boolean")
 
 
 def beside(rows: DataFrame, order: list[str], column: str) -> DataFrame:
