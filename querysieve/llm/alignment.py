@@ -34,6 +34,7 @@ from querysieve.session import materialise, ship
 WORK = 32_768
 LISTED = 200_000  # it has no influence on results
 CHUNK_TOKENS = 150_000
+BATCH_ROWS = 500  # in one Arrow batch
 BUFFER = 1_500_000
 # Bytes in each of the two generations of a worker's cache.
 CACHE_BYTES = 40_000_000
@@ -496,6 +497,17 @@ def align(docs: DataFrame, path_a: str, path_b: str, work: int = WORK, listed: i
     """``doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256`` of every (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
+    # Rows hold whole texts and their ids; the tables are written before the setting goes back.
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH_ROWS))
+    try:
+        return _align(spark, docs, path_a, path_b, work, listed)
+    finally:
+        spark.conf.set(setting, usual)
+
+
+def _align(spark, docs: DataFrame, path_a: str, path_b: str, work: int, listed: int) -> DataFrame:
     pieces = pieces_of(docs.select(F.col("doc_id").cast("bigint"), "text"), path_a, path_b, work)
     counts = graded(pair_counts(pieces, path_a, path_b))
     counts = materialise(counts, "graded")
