@@ -100,6 +100,11 @@ def _cache(path: str) -> _Cache:
     return _Cache()
 
 
+def forget() -> None:
+    """Empty the cache; the next call fills it again."""
+    _cache.cache_clear()
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
     cache = _cache(path)

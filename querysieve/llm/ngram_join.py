@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from querysieve.llm.graph import components
-from querysieve.llm.shingles import sets_of
+from querysieve.llm.shingles import forget, sets_of
+from querysieve.llm.workers import tidied
 from querysieve.session import broadcast_if_small, materialise, ship
 
 N, PERCENT = 5, 80
@@ -120,7 +121,7 @@ def _profiles(docs: DataFrame, n: int) -> DataFrame:
         if seen:
             yield counts()
 
-    return docs.mapInArrow(profile, "doc_id bigint, n bigint, digest binary, shingle bigint, times bigint")
+    return docs.mapInArrow(tidied(profile, forget), "doc_id bigint, n bigint, digest binary, shingle bigint, times bigint")
 
 
 def _prefixes(docs: DataFrame, order, n: int) -> DataFrame:
@@ -140,7 +141,7 @@ def _prefixes(docs: DataFrame, order, n: int) -> DataFrame:
                     names=["shingle", "doc_id", "n"],
                 )
 
-    return docs.mapInArrow(emit, "shingle bigint, doc_id bigint, n bigint")
+    return docs.mapInArrow(tidied(emit, forget), "shingle bigint, doc_id bigint, n bigint")
 
 
 def _meet(pairs: DataFrame, docs: DataFrame, build, fits, n: int, name: str) -> DataFrame:
@@ -162,7 +163,7 @@ def _meet(pairs: DataFrame, docs: DataFrame, build, fits, n: int, name: str) ->
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
 
     asked = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), max_rows=SIDE_ROWS)
-    made = docs.join(asked, "doc_id", "left_semi").mapInArrow(make, "id bigint, n bigint, held binary")
+    made = docs.join(asked, "doc_id", "left_semi").mapInArrow(tidied(make, forget), "id bigint, n bigint, held binary")
     made = materialise(made, name)
     side = lambda end: made.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("held").alias(f"held_{end}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "held_a", "held_b")
@@ -263,7 +264,7 @@ def _tree_pairs(entries: DataFrame, docs: DataFrame, order, n: int, percent: int
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
     laid = docs.join(asked, "doc_id").select("doc_id", "text", "component", "wanted").mapInArrow(
-        lay, "shingle bigint, doc_id bigint, n bigint, component bigint, place bigint, rest binary"
+        tidied(lay, forget), "shingle bigint, doc_id bigint, n bigint, component bigint, place bigint, rest binary"
     )
     long = broadcast_if_small(
         entries.groupBy("shingle").agg(F.ceil(F.count("*") / block).alias("blocks")).where(F.col("blocks") > 1)
@@ -307,7 +308,7 @@ def _tree_pairs(entries: DataFrame, docs: DataFrame, order, n: int, percent: int
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
-    return ordered.mapInArrow(walk, "a bigint, b bigint").distinct()
+    return ordered.mapInArrow(tidied(walk), "a bigint, b bigint").distinct()
 
 
 def jaccard_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from querysieve.llm import bpe
+from querysieve.llm.workers import tidied
 from querysieve.operators.ordering import global_index
 from querysieve.session import materialise, ship
 
@@ -51,7 +52,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 ], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(cut, PIECES)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(tidied(cut, bpe.forget), PIECES)
 
 
 def best_two_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:

@@ -25,6 +25,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget() -> None:
+    """Empty the cache of words."""
+    _words.clear()
+
+
 def shingle_set(text: bytes | None, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of ``n`` consecutive words of ``text`` (ASCII case folded).
 

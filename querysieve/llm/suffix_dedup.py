@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from querysieve.llm.difference_cover import suffix_ranks
+from querysieve.llm.workers import tidied
 from querysieve.operators.ordering import BLOCK, range_blocks
 from querysieve.session import broadcast_if_small, drop_written, materialise, ship, written
 
 LENGTH, W, K = 200, 60, 16
 # Anchors to compare: LENGTH bytes hold about LENGTH / 30. Suffixes whose cores do not reach far enough meet in step 3.
 DEPTH = 9
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 SIDE_ROWS, SIDE_BYTES = 3_000_000, 256 * 1024 * 1024
 _ODD = 0x9E3779B97F4A7C15
 _C1, _C2, _C3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -65,6 +66,11 @@ def _powers(size: int, odd: int) -> np.ndarray:
     return out
 
 
+def forget() -> None:
+    """Empty the tables of powers."""
+    _powers.cache_clear()
+
+
 def _room(n: int) -> int:
     return 1 << max(12, n.bit_length())
 
@@ -168,7 +174,7 @@ def _cores(texts: DataFrame) -> DataFrame:
         for _, held in _chunks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(anchors(held)[3])], names=["core"])
 
-    return texts.mapInArrow(emit, "core bigint")
+    return texts.mapInArrow(tidied(emit, forget), "core bigint")
 
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
@@ -179,7 +185,7 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
             text, *columns = anchors(held)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(text)), *map(pa.array, columns)], names=names)
 
-    return texts.mapInArrow(emit, "key binary, ordinal bigint, at bigint, core bigint, first bigint, last bigint")
+    return texts.mapInArrow(tidied(emit, forget), "key binary, ordinal bigint, at bigint, core bigint, first bigint, last bigint")
 
 
 def _start_digests(asked: DataFrame) -> DataFrame:
@@ -200,7 +206,7 @@ def _start_digests(asked: DataFrame) -> DataFrame:
                         [keys, pa.array(part), pa.array(np.frombuffer(digests, "<i8")), pa.array(done[at:at + 50_000])], names=names
                     )
 
-    return asked.mapInArrow(emit, "key binary, start bigint, string bigint, settled boolean")
+    return asked.mapInArrow(tidied(emit), "key binary, start bigint, string bigint, settled boolean")
 
 
 def beside(rows: DataFrame, order: list[str], column: str) -> DataFrame:
@@ -353,7 +359,7 @@ def cut_repeats(
                 names=[*columns, "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return clean.unionByName(cut.mapInArrow(remove, clean.schema))
+    return clean.unionByName(cut.mapInArrow(tidied(remove), clean.schema))
 
 
 def dedup_digests(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
