@@ -199,10 +199,16 @@ def percent(value: Column, decimals: int = 2) -> Column:
     return F.when(value.isNotNull(), shown)
 
 
-def metrics_report(test: DataFrame, validation: DataFrame, techniques: list[str], max_rate: float = MAX_FALSE_POSITIVE_RATE) -> DataFrame:
+def metrics_report(
+    test: DataFrame,
+    validation: DataFrame,
+    techniques: list[str],
+    max_rate: float = MAX_FALSE_POSITIVE_RATE,
+    ranked: DataFrame | None = None,
+) -> DataFrame:
     """One formatted row per model: rates at the validation threshold, areas, recall per technique."""
     predictions = predict(test, fpr_threshold(validation, max_rate))
-    ranked = ranked_scores(test)
+    ranked = ranked_scores(test) if ranked is None else ranked
     areas = auprc(test, ranked).join(auroc(test, ranked), "model")
     recalls = recall_columns(recall_by_technique(predictions), techniques)
     shown = lambda t: F.coalesce(percent(F.col(f"recall{t}")), F.lit("")).alias(f"recall{t}")

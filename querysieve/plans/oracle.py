@@ -352,6 +352,27 @@ _mab = lambda c: r6(f"greatest(0, least(1, {c} / (SELECT CAST(CASE WHEN max(abs(
 FIT = "fit AS (SELECT * FROM wide WHERE split = 'train')"
 O["scale_standard"] = w(QLOG, LEXICAL, FIT) + f"SELECT id, {', '.join(_std(c) for c in lx.FEATURES)} FROM wide"
 O["scale_maxabs"] = w(QLOG, LEXICAL, FIT) + f"SELECT id, {', '.join(_mab(c) for c in lx.FEATURES)} FROM wide"
+_low = lambda e: f"(({e}) & 4294967295)"
+_turned = lambda e, bits: _low(f"(({e}) << {bits}) | (({e}) >> {32 - bits})")
+_number = lambda e: "CAST('0x' || " + " || ".join(f"substr({e}, {at}, 2)" for at in (7, 5, 3, 1)) + " AS UBIGINT)"
+_mixed = lambda e: _low(_turned(_low(f"({e}) * 3432918353"), 15) + " * 461845907")
+_folded = lambda e, bits: f"xor({e}, ({e}) >> {bits})"
+# The 32-bit hash of a term's UTF-8 bytes, by blocks of four bytes; seed 42.
+TERM_HASH = f"""
+hex_terms AS MATERIALIZED (SELECT term, hex(encode(term)) AS h, CAST(octet_length(encode(term)) AS UBIGINT) AS len FROM (SELECT DISTINCT term FROM said)),
+numbers AS (SELECT term, h, len, list_transform(range(CAST(len // 4 AS BIGINT)), lambda i: {_number("substr(h, 8 * i + 1, 8)")}) AS blocks,
+  CASE WHEN len % 4 > 0 THEN {_number("rpad(substr(h, CAST(8 * (len // 4) AS BIGINT) + 1), 8, '0')")} ELSE CAST(0 AS UBIGINT) END AS rest FROM hex_terms),
+mixed AS MATERIALIZED (SELECT term, len, [CAST(42 AS UBIGINT)] || list_transform(blocks, lambda k: {_mixed("k")}) AS ks, {_mixed("rest")} AS rest FROM numbers),
+body AS MATERIALIZED (SELECT term, xor(xor(list_reduce(ks, lambda a, k: {_low(_turned("xor(a, k)", 13) + " * 5 + 3864292196")}), rest), len) AS a FROM mixed),
+first_fold AS MATERIALIZED (SELECT term, {_low(_folded("a", 16) + " * 2246822507")} AS a FROM body),
+second_fold AS MATERIALIZED (SELECT term, {_low(_folded("a", 13) + " * 3266489909")} AS a FROM first_fold),
+buckets AS MATERIALIZED (SELECT term, CAST({_folded("a", 16)} % 128 AS BIGINT) AS bucket FROM second_fold)
+"""
+O["embed_hash"] = w(QLOG, f"said AS MATERIALIZED (SELECT id, unnest({TOKENS}) AS term FROM qlog)", TERM_HASH) + """,
+cells AS (SELECT id, bucket % 64 AS place, sum(CASE WHEN bucket < 64 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM said JOIN buckets USING (term) GROUP BY 1, 2),
+norms AS (SELECT id, sqrt(sum(v * v)) AS norm FROM cells GROUP BY 1)
+SELECT q.id, p.place, round(CASE WHEN c.v IS NULL OR n.norm = 0 THEN 0 ELSE c.v / n.norm END, 6) AS value
+FROM qlog q CROSS JOIN (SELECT unnest(range(64)) AS place) p LEFT JOIN cells c ON c.id = q.id AND c.place = p.place LEFT JOIN norms n ON n.id = q.id"""
 O["scale_counts"] = w(QLOG, VOCAB, DOC_TERMS) + """, summed AS (SELECT id, idx, n, (SELECT count(*) FROM slog WHERE split = 'train') AS d,
   coalesce(sum(n) FILTER (split = 'train') OVER term, 0) AS s, coalesce(sum(n * n) FILTER (split = 'train') OVER term, 0) AS q FROM matrix WINDOW term AS (PARTITION BY idx)),
 dev AS (SELECT id, idx, n, sqrt(greatest(q / d - (s / d) * (s / d), 0)) AS s FROM summed)
@@ -380,13 +401,19 @@ O["fpr_threshold"] = w(QLOG, SCORES, thresholds(0.001)) + "SELECT model, round(t
 O["threshold_share"] = w(QLOG, SCORES, thresholds(0.05)) + "SELECT model, count(*) FILTER (score > threshold) AS n_above, round(count(*) FILTER (score > threshold) / count(*), 6) AS share_above FROM val JOIN thr USING (model) GROUP BY 1"
 O["confusion"] = w(QLOG, SCORES, PREDS, CONF) + "SELECT model, tn, fp, fn, tp, " + ", ".join(r6(c, c) for c in ("accuracy", "fone", "precision", "recall", "fpr")) + " FROM rates"
 _pct = lambda e, n, d=2: f"printf('%.{d}f%%', {e} * 100) AS {n}"
-O["metrics_report"] = w(QLOG, SCORES, RANKED, PREDS, CONF) + (
+REPORT = (
     ", per AS (SELECT model, " + _recall_cols("{e} AS {n}") + " FROM recalls GROUP BY 1) SELECT model, "
     + ", ".join(_pct(c, c) for c in ("fone", "accuracy", "precision", "recall")) + ", " + _pct("fpr", "fpr", 5)
     + ", printf('%.4f', auprc) AS auprc, printf('%.4f', auroc) AS rocauc, "
     + ", ".join(f"coalesce(printf('%.2f%%', recall{t} * 100), '') AS recall{t}" for t in fx.LOG_TECHNIQUES)
     + " FROM rates JOIN prc USING (model) JOIN rocc USING (model) LEFT JOIN per USING (model)"
 )
+O["metrics_report"] = w(QLOG, SCORES, RANKED, PREDS, CONF) + REPORT
+INPUT_SCORES = SCORES.replace("FROM slog", "FROM (SELECT * REPLACE (user_inputs AS full_query) FROM slog WHERE user_inputs <> '')")
+O["evaluation_report"] = " UNION ALL ".join(
+    f"SELECT {mode} AS on_user_inputs, * FROM ({w(QLOG, scores, RANKED, PREDS, CONF) + REPORT})"
+    for mode, scores in (("false", SCORES), ("true", INPUT_SCORES))
+)
 O["pr_curve"] = w(QLOG, SCORES, RANKED) + f"SELECT model, {r6('threshold', 'threshold')}, {r6('precision', 'precision')}, {r6('recall', 'recall')} FROM pr"
 O["auprc"] = w(QLOG, SCORES, RANKED) + "SELECT model, round(auprc, 6) AS auprc FROM prc"
 O["auc_from_points"] = w(QLOG, SCORES, RANKED) + "SELECT model, round(auprc, 6) AS area FROM prc"

@@ -13,7 +13,7 @@ from querysieve.operators import bagofwords as bow, build as bu, cleaning as cl,
 from querysieve.operators import scaling as sc, stats as st, synth as sy, workload as wl
 from querysieve.operators.detectors import hashed, lof, neighbours as nb, ocsvm
 from querysieve.operators.ordering import global_index
-from querysieve.plans import fixtures as fx, grid
+from querysieve.plans import evaluation as ev, fixtures as fx, grid
 from querysieve.plans.fixtures import DRAW, table
 from querysieve.session import broadcast_if_small, materialise, scratch_path, spread
 from querysieve.sources import catalogue as ca, curves as cu, dictionaries as di, querylog as ql
@@ -431,7 +431,10 @@ def feature_min_check(spark, sf):
 
 @query("embed_hash")
 def embed_hash(spark, sf):
-    return em.embed_hash(fx.qlog(spark, sf).select("id", "full_query")).select("id", "embedding")
+    """One row for each place of each embedding."""
+    out = em.embed_hash(fx.qlog(spark, sf).select("id", "full_query"))
+    cells = out.select("id", F.posexplode("embedding").alias("place", "value"))
+    return cells.select("id", F.col("place").cast("long").alias("place"), r6("value").alias("value"))
 
 
 @query("embed_precomputed")
@@ -547,6 +550,29 @@ def score_grid(spark, sf):
     return grid.score_grid(fx.qlog(spark, sf)).select("model", "part", "id", "label", "score", "attack_technique")
 
 
+@query("grid_report")
+def grid_report(spark, sf):
+    """The nine trained models of the grid, scored, thresholded and reported by one call."""
+    return ev.evaluate(fx.qlog(spark, sf), scratch_path(spark, "grid-report"))
+
+
+def rule_grid(log: DataFrame) -> DataFrame:
+    """Rule scores as an untrained grid; its validation rows are the train split."""
+    part = F.when(F.col("split") == "train", "val").otherwise(F.col("split"))
+    return fx.rule_scores(cl.assign_split(log)).withColumn("part", part).drop("split")
+
+
+@query("evaluation_report")
+def evaluation_report(spark, sf):
+    """Stored reports of the rule scores, on statements and on user inputs."""
+    log, root = materialise(fx.qlog(spark, sf), "log"), scratch_path(spark, "evaluation")
+    modes = [
+        ev.evaluate(log, root, rule_grid, 0.05, fx.LOG_TECHNIQUES, on_user_inputs=inputs).withColumn("on_user_inputs", F.lit(inputs))
+        for inputs in (False, True)
+    ]
+    return modes[0].unionByName(modes[1])
+
+
 # ---- thresholds, metrics, curves ---------------------------------------------------------
 
 
