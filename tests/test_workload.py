@@ -123,3 +123,21 @@ def test_nearest_has_no_cartesian_product(spark):
         assert wl.nearest(a, "o", 5).count() == 5
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_long_runways_mean_of_halves(spark):
+    """A mean that ends in a half rounds up in whatever order its lengths are added; as doubles these give 257100.49999999997."""
+    lengths = [
+        296588.53, 282479.74, 204896.02, 308825.53, 168419.92, 393690.62, 100172.88, 407316.93, 415997.51, 229011.59, 20706.23,
+    ]
+    airport = spark.createDataFrame([(1, "a", "m", "2")], "id long, name string, municipality string, iso_country string")
+    means = set()
+    for turned in (lengths, lengths[::-1], sorted(lengths)):
+        rows = [(i, 1, x) for i, x in enumerate(turned)]
+        runways = spark.createDataFrame(rows, "id long, airport_ref long, length_ft double").coalesce(1)
+        found = {r["airport_name"]: r["avg_runway_length"] for r in wl.long_runways(airport, runways, "2", "3000").collect()}
+        means.add(found["a"])
+    assert means == {257101}
+    far = spark.createDataFrame([(1, 2, 1e25), (2, 2, 3e25)], "id long, airport_ref long, length_ft double")
+    rough = wl.runway_stats(far).first()
+    assert (rough["_len"], rough["_rough"], rough["_lens"]) == (None, 4e25, 2)
