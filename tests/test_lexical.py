@@ -100,3 +100,19 @@ def test_tautology_of_long_runs_takes_linear_time(spark):
     start = time.time()
     assert [r[0] for r in df.select(lx.has_tautology(F.col("t"))).collect()] == [want for _, want in texts]
     assert time.time() - start < 30
+
+
+def test_counts_meet_their_terms_once(spark, sf):
+    """Counts joined the vocabulary, then the deviations; both joins now are one, with the same values."""
+    import __spark_entry__ as entry
+    from querysieve.operators import bagofwords as bow, scaling as sc
+
+    docs = spark.createDataFrame([(1, "aa aa bb"), (2, "aa cc"), (3, ""), (4, "bb bb dd")], "id int, full_query string")
+    train = docs.where("id < 4")
+    vocab, n = bow.vocabulary(train), train.agg(F.count("*")).scalar()
+    want = sc.scale_counts(bow.count_matrix(docs, vocab), bow.count_matrix(train, vocab), n)
+    got = sc.scale_doc_terms(bow.doc_terms(docs), bow.doc_terms(train), vocab, n)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("id", "idx", "n", "scaled").collect()))
+    # The documents' own join with labels and the join with the terms.
+    plan = entry.queries()["scale_counts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2
