@@ -13,6 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from querysieve.functions import lexical as lx
 from querysieve.session import scratch_path
 
+# Files of a batch for each core: a batch keeps all cores busy, and a restart repeats one batch at most.
+FILES_PER_CORE = 8
+
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -32,9 +35,13 @@ def with_lexical(df: DataFrame) -> DataFrame:
 
 
 def run_once(
-    spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], files_per_trigger: int = 4
+    spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], files_per_trigger: int | None = None
 ) -> DataFrame:
-    """Stream everything now in ``source`` through ``transform`` and read the sink back."""
+    """Stream everything now in ``source`` through ``transform`` and read the sink back.
+
+    A batch takes ``files_per_trigger`` files, by default some for each core of the session.
+    """
+    files_per_trigger = files_per_trigger or FILES_PER_CORE * spark.sparkContext.defaultParallelism
     sink, checkpoint = scratch_path(spark, "sink"), scratch_path(spark, "offsets")
     out = transform(read_stream(spark, source, schema, files_per_trigger))
     write_stream(out, sink, checkpoint, once=True).awaitTermination()

@@ -33,3 +33,18 @@ def test_model_scores_a_stream(spark):
     a = streamed.orderBy("id").toPandas()["score"]
     b = ocsvm.score_ocsvm(model, rows).orderBy("id").toPandas()["score"]
     assert np.allclose(a, b)
+
+
+def test_a_batch_has_files_for_every_core(spark, monkeypatch):
+    cores, batches = spark.sparkContext.defaultParallelism, []
+    read = ss.read_stream
+
+    def spy(*args):
+        batches.append(args[3])
+        return read(*args)
+
+    monkeypatch.setattr(ss, "read_stream", spy)
+    rows = spark.range(2 * cores + 5).select("id", F.concat(F.lit("a=a "), F.col("id").cast("string")).alias("full_query"))
+    got = ss.stream_lexical(spark, rows.repartition(2 * cores + 1))
+    assert got.count() == 2 * cores + 5
+    assert batches[0] >= 2 * cores
