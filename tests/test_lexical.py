@@ -116,3 +116,17 @@ def test_counts_meet_their_terms_once(spark, sf):
     # The documents' own join with labels and the join with the terms.
     plan = entry.queries()["scale_counts"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 2
+
+
+def test_counts_of_characters_do_not_join_what_letters_part(spark):
+    got, = features(spark, ["<a= >b= <c> !d= /e* *f/ -g- É1h² \u24b6i [j] {k}"])
+    assert got["c_comparison"] == 7 and got["has_multiline_comment"] == 0 and got["c_arith"] == 6
+    assert (got["c_num"], got["c_upper"], got["c_square_brackets"], got["c_curly_brackets"]) == (2, 2, 2, 2)
+
+
+def test_classes_are_counted_on_what_lower_case_leaves(spark):
+    df = spark.createDataFrame([("a",)], "t string")
+    found = lx.lexical_features(F.col("t"))
+    plan = df.select(*[found[n] for n in ("c_num", "c_upper", "c_space", "c_special")])._jdf.queryExecution().optimizedPlan().toString()
+    for name in (lx.DIGITS, lx.UPPER, lx.SPACE, lx.SPECIAL):
+        assert f"regexp_replace(regexp_replace(t#" in plan and f"[a-z]+, , 1), {name}, , 1)" in plan
