@@ -130,3 +130,10 @@ def test_classes_are_counted_on_what_lower_case_leaves(spark):
     plan = df.select(*[found[n] for n in ("c_num", "c_upper", "c_space", "c_special")])._jdf.queryExecution().optimizedPlan().toString()
     for name in (lx.DIGITS, lx.UPPER, lx.SPACE, lx.SPECIAL):
         assert f"regexp_replace(regexp_replace(t#" in plan and f"[a-z]+, , 1), {name}, , 1)" in plan
+
+
+def test_rule_scores_search_a_text_once(spark, sf):
+    from querysieve.plans import fixtures as fx
+
+    plan = fx.rule_scores(fx.qlog(spark, sf))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("exists(arrays_zip(") == 1
