@@ -2,13 +2,16 @@
 
 The byte-level vocabulary cuts a text into words before it merges bytes, and a single space between
 two plain characters always starts a new word. So a text may be cut there, each distinct piece is
-encoded once by the library, and the pieces' ids joined are the ids of the text.
+encoded once by the library, and the pieces' ids joined are the ids of the text. New pieces of plain
+characters are cut on into words, which the library's merges take as they are; others take its whole way.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +21,12 @@ import numpy as np
 _PLAIN = "!-~À-ɏ"
 _CUT = re.compile(f" (?<=[{_PLAIN}] )(?=[{_PLAIN}])")
 _IS_PLAIN = re.compile(f"[{_PLAIN}]")
+# The vocabulary's own word pattern on plain characters and common white space.
+_LETTER, _SIGN, _SPACE = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-/:-@\[-`{-~×÷", r"\t\n\r "
+_COMMON = re.compile(f"[{_SPACE}{_PLAIN}]*")
+_WORD = re.compile(
+    f" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[{_SIGN}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
 # Pieces in each of the two generations of the cache, about 200 bytes each. More save little: most misses are words seen once.
 CACHE_PIECES = 200_000
 BATCH_CHARS = 2_000_000
@@ -51,21 +60,84 @@ def vocabulary_size(path: str, *others: int) -> int:
     return max(len(_widths(path)), *(i + 1 for i in others))
 
 
+def _byte_level() -> dict[int, str]:
+    """The characters that stand for bytes in the vocabulary, where they are not those of the same number."""
+    same = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {byte: chr(256 + k) for k, byte in enumerate(b for b in range(256) if b not in same)}
+
+
+_BYTES = _byte_level()
+
+
+@lru_cache(maxsize=4)
+def _merges(path: str):
+    """The library's merges of one word, its bytes as characters; None if the vocabulary cuts words in its own way."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    library = _library(path)
+    cut = library.pre_tokenizer
+    plain = type(cut) is ByteLevel and cut.use_regex and not cut.add_prefix_space and library.normalizer is None
+    return library.model.tokenize if plain else None
+
+
+def _packed(ids: list[int]) -> bytes:
+    held = array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
+class _Words(dict):
+    """Ids of words; one that is missing is taken from the generation before, or merged."""
+
+    def __init__(self, merges, old: dict[str, bytes]):
+        self.merges, self.old = merges, old
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isascii() and word[1:].isalpha():
+                symbols = word.replace(" ", "Ġ", 1)
+            else:
+                symbols = word.encode().decode("latin-1").translate(_BYTES)
+            ids = _packed([token.id for token in self.merges(symbols)])
+        self[word] = ids
+        return ids
+
+
 class _Cache:
-    """Ids of pieces in two generations: a full young one becomes the old one, whose pieces in use come back."""
+    """Ids of words and pieces in two generations: a full young one becomes the old one, whose members in use come back."""
 
-    def __init__(self) -> None:
+    def __init__(self, path: str) -> None:
+        self.words = _Words(_merges(path), {})
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        special = [re.escape(t.content) for t in _library(path).get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)").search
+
+    def by_words(self, text: str) -> bytes | None:
+        """Ids of a text of common characters; None if it needs the library's whole way."""
+        if self.words.merges is None or not _COMMON.fullmatch(text) or self.special(text):
+            return None
+        return b"".join(map(self.words.__getitem__, _WORD.findall(text)))
+
+    def turn(self) -> None:
+        """Full generations become old ones."""
+        if len(self.words) > CACHE_PIECES:
+            self.words.old = {}
+            self.words = _Words(self.words.merges, self.words)
+        if len(self.young) > CACHE_PIECES:
+            self.young, self.old = {}, self.young
 
     def load(self, pieces: set[str], path: str) -> None:
         """Bring every piece into the young generation."""
-        if len(self.young) > CACHE_PIECES:
-            self.young, self.old = {}, self.young
         joinable, single = [], []
         for piece in pieces.difference(self.young):
+            text = piece[1:] if piece[0] == FIRST else " " + piece
             if piece in self.old:
                 self.young[piece] = self.old[piece]
+            elif (ids := self.by_words(text)) is not None:
+                self.young[piece] = ids
             elif piece[0] != FIRST and _IS_PLAIN.match(piece[-1]):
                 joinable.append(piece)
             else:
@@ -97,7 +169,7 @@ FIRST = "\0"
 
 @lru_cache(maxsize=4)
 def _cache(path: str) -> _Cache:
-    return _Cache()
+    return _Cache(path)
 
 
 def forget() -> None:
@@ -108,9 +180,13 @@ def forget() -> None:
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers."""
     cache = _cache(path)
-    cut = [_CUT.split(FIRST + text) if text else [] for text in texts]
-    cache.load(set().union(*cut), path)
-    return [b"".join(map(cache.young.__getitem__, pieces)) for pieces in cut]
+    cache.turn()
+    held = [cache.by_words(text) for text in texts]
+    cut = {i: _CUT.split(FIRST + texts[i]) for i, ids in enumerate(held) if ids is None}
+    cache.load(set().union(*cut.values()), path)
+    for i, pieces in cut.items():
+        held[i] = b"".join(map(cache.young.__getitem__, pieces))
+    return held
 
 
 def in_parts(texts: list[str | None], chars: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:

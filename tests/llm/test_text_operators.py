@@ -288,3 +288,31 @@ def test_cached_pieces_give_the_librarys_ids(monkeypatch):
     got = [b for at in range(0, len(texts), 3) for b in bpe.encode(texts[at:at + 3], path)]
     bpe._cache.cache_clear()
     assert got == want
+
+
+def test_common_words_skip_the_librarys_whole_way(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    atoms = ["a", "b", "'", "'s", "'ll", " ", "  ", "\n", "\t", "\r", "\x0b", "\x85", "\xa0", "é", "Ø", "×", "÷", "ª", "µ", "1", "23", "½", "<|endoftext|>",
+             "<|", "日本", "🙂", "\xad", "ɏ", "ɐ", "ǅ", ".", ",", "!!", "\0", "don't", "I'RE", "_", "٣"]
+    rng = np.random.default_rng(7)
+    odd = ["".join(rng.choice(atoms, rng.integers(0, 14))) for _ in range(3000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in bpe._library(path).encode_batch_fast(odd, add_special_tokens=False)]
+    bpe.forget()
+    assert bpe.encode(odd, path) == want
+    plain = ["alphabetagamma, (alphabetagamma) don't\n\nAlphabêta.", "alphabetagamma.\nalphabetagamma 12"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in bpe._library(path).encode_batch_fast(plain, add_special_tokens=False)]
+    bpe.forget()
+    seen = []
+
+    class Library:
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            seen.extend(texts)
+            return library.encode_batch_fast(texts, **kw)
+
+    library = bpe._library(path)
+    monkeypatch.setattr(bpe, "_library", lambda _: Library())
+    assert bpe.encode(plain, path) == want and not seen
+    bpe.forget()
