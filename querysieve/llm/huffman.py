@@ -99,13 +99,16 @@ def encode_streams(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, length
     starts = np.cumsum(n_bytes) - n_bytes
     at = upto[:-1] + np.repeat(8 * starts - upto[ends - sizes], sizes)
     total = int(n_bytes.sum())
-    value = codes[ids].astype(np.int64) << (24 - width - (at & 7))
-    byte = at >> 3
-    # Codes never share a bit, so their sum is their union.
-    payload = np.zeros(total + 2)
-    for k, shift in enumerate((16, 8, 0)):
-        payload += np.bincount(byte + k, (value >> shift) & 255, minlength=total + 2)
-    return payload[:total].astype(np.uint8), starts, n_bytes, at
+    # Each code in 64 bits that begin with the 32-bit word of its first bit; codes never share a bit, so their sum is their union.
+    value = codes[ids].astype(np.uint64) << (64 - width - (at & 31)).astype(np.uint64)
+    word = at >> 5
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    held = np.add.reduceat(value, first) if len(first) else value
+    words = np.zeros((total >> 2) + 3, np.uint32)
+    words[word[first]] = held >> np.uint64(32)
+    words[word[first] + 1] += held.astype(np.uint32)
+    payload = words.astype(">u4").view(np.uint8)
+    return payload[:total], starts, n_bytes, at
 
 
 def decode_streams(payload: bytes, marks: np.ndarray, sizes: np.ndarray, table) -> np.ndarray:
@@ -196,8 +199,9 @@ def id_counts(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), kind), minlength=vocabulary)
+            raw = [np.frombuffer(ids.as_buffer(), kind) for ids in batch.column(0)]
+            if raw:
+                total += np.bincount(np.concatenate(raw), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
