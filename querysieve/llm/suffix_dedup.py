@@ -23,12 +23,12 @@ an empty table gives an empty table.
 
 from __future__ import annotations
 
-import hashlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from xxhash import xxh3_64_digest
 
 from querysieve.llm.difference_cover import suffix_ranks
 from querysieve.llm.workers import tidied
@@ -117,11 +117,14 @@ def anchors(texts: list[bytes]):
     if (sizes >= LENGTH).sum() == 0:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     runs = np.where(sizes >= LENGTH, sizes - K - W + 2, 0)
-    text = np.repeat(np.arange(len(texts)), runs)
-    run = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs) + begin[text]
-    at = anchor_windows(raw)[run]
-    new = np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
-    text, at = text[new], at[new] - begin[text[new]]
+    places = anchor_windows(raw)
+    # A run begins a new anchor where its place is another one than before, and at the begin of a text.
+    new = np.append(True, places[1:] != places[:-1])
+    new[begin[runs > 0]] = True
+    run = np.flatnonzero(new)
+    text = np.searchsorted(begin, run, side="right") - 1
+    inside = run - begin[text] < runs[text]
+    text, at = text[inside], places[run[inside]] - begin[text[inside]]
     opens = np.concatenate([[True], text[1:] != text[:-1]])
     ordinal = np.arange(len(text)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]
     before = np.where(opens, -1, np.concatenate([[-1], at[:-1]]))
@@ -139,9 +142,8 @@ def keep_bytes(text: bytes, lows: np.ndarray, highs: np.ndarray, characters: boo
 
     ``characters``: a character that loses a byte goes whole, so UTF-8 stays UTF-8.
     """
-    change = np.zeros(len(text) + 1, np.int32)
-    np.add.at(change, lows, 1)
-    np.add.at(change, np.minimum(highs + LENGTH, len(text)), -1)
+    size = len(text) + 1
+    change = np.bincount(lows, minlength=size) - np.bincount(np.minimum(highs + LENGTH, len(text)), minlength=size)
     gone = np.cumsum(change[:-1]) > 0
     if characters and len(text):
         place = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
@@ -154,6 +156,12 @@ def _texts(batch: pa.RecordBatch, column: int):
     return (v.as_py() or b"" for v in batch.column(column).cast(pa.binary()))
 
 
+def _fields(ranges: pa.ListScalar, *names: str) -> list[np.ndarray]:
+    """The fields of a list of structs as arrays."""
+    held = ranges.values
+    return [held.field(name).to_numpy(zero_copy_only=False) for name in names]
+
+
 def _chunks(batches):
     """Keys and texts, about ``CHUNK_BYTES`` at a time."""
     for batch in batches:
@@ -195,12 +203,13 @@ def _start_digests(asked: DataFrame) -> DataFrame:
     def emit(batches):
         for batch in batches:
             for key, text, ranges in zip(batch.column(0), _texts(batch, 1), batch.column(2)):
-                held = [(r["first"], r["last"], r["settled"]) for r in ranges.as_py()]
-                start = np.concatenate([np.arange(a, b + 1) for a, b, _ in held])
-                done = np.concatenate([np.full(b - a + 1, s) for a, b, s in held])
+                first, last, settled = _fields(ranges, "first", "last", "settled")
+                each = last - first + 1
+                start = np.arange(each.sum()) + np.repeat(first - np.cumsum(each) + each, each)
+                done = np.repeat(settled, each)
                 for at in range(0, len(start), 50_000):
                     part = start[at:at + 50_000].tolist()
-                    digests = b"".join([hashlib.md5(text[i:i + LENGTH], usedforsecurity=False).digest()[:8] for i in part])
+                    digests = b"".join([xxh3_64_digest(text[i:i + LENGTH]) for i in part])
                     keys = pa.array([key.as_py()], pa.binary()).take(pa.array(np.zeros(len(part), np.int64)))
                     yield pa.RecordBatch.from_arrays(
                         [keys, pa.array(part), pa.array(np.frombuffer(digests, "<i8")), pa.array(done[at:at + 50_000])], names=names
@@ -343,12 +352,10 @@ def cut_repeats(
         for batch in batches:
             sizes, gone, spans, left = [], [], [], []
             for value, ranges in zip(_texts(batch, n_columns), batch.column(n_columns + 1)):
-                held = ranges.as_py()
-                if held is None:
+                if not ranges.is_valid:
                     rest, runs = b"", 1
                 else:
-                    low, high = (np.array([r[c] for r in held], np.int64) for c in ("first", "last"))
-                    rest, runs = keep_bytes(value, low, high, characters)
+                    rest, runs = keep_bytes(value, *_fields(ranges, "first", "last"), characters)
                 sizes.append(len(value))
                 gone.append(len(value) - len(rest))
                 spans.append(runs)

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -316,3 +317,20 @@ def test_common_words_skip_the_librarys_whole_way(monkeypatch):
     monkeypatch.setattr(bpe, "_library", lambda _: Library())
     assert bpe.encode(plain, path) == want and not seen
     bpe.forget()
+
+
+def test_anchors_of_joined_texts_are_those_of_each():
+    rng = np.random.default_rng(5)
+    whole = rng.integers(97, 101, 4000).astype(np.uint8).tobytes()
+    texts = [whole[:n] for n in (0, 199, 200, 0, 201, 3000, 74, 4000, 200)]
+    got = suffix_dedup.anchors(texts)
+    for i, text in enumerate(texts):
+        for mine, alone in zip(got[1:], suffix_dedup.anchors([text])[1:]):
+            assert mine[got[0] == i].tolist() == alone.tolist()
+
+
+def test_ranges_are_read_as_arrays():
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+    held = pa.array([[{"first": 1, "last": 2}], None, [], [{"first": 5, "last": 9}, {"first": 7, "last": 7}]], kind).slice(1)
+    fields = lambda x: [a.tolist() for a in suffix_dedup._fields(x, "first", "last")]
+    assert not held[0].is_valid and fields(held[1]) == [[], []] and fields(held[2]) == [[5, 7], [9, 7]]
