@@ -65,8 +65,10 @@ class Order:
         return np.sort(keys)[:length]
 
     def short_prefix(self, held: np.ndarray) -> np.ndarray:
-        """The prefix in 32 bits: the order stays, some different keys become equal."""
-        keys = self.prefix(held)
+        return self.short(self.prefix(held))
+
+    def short(self, keys: np.ndarray) -> np.ndarray:
+        """Keys of a prefix in 32 bits: the order stays, some different ones become equal."""
         late = keys >= self.LATE
         short = (keys >> np.uint64(32)).astype(np.uint32)
         short[late] = (keys[late] & np.uint64(0x7FFFFFFF)).astype(np.uint32) | np.uint32(1 << 31)
@@ -125,35 +127,39 @@ def _profiles(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, order, n: int) -> DataFrame:
+    """``doc_id, n, held`` for every document: its set size and the keys of its prefix."""
+
+    def emit(batches):
+        for batch in batches:
+            sizes, held = [], []
+            for values in sets_of(batch, 1, n):
+                sizes.append(len(values))
+                held.append(order.value.prefix(values).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "n", "held"]
+            )
+
+    return docs.mapInArrow(tidied(emit, forget), "doc_id bigint, n bigint, held binary")
+
+
+def _listed(prefixes: DataFrame) -> DataFrame:
     """``shingle, doc_id, n`` for every prefix shingle."""
 
     def emit(batches):
         for batch in batches:
-            ids, owners, sizes, held = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
-            for doc, values in zip(ids, sets_of(batch, 1, n)):
-                prefix = order.value.prefix(values)
-                held.append(prefix)
-                owners.append(np.full(len(prefix), doc, np.int64))
-                sizes.append(np.full(len(prefix), len(values), np.int64))
-            if held:
+            keys = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(2)]
+            if keys:
+                each = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(np.concatenate(held)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))],
+                    [pa.array(np.concatenate(keys)), batch.column(0).take(each), batch.column(1).take(each)],
                     names=["shingle", "doc_id", "n"],
                 )
 
-    return docs.mapInArrow(tidied(emit, forget), "shingle bigint, doc_id bigint, n bigint")
-
+    return prefixes.mapInArrow(tidied(emit), "shingle bigint, doc_id bigint, n bigint")
 
-def _meet(pairs: DataFrame, docs: DataFrame, build, fits, n: int, name: str) -> DataFrame:
-    """The pairs (a, b) for which ``fits`` holds on what ``build`` makes of the two sets."""
 
-    def make(batches):
-        for batch in batches:
-            sets = list(sets_of(batch, 1, n))
-            held, sizes = [build(v).tobytes() for v in sets], [len(v) for v in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], names=["id", "n", "held"]
-            )
+def _meet(pairs: DataFrame, docs: DataFrame, make, fits, name: str) -> DataFrame:
+    """The pairs (a, b) for which ``fits`` holds on what ``make`` gives (id, n, held) for the batches of ``docs``."""
 
     def check(batches):
         for batch in batches:
@@ -177,16 +183,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFr
         shared = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
         return 100 * shared >= percent * (n_a + n_b - shared)
 
-    return _meet(materialise(pairs, "pairs"), docs, lambda values: values, fits, n, "sets")
+    def make(batches):
+        for batch in batches:
+            sets = list(sets_of(batch, 1, n))
+            sizes, held = pa.array(map(len, sets), pa.int64()), pa.array([v.tobytes() for v in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, held], names=["id", "n", "held"])
 
+    return _meet(materialise(pairs, "pairs"), docs, make, fits, "sets")
 
-def _plausible(pairs: DataFrame, docs: DataFrame, order, n: int, percent: int) -> DataFrame:
+
+def _plausible(pairs: DataFrame, prefixes: DataFrame, order, percent: int) -> DataFrame:
     """The pairs without those that their prefixes rule out; a tenth of the sets is moved for it."""
 
     def fits(x, y, n_a, n_b):
         return plausible(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), n_a, n_b, percent)
 
-    return _meet(materialise(pairs, "pairs"), docs, lambda v: order.value.short_prefix(v), fits, n, "prefixes")
+    def make(batches):
+        for batch in batches:
+            short = [order.value.short(np.frombuffer(v.as_buffer(), np.uint64)).tobytes() for v in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(short, pa.binary())], names=["id", "n", "held"]
+            )
+
+    return _meet(materialise(pairs, "pairs"), prefixes, make, fits, "prefixes")
 
 
 def traverse(docs: list[tuple], others: list[tuple] | None, percent: int):
@@ -241,7 +260,7 @@ def traverse(docs: list[tuple], others: list[tuple] | None, percent: int):
                 yield (doc, other) if doc < other else (other, doc)
 
 
-def _tree_pairs(entries: DataFrame, docs: DataFrame, order, n: int, percent: int, block: int) -> DataFrame:
+def _tree_pairs(entries: DataFrame, prefixes: DataFrame, order, percent: int, block: int) -> DataFrame:
     """Candidate pairs of the lists in ``entries`` (shingle, doc_id, component)."""
     asked = entries.groupBy("doc_id", "component").agg(F.collect_set("shingle").alias("wanted"))
 
@@ -249,22 +268,23 @@ def _tree_pairs(entries: DataFrame, docs: DataFrame, order, n: int, percent: int
         names = ["shingle", "doc_id", "n", "component", "place", "rest"]
         for batch in batches:
             rows = []
-            for doc, component, wanted, values in zip(
-                batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), sets_of(batch, 1, n)
+            for doc, size, held, component, wanted in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), batch.column(4)
             ):
-                prefix, short = order.value.prefix(values), order.value.short_prefix(values)
+                prefix = np.frombuffer(held.as_buffer(), np.uint64)
+                short = order.value.short(prefix).tobytes()
                 wanted = wanted.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                for key in wanted[np.isin(wanted, prefix)]:
-                    place = int(np.searchsorted(prefix, key))
-                    rows.append((int(key.view(np.int64)), doc, len(values), component, place, short[place + 1:].tobytes()))
+                wanted = wanted[np.isin(wanted, prefix)]
+                for key, place in zip(wanted.view(np.int64).tolist(), np.searchsorted(prefix, wanted).tolist()):
+                    rows.append((key, doc, size, component, place, short[4 * place + 4:]))
                     if len(rows) >= 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
                         rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)
 
-    laid = docs.join(asked, "doc_id").select("doc_id", "text", "component", "wanted").mapInArrow(
-        tidied(lay, forget), "shingle bigint, doc_id bigint, n bigint, component bigint, place bigint, rest binary"
+    laid = prefixes.join(asked, "doc_id").select("doc_id", "n", "held", "component", "wanted").mapInArrow(
+        tidied(lay), "shingle bigint, doc_id bigint, n bigint, component bigint, place bigint, rest binary"
     )
     long = broadcast_if_small(
         entries.groupBy("shingle").agg(F.ceil(F.count("*") / block).alias("blocks")).where(F.col("blocks") > 1)
@@ -333,16 +353,17 @@ def jaccard_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, block: i
     skip = broadcast_if_small(copies.join(kept, "doc_id", "left_anti").distinct(), max_rows=SIDE_ROWS)
     searched = docs.where(F.col("doc_id").isNotNull()).join(skip, "doc_id", "left_anti")
 
-    prefixes = _prefixes(searched, order, n)
-    shared = prefixes.groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("shingle")
+    prefixes = materialise(_prefixes(searched, order, n), "keys")
+    listed = _listed(prefixes)
+    shared = listed.groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("shingle")
     entries = materialise(
-        prefixes.join(shared, "shingle", "left_semi").distinct(), "entries"
+        listed.join(shared, "shingle", "left_semi").distinct(), "entries"
     )
     heads = entries.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("head"))
     fits = F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * percent
     stars = entries.join(heads, "shingle").where((F.col("doc_id") != F.col("head.doc_id")) & fits)
     stars = stars.select(F.col("head.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = _verified(_plausible(stars, searched, order, n, percent), searched, n, percent)
+    links = _verified(_plausible(stars, prefixes, order, percent), searched, n, percent)
 
     found = components(links, "a", "b").withColumnsRenamed({"node": "doc_id"})
     coloured = entries.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
@@ -352,7 +373,7 @@ def jaccard_groups(docs: DataFrame, n: int = N, percent: int = PERCENT, block: i
     mixed = coloured.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = mixed.where(F.col("lo") != F.col("hi")).select("shingle")
     open_lists = materialise(coloured.join(mixed, "shingle", "left_semi"), "lists")
-    more = _verified(_tree_pairs(open_lists, searched, order, n, percent, block), searched, n, percent)
+    more = _verified(_tree_pairs(open_lists, prefixes, order, percent, block), searched, n, percent)
 
     groups = components(links.unionByName(more), "a", "b")
     heads = firsts.join(groups, F.col("first") == F.col("node"), "left").select(

@@ -334,3 +334,18 @@ def test_ranges_are_read_as_arrays():
     held = pa.array([[{"first": 1, "last": 2}], None, [], [{"first": 5, "last": 9}, {"first": 7, "last": 7}]], kind).slice(1)
     fields = lambda x: [a.tolist() for a in suffix_dedup._fields(x, "first", "last")]
     assert not held[0].is_valid and fields(held[1]) == [[], []] and fields(held[2]) == [[5, 7], [9, 7]]
+
+
+def test_prefixes_are_kept_once_and_listed(spark):
+    held = [(1, "a b c d e f g h i j k l"), (2, ""), (3, None), (4, "one two"), (5, "x " * 40 + "y")]
+    docs = spark.createDataFrame(held, "doc_id bigint, text string")
+    order = spark.sparkContext.broadcast(ngram_join.Order(np.zeros(0, np.uint64), 80))
+    kept = materialise(ngram_join._prefixes(docs, order, 5), "keys")
+    want = []
+    for i, text in held:
+        values = ngram_join.sets_of(pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["t"]), 0, 5)
+        for v in values:
+            keys = order.value.prefix(v)
+            assert order.value.short(keys).tolist() == order.value.short_prefix(v).tolist()
+            want += [(k, i, len(v)) for k in keys.view(np.int64).tolist()]
+    assert rows(ngram_join._listed(kept)) == sorted(want, key=repr) and len(want) > 3
