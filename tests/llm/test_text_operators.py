@@ -319,6 +319,34 @@ def test_common_words_skip_the_librarys_whole_way(monkeypatch):
     bpe.forget()
 
 
+def test_words_are_cut_as_the_library_cuts_them_and_looked_up_once_a_batch(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    atoms = ["a", "bc", "'", "'s", "'t", "'re", "'ll", "'ve", "'m", "'d", " ", "  ", "\n", "\t", "\r", "é", "×", "÷", "ɏ", "1", "23", ".", "!!", "e", "l"]
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(atoms, rng.integers(0, 12))) for _ in range(4000)]
+    cut = bpe._library(path).pre_tokenizer.pre_tokenize_str
+    raw = "".join(t + "\0" for t in texts).encode()
+    want, at = [], 0
+    for text in texts:
+        for _, (start, _) in cut(text):
+            want.append(at + len(text[:start].encode()))
+        at += len(text.encode())
+        want.append(at)
+        at += 1
+    assert bpe.word_starts(np.frombuffer(raw, np.uint8)).tolist() == want
+
+    held = [np.array(e.ids, "<u4").tobytes() for e in bpe._library(path).encode_batch_fast(texts, add_special_tokens=False)]
+    bpe.forget()
+    asked, of_words = [], bpe._Cache.of_words
+    monkeypatch.setattr(bpe._Cache, "of_words", lambda self, words: asked.append(list(words)) or of_words(self, words))
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
+    monkeypatch.setattr(bpe, "JOINED_WORDS", 7)
+    got = [ids for at in range(0, len(texts), 50) for ids in bpe.encode(texts[at:at + 50], path)]
+    bpe.forget()
+    assert got == held
+    assert len(asked) == 80 and all(len(words) == len(set(words)) for words in asked)
+
+
 def test_anchors_of_joined_texts_are_those_of_each():
     rng = np.random.default_rng(5)
     whole = rng.integers(97, 101, 4000).astype(np.uint8).tobytes()
