@@ -50,11 +50,18 @@ def smaller(counted: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
 
 
 def suffix_ranks(strings: DataFrame, depth: int) -> DataFrame:
-    """``sid, i, rank`` for strings given as rows ``sid, i, s`` (bigint) with places from 0 on."""
+    """``sid, i, rank`` for strings given as rows ``sid, i, s`` (bigint) with places from 0 on.
+
+    A written table may hold the next two symbols (-1 behind the end) as ``t1`` and ``t2``; else they are looked up.
+    """
     along = Window.partitionBy("sid").orderBy("i")
     follow = lambda c, by: F.coalesce(F.lead(c, by).over(along), F.lit(-1).cast("bigint"))
-    triples = strings.select("sid", "i", "s").withColumns({"t1": follow("s", 1), "t2": follow("s", 2)})
-    triples = materialise(triples.withColumn("m", (F.col("i") % 3).cast("int")), "triples")
+    residue = (F.col("i") % 3).cast("int")
+    if "t1" in strings.columns:
+        triples = strings.select("sid", "i", "s", "t1", "t2", residue.alias("m"))
+    else:
+        triples = strings.select("sid", "i", "s").withColumns({"t1": follow("s", 1), "t2": follow("s", 2)})
+        triples = materialise(triples.withColumn("m", residue), "triples")
     key = ["s", "t1", "t2"]
     sample = triples if depth <= 3 else triples.where(F.col("m") != 0)
     names = smaller(sample.groupBy(*key).agg(F.count("*").alias("name")), key, ["name"])

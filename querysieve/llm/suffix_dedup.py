@@ -27,6 +27,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from xxhash import xxh3_64_digest
 
@@ -40,6 +42,7 @@ LENGTH, W, K = 200, 60, 16
 DEPTH = 9
 CHUNK_BYTES = 1 << 18
 SIDE_ROWS, SIDE_BYTES = 3_000_000, 256 * 1024 * 1024
+_NONE = np.zeros(0, np.int64)
 _ODD = 0x9E3779B97F4A7C15
 _C1, _C2, _C3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -197,12 +200,12 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
 
 
 def _start_digests(asked: DataFrame) -> DataFrame:
-    """``key, start, string, settled`` for all starts of the listed ranges; ``string`` is a digest of the bytes."""
-    names = ["key", "start", "string", "settled"]
+    """``n, start, string, settled`` for all starts of the listed ranges of texts ``n``; ``string`` is a digest of the bytes."""
+    names = ["n", "start", "string", "settled"]
 
     def emit(batches):
         for batch in batches:
-            for key, text, ranges in zip(batch.column(0), _texts(batch, 1), batch.column(2)):
+            for n, text, ranges in zip(batch.column(0).to_pylist(), _texts(batch, 1), batch.column(2)):
                 first, last, settled = _fields(ranges, "first", "last", "settled")
                 each = last - first + 1
                 start = np.arange(each.sum()) + np.repeat(first - np.cumsum(each) + each, each)
@@ -210,12 +213,11 @@ def _start_digests(asked: DataFrame) -> DataFrame:
                 for at in range(0, len(start), 50_000):
                     part = start[at:at + 50_000].tolist()
                     digests = b"".join([xxh3_64_digest(text[i:i + LENGTH]) for i in part])
-                    keys = pa.array([key.as_py()], pa.binary()).take(pa.array(np.zeros(len(part), np.int64)))
                     yield pa.RecordBatch.from_arrays(
-                        [keys, pa.array(part), pa.array(np.frombuffer(digests, "<i8")), pa.array(done[at:at + 50_000])], names=names
+                        [pa.array(np.full(len(part), n, np.int64)), pa.array(part), pa.array(np.frombuffer(digests, "<i8")), pa.array(done[at:at + 50_000])], names=names
                     )
 
-    return asked.mapInArrow(tidied(emit), "key binary, start bigint, string bigint, settled boolean")
+    return asked.mapInArrow(tidied(emit), "n bigint, start bigint, string bigint, settled boolean")
 
 
 def beside(rows: DataFrame, order: list[str], column: str) -> DataFrame:
@@ -234,6 +236,70 @@ def beside(rows: DataFrame, order: list[str], column: str) -> DataFrame:
     )
 
 
+def _by_keys(batches):
+    """Tables of rows that come in the order of their first column; rows of one value lie in one table."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0)
+        if not held or keys[-1] != held[0].column(0)[0]:
+            change = np.flatnonzero(pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False))
+            cut = int(change[-1]) + 1 if len(change) else 0
+            if held or cut:
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks()
+            held, batch = [], batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def suffix_columns(new: np.ndarray, at: np.ndarray, core: np.ndarray, depth: int):
+    """``(place in its run, symbol, the next two symbols, name, has a name)`` of candidates; ``new`` marks where runs begin.
+
+    A name covers the cores, and the steps between them, that reach to the end of the last string of the next anchor.
+    """
+    row, opens = np.arange(len(at)), np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    left = np.append(opens[1:], len(at))[run] - row
+    behind = lambda values, k, other: np.where(left > k, np.append(values[k:], np.zeros(min(k, len(values)), values.dtype)), other)
+    far = behind(at, 1, 0) + (W - 1)
+    going, has, name = left > 1, np.zeros(len(at), bool), np.zeros(len(at), np.uint64)
+    for k in range(depth):
+        going &= left > k
+        place = behind(at, k, 0)
+        more = _mix(name * _C1 + behind(core, k, 0).astype(np.uint64) * _C3 + (place - at).astype(np.uint64))
+        name = np.where(going, more, name)
+        has |= going & (place >= far)
+        going &= ~has
+    # A core and behind it its step, so suffixes that share only their first core stand together too.
+    symbol = core >> 7 << 7 | np.where(left > 1, behind(at, 1, 0) - at, 127)
+    return row - opens[run], symbol, behind(symbol, 1, -1), behind(symbol, 2, -1), name.view(np.int64), has
+
+
+def _strings(found: DataFrame, depth: int) -> DataFrame:
+    """Candidates whose ordinals follow each other, as strings numbered in the order of their places."""
+    types = "key binary, at bigint, core bigint, first bigint, last bigint, sid bigint, i bigint, s bigint, t1 bigint, t2 bigint, own bigint"
+    names = [field.split()[0] for field in types.split(", ")]
+
+    def emit(batches):
+        number = TaskContext.get().partitionId() << 33
+        for rows in _by_keys(batches):
+            key = rows.column(0).combine_chunks()
+            ordinal, at, core, first, last = (c.to_numpy() for c in rows.columns[1:])
+            new = np.append(True, np.diff(ordinal) != 1)
+            new[1:] |= pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
+            place, s, t1, t2, own, has = suffix_columns(new, at, core, depth)
+            sid = number + np.arange(len(at)) - place
+            number += len(at)
+            yield pa.RecordBatch.from_arrays(
+                [key, *map(pa.array, (at, core, first, last, sid, place, s, t1, t2)), pa.array(own, mask=~has)], names=names
+            )
+
+    ordered = found.select("key", "ordinal", "at", "core", "first", "last").repartition("key").sortWithinPartitions("key", "ordinal")
+    return ordered.mapInArrow(tidied(emit), types)
+
+
 def settled_anchors(found: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``found`` (key, ordinal, at, core, first, last) with ``settled``, ``met`` and ``name``.
 
@@ -242,39 +308,17 @@ def settled_anchors(found: DataFrame, depth: int = DEPTH) -> DataFrame:
     ``met``: a suffix beside the anchor's own begins with its core; other anchors have nothing to be compared with.
     """
     spark, since = found.sparkSession, written()
-    # Strings: candidates whose ordinals follow each other, numbered in the order of their places.
-    along = Window.partitionBy("key").orderBy("ordinal")
-    follows = F.coalesce(F.col("ordinal") - F.lag("ordinal").over(along) == 1, F.lit(False))
-    # Rows are numbered behind the window, where they lie in order.
-    places = found.withColumn("_new", ~follows).withColumn("_at", F.monotonically_increasing_id())
-    begun = F.max(F.when(F.col("_new"), F.col("_at"))).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    places = places.withColumn("sid", begun)
-    run = Window.partitionBy("key", "sid").orderBy("_at")
-    ahead = lambda c: F.array(*[F.lead(c, k).over(run) for k in range(depth)])
-    # How many cores reach to the end of the last string of the next anchor.
-    far = F.lead("at", 1).over(run) + (W - 1)
-    places = places.withColumns({"_ats": ahead("at"), "_cores": ahead("core"), "_far": far})
-    reached = F.array_position(F.transform("_ats", lambda x: F.coalesce(x >= F.col("_far"), F.lit(False))), True).cast("int")
-    steps = F.transform("_ats", lambda x: x - F.col("at"))
-    some = lambda values: F.slice(values, F.lit(1), F.greatest(reached, F.lit(1)))
-    named = F.when(reached > 0, F.xxhash64(some(F.col("_cores")), some(steps)))
-    step = F.coalesce(F.get("_ats", F.lit(1)) - F.col("at"), F.lit(127))
-    # A core and behind it its step, so suffixes that share only their first core stand together too.
-    symbol = F.shiftleft(F.shiftright("core", 7), 7).bitwiseOR(step.cast("bigint"))
-    strings = materialise(places.select(
-        "key", "at", "core", "first", "last", "sid", (F.col("_at") - F.col("sid")).alias("i"), symbol.alias("s"), named.alias("own")
-    ), "runs")
-    ranked = suffix_ranks(strings.select("sid", "i", "s"), depth)
+    strings = materialise(_strings(found, depth), "runs")
+    ranked = suffix_ranks(strings.select("sid", "i", "s", "t1", "t2"), depth)
     begins = strings.select("sid", "i", F.struct(F.hash("core").alias("core"), F.col("own").alias("name")).alias("own"))
     sorted_rows = ranked.join(begins, ["sid", "i"]).select("rank", "sid", "i", "own")
     looked = beside(sorted_rows, ["rank", "sid", "i"], "own")
     either = lambda c: F.coalesce(F.col("_before")[c] == F.col("own")[c], F.lit(False)) | F.coalesce(F.col("_after")[c] == F.col("own")[c], F.lit(False))
-    looked = materialise(looked.select("sid", "i", either("name").alias("shared"), either("core").alias("met")), "beside")
+    looked = materialise(looked.select("sid", "i", either("name").alias("shared"), either("core").alias("met"), F.col("own.name").alias("name")), "beside")
     drop_written(spark, since, strings, looked)
 
-    earlier = looked.where("shared").select("sid", (F.col("i") + 1).alias("i"), F.lit(True).alias("settled"))
-    names = strings.where(F.col("own").isNotNull()).select("sid", (F.col("i") + 1).alias("i"), F.col("own").alias("name"))
-    marks = looked.select("sid", "i", "met").join(earlier.join(names, ["sid", "i"]), ["sid", "i"], "left")
+    earlier = looked.where("shared").select("sid", (F.col("i") + 1).alias("i"), F.lit(True).alias("settled"), "name")
+    marks = looked.select("sid", "i", "met").join(earlier, ["sid", "i"], "left")
     marked = strings.join(marks, ["sid", "i"]).select(
         "key", "at", "core", "first", "last", "met", F.coalesce("settled", F.lit(False)).alias("settled"), "name"
     )
@@ -284,9 +328,9 @@ def settled_anchors(found: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def repeated_ranges(texts: DataFrame, copied: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``key, first, last``: ranges of starts whose strings repeat, for distinct texts (key, text).
+    """``key, ranges, starts``: the starts whose strings repeat, as ranges and one by one, for distinct texts (key, text).
 
-    ``copied`` lists the keys of texts with equal copies: all of their starts repeat and are not listed.
+    ``copied`` lists the keys of texts with equal copies: all of their starts repeat, so these texts are left out.
     """
     since = written()
     cores = _cores(texts).groupBy("core").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("core")
@@ -305,15 +349,15 @@ def repeated_ranges(texts: DataFrame, copied: DataFrame, depth: int = DEPTH) ->
     partners = settled.unionByName(open_copies).join(classes, "core", "left_semi").select("key", "first", "last", F.lit(True).alias("settled"))
     members = still.select("key", "first", "last", "settled").unionByName(partners)
     wanted = members.groupBy("key").agg(F.collect_list(F.struct("first", "last", "settled")).alias("ranges"))
-    wanted = materialise(wanted, "wanted")
+    # A start travels with its text's number, which takes less room than the key.
+    wanted = materialise(wanted.withColumn("n", F.monotonically_increasing_id()), "wanted")
     listed = broadcast_if_small(wanted.select("key"), SIDE_ROWS, SIDE_BYTES)
     asked = texts.join(listed, "key", "left_semi").join(wanted, "key")
-    starts = materialise(_start_digests(asked.select("key", "text", "ranges")), "starts")
+    starts = materialise(_start_digests(asked.select("n", "text", "ranges")), "starts")
     twice = starts.groupBy("string").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("string")
-    late = starts.where(~F.col("settled")).join(twice, "string", "left_semi")
-    return whole.where(F.col("settled") | F.col("whole")).select("key", "first", "last").unionByName(
-        late.select("key", F.col("start").alias("first"), F.col("start").alias("last"))
-    )
+    late = starts.where(~F.col("settled")).join(twice, "string", "left_semi").groupBy("n").agg(F.collect_list("start").alias("starts"))
+    ranges = whole.where(F.col("settled") & ~F.col("whole")).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    return ranges.join(late.join(wanted.select("n", "key"), "n").select("key", "starts"), "key", "full")
 
 
 def cut_repeats(
@@ -333,29 +377,28 @@ def cut_repeats(
     skip = broadcast_if_small(later, SIDE_ROWS, SIDE_BYTES)
     texts = long.join(skip, ["key", "doc_id"], "left_anti").select("key", "text")
 
-    ranges = repeated_ranges(texts, copied.select("key"), depth)
-    marks = ranges.join(copied.select("key"), "key", "left_anti").groupBy("key").agg(
-        F.collect_list(F.struct("first", "last")).alias("ranges")
-    )
-    everything = copied.select("key", F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("ranges"))
-    marks = materialise(marks.unionByName(everything), "marks")
+    # A copied text has neither ranges nor starts: all of it goes.
+    marks = repeated_ranges(texts, copied.select("key"), depth).unionByName(copied.select("key"), allowMissingColumns=True)
+    marks = materialise(marks, "marks")
     listed = broadcast_if_small(marks.select("key"), SIDE_ROWS, SIDE_BYTES)
     n_bytes = F.octet_length("text").cast("bigint")
     zero = F.lit(0).cast("bigint")
     clean = keyed.join(listed, "key", "left_anti").select(
         *columns, n_bytes.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept")
     )
-    cut = keyed.join(listed, "key", "left_semi").join(marks, "key").select(*columns, "text", "ranges")
+    cut = keyed.join(listed, "key", "left_semi").join(marks, "key").select(*columns, "text", "ranges", "starts")
     n_columns = len(columns)
 
     def remove(batches):
         for batch in batches:
             sizes, gone, spans, left = [], [], [], []
-            for value, ranges in zip(_texts(batch, n_columns), batch.column(n_columns + 1)):
-                if not ranges.is_valid:
+            for value, ranges, starts in zip(_texts(batch, n_columns), *batch.columns[n_columns + 1:]):
+                if not ranges.is_valid and not starts.is_valid:
                     rest, runs = b"", 1
                 else:
-                    rest, runs = keep_bytes(value, *_fields(ranges, "first", "last"), characters)
+                    first, last = _fields(ranges, "first", "last") if ranges.is_valid else (_NONE, _NONE)
+                    alone = starts.values.to_numpy(zero_copy_only=False) if starts.is_valid else _NONE
+                    rest, runs = keep_bytes(value, np.append(first, alone), np.append(last, alone), characters)
                 sizes.append(len(value))
                 gone.append(len(value) - len(rest))
                 spans.append(runs)

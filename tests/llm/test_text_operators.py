@@ -357,6 +357,57 @@ def test_anchors_of_joined_texts_are_those_of_each():
             assert mine[got[0] == i].tolist() == alone.tolist()
 
 
+def test_runs_of_candidates_have_their_symbols_and_names(spark):
+    texts = []
+    for key, n in enumerate(rng.integers(1, 60, 12)):
+        ordinal = np.flatnonzero(rng.random(n) < 0.8)
+        texts += [(bytes([key]), int(o), int(30 * o + rng.integers(0, 30)), int(rng.integers(0, 1 << 62)), 0, 1) for o in ordinal]
+    names = ["key", "ordinal", "at", "core", "first", "last"]
+    found = spark.createDataFrame(texts, "key binary, ordinal bigint, at bigint, core bigint, first bigint, last bigint").repartition(5)
+    got = {(bytes(r.key), r.at): r for r in suffix_dedup._strings(found, 9).collect()}
+    runs = []
+    for row in sorted(texts):
+        if not (runs and runs[-1][-1][0] == row[0] and runs[-1][-1][1] == row[1] - 1):
+            runs.append([])
+        runs[-1].append(row)
+    assert len(got) == len(texts) and len({r.sid for r in got.values()}) == len(runs)
+    by_name = {}
+    for run in runs:
+        at, core = [r[2] for r in run], [r[3] for r in run]
+        symbols = [c >> 7 << 7 | (b - a if b is not None else 127) for c, a, b in zip(core, at, [*at[1:], None])]
+        for i, row in enumerate(run):
+            mine = got[row[0], row[2]]
+            assert (mine.i, mine.sid) == (i, got[run[0][0], run[0][2]].sid)
+            assert (mine.s, mine.t1, mine.t2) == tuple((symbols[i:] + [-1, -1])[:3])
+            far = [k for k in range(i, min(i + 9, len(run))) if i + 1 < len(run) and at[k] >= at[i + 1] + 59]
+            assert (mine.own is not None) == bool(far)
+            if far:
+                by_name.setdefault(mine.own, set()).add((tuple(core[i:far[0] + 1]), tuple(a - at[i] for a in at[i:far[0] + 1])))
+    assert by_name and all(len(covered) == 1 for covered in by_name.values())
+    # The same rows in other batches, a text over several of them and none of its bounds at theirs.
+    table = pa.Table.from_pylist([dict(zip(names, r)) for r in sorted(texts)])
+    for size in (1, 7, 1000):
+        cut = list(suffix_dedup._by_keys(table.to_batches(size)))
+        assert pa.concat_tables(cut).equals(table)
+        assert sum(len(set(part.column(0).to_pylist())) for part in cut) == len({r[0] for r in texts})
+
+
+def test_copied_texts_go_whole_beside_ranges_and_single_starts(spark):
+    passage = prose(200)
+    texts = [prose(60) + passage + prose(60), prose(40) + passage, "x" * 900, passage[:230] + prose(70), prose(80)]
+    held = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0], texts[2]])], "doc_id bigint, text string")
+    keyed = held.selectExpr("doc_id", "unhex(md5(text)) AS key", "text")
+    copied = keyed.groupBy("key").count().where("count > 1").select("key")
+    distinct = keyed.dropDuplicates(["key"]).select("key", "text")
+    marks = suffix_dedup.repeated_ranges(distinct, copied).collect()
+    alone = {bytes(r.key) for r in copied.collect()}
+    count = Counter(t[i:i + 200] for t in [*texts, texts[0], texts[2]] for i in range(len(t) - 199))
+    want = {hashlib.md5(t.encode()).digest(): {i for i in range(len(t) - 199) if count[t[i:i + 200]] > 1} for t in texts}
+    got = {bytes(m.key): {i for r in m.ranges or [] for i in range(r.first, r.last + 1)} | set(m.starts or []) for m in marks}
+    assert not alone & got.keys()
+    assert got == {k: v for k, v in want.items() if v and k not in alone}
+
+
 def test_ranges_are_read_as_arrays():
     kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     held = pa.array([[{"first": 1, "last": 2}], None, [], [{"first": 5, "last": 9}, {"first": 7, "last": 7}]], kind).slice(1)
