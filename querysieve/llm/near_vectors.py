@@ -1,10 +1,11 @@
 """Near-duplicate embeddings: spherical k-means cells, blocked cosine products, one representative per group.
 
 The cells are fitted on a bounded sample (``SAMPLE`` vectors with the smallest id digests); every vector is then
-assigned. A pair with cosine >= ``threshold`` lies at most one chord apart, so a vector whose distance to the
-bisector between its cell and a later one is within the chord is compared in that cell too: no pair is lost, and
-each is compared once. Cells are cut into blocks; one task compares two blocks and returns a link count per vector
-and one star per connected group, never the pairs. Equal vectors are one weighted vector.
+assigned. A pair with cosine >= ``threshold`` lies at most one chord apart, so of two cells only the vectors within the
+chord of their bisector are compared: no pair is lost, and each is compared once. Whole cells are put together to
+blocks, large ones are cut; a block travels packed, once for each block it meets, and one task compares two blocks and
+returns a link count per vector and the group it is in, never the pairs. Inside a task, tiles of bounded size are
+screened by a few coordinates and the length of the rest, which bounds a product from above; what passes is computed.
 
 On directions without clusters a chord crosses many bisectors and the cells spare only a part of all
 comparisons; ``margin`` below 1 compares within that part of the chord and may lose links.
@@ -16,6 +17,8 @@ their own; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -28,7 +31,15 @@ SAMPLE = 20_000
 CELL_TARGET = 4096
 MAX_CELLS = 4096
 ROUNDS = 8
-BLOCK = 2048
+# Vectors of a block: small tables make some blocks for all cores, a large one, of 64 numbers each, is what a worker holds twice.
+LEAST_BLOCK, MOST_BLOCK, SOME_BLOCKS = 2048, 1 << 15, 8
+# Vectors of a packed row, numbers of a matrix made at a time, tasks of a stage.
+PACKED_ROWS, MOST_CELLS_AT_ONCE, MOST_PARTITIONS = 2048, 1 << 22, 4096
+# Rows and columns of a tile; leading coordinates of the screen and the error it may have as 4-byte numbers.
+TILE_ROWS, TILE_COLUMNS, LEADING, SLACK = 256, 4096, 16, 1e-5
+# Links that wait until groups are put together.
+MOST_WAITING = 1 << 18
+PACKED = "size int, block int, part int, cells binary, nodes binary, weights binary, vecs binary"
 
 
 def normalised(rows: list[np.ndarray] | np.ndarray) -> np.ndarray:
@@ -37,11 +48,16 @@ def normalised(rows: list[np.ndarray] | np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def nearest_cell(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    step = max(1, MOST_CELLS_AT_ONCE // len(centres))
+    return np.concatenate([(x[at:at + step] @ centres.T).argmax(axis=1) for at in range(0, len(x), step)])
+
+
 def fit_cells(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     """Spherical k-means: unit centres with the largest cosine to their members."""
     centres = x[np.linspace(0, len(x) - 1, k).astype(int)]
     for _ in range(rounds):
-        cell = (x @ centres.T).argmax(axis=1)
+        cell = nearest_cell(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, cell, x)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -49,14 +65,23 @@ def fit_cells(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
-def later_cells(x: np.ndarray, centres: np.ndarray, chord: float) -> tuple[np.ndarray, np.ndarray]:
-    """Home cell of each vector, and which later cells lie within the chord of its bisectors."""
-    near = x @ centres.T
-    home = near.argmax(axis=1)
-    gap = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
-    ahead = np.arange(len(centres))[None] > home[:, None]
-    beyond = near[np.arange(len(x)), home][:, None] - near
-    return home, ahead & (beyond <= chord * gap[home] + 1e-9)
+def leading_axes(x: np.ndarray, n: int = LEADING) -> np.ndarray:
+    """At most ``n`` orthonormal columns that hold much of the rows' length."""
+    start = np.random.default_rng(0).normal(size=(x.shape[1], min(n, x.shape[1])))
+    return np.linalg.qr(x.T @ (x @ start) + 1e-9 * start)[0]
+
+
+def screened(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Coordinates on the axes and the length of the rest: their products are not below those of the unit rows."""
+    head = x @ axes
+    rest = np.sqrt(np.maximum(0.0, 1 - np.square(head).sum(axis=1, keepdims=True)))
+    return np.hstack([head, rest]).astype(np.float32)
+
+
+def within(x: np.ndarray, own: np.ndarray, other: np.ndarray, chord: float) -> np.ndarray:
+    """Which rows of the cell ``own`` lie within the chord of its bisector with ``other``."""
+    apart = own - other
+    return x @ apart <= chord * np.linalg.norm(apart) + 1e-9
 
 
 def _usable() -> Column:
@@ -66,47 +91,134 @@ def _usable() -> Column:
     return F.coalesce(fine & F.forall("v", number) & F.exists("v", lambda v: v != 0), F.lit(False))
 
 
-def _stars(mask: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest label each row and column is connected with: rows come first, ``alone`` means both are the same."""
-    n, m = mask.shape
-    far = n + m
-    rows = np.arange(n)
-    cols = rows if alone else n + np.arange(m)
+def as_bytes(x: np.ndarray) -> list[bytes]:
+    """Rows as 4-byte numbers where these are the same numbers, else as 8-byte ones."""
+    with np.errstate(over="ignore"):
+        small = x.astype("<f4")
+    return [v.tobytes() for v in (small if (small == x).all() else x.astype("<f8"))]
+
+
+def pack(frame: pd.DataFrame) -> pd.DataFrame:
+    """A block in a few rows, sorted by cell."""
+    frame, size = frame.sort_values(["cell", "node"]), int(frame["size"].iloc[0])
+    rows = []
+    for part, at in enumerate(range(0, len(frame), PACKED_ROWS)):
+        own = frame.iloc[at:at + PACKED_ROWS]
+        wide = own["vec"].map(len) > 4 * size
+        vecs = own["vec"]
+        if wide.any():
+            vecs = vecs.where(wide, vecs.map(lambda v: np.frombuffer(v, "<f4").astype("<f8").tobytes() if len(v) == 4 * size else v))
+        column = lambda c, kind: own[c].to_numpy(kind).tobytes()
+        rows.append((size, int(own["block"].iloc[0]), part, column("cell", "<i4"), column("node", "<i8"), column("weight", "<i8"), b"".join(vecs)))
+    return pd.DataFrame(rows, columns=["size", "block", "part", "cells", "nodes", "weights", "vecs"])
+
+
+class _Block:
+    """A block as a task holds it: unit rows, their screens, and where each cell begins and ends."""
+
+    def __init__(self, packed: pd.DataFrame, size: int, axes: np.ndarray):
+        packed = packed.sort_values("part")
+        joined = lambda c, kind: np.concatenate([np.frombuffer(v, kind) for v in packed[c]])
+        cells, self.node, self.weight = joined("cells", "<i4"), joined("nodes", "<i8"), joined("weights", "<i8")
+        self.x = np.concatenate([
+            normalised(np.frombuffer(v, "<f4" if len(v) == n * size // 2 else "<f8").reshape(-1, size))
+            for v, n in zip(packed["vecs"], packed["nodes"].map(len))
+        ])
+        self.screen = screened(self.x, axes)
+        ids, starts = np.unique(cells, return_index=True)
+        self.cells = list(zip(ids.tolist(), starts.tolist(), [*starts[1:].tolist(), len(cells)]))
+
+
+def union(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of each group after the pairs are linked; ``label`` has it from before."""
     while True:
-        cols_new = np.minimum(cols, np.where(mask, rows[:, None], far).min(axis=0, initial=far))
-        before = cols_new if alone else rows
-        rows_new = np.minimum(before, np.where(mask, cols_new[None], far).min(axis=1, initial=far))
-        if alone:
-            cols_new = rows_new
-        if (rows_new == rows).all() and (cols_new == cols).all():
-            return rows, cols
-        rows, cols = rows_new, cols_new
-
-
-def compare(group: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links between the left and the right block of a task; a block against itself is sent once."""
-    unpack = lambda part: np.stack([np.frombuffer(v) for v in part["vec"]]) if len(part) else np.zeros((0, 1))
-    left, right = group[group["side"] != 1], group[group["side"] == 1]
-    alone = bool(len(left)) and int(left["side"].iloc[0]) == 2
-    right = left if alone else right
-    if not len(left) or not len(right):
-        return pd.DataFrame({"node": [], "links": [], "root": []}, dtype="int64")
-    mask = unpack(left) @ unpack(right).T >= threshold
-    if alone:
-        np.fill_diagonal(mask, False)
-    a, b = left["node"].to_numpy(np.int64), right["node"].to_numpy(np.int64)
-    rows, cols = _stars(mask, alone)
-    names = np.concatenate([a, b])
-    out = [(a, mask @ right["weight"].to_numpy(np.int64), names[rows])]
-    if not alone:
-        out.append((b, mask.T @ left["weight"].to_numpy(np.int64), names[cols]))
-    made = [pd.DataFrame({"node": n, "links": k.astype(np.int64), "root": r})[k > 0] for n, k, r in out]
-    return pd.concat(made)
+        u, v = label[a], label[b]
+        apart = u != v
+        if not apart.any():
+            return label
+        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while ((deeper := label[label]) != label).any():
+            label = deeper
+
+
+def links_of_tile(left: _Block, right: _Block, rows: np.ndarray, cols: np.ndarray, threshold: float, above: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Linked rows and columns; ``above``: of the pairs of a block with itself those above the diagonal."""
+    row, col = np.nonzero(left.screen[rows] @ right.screen[cols].T >= np.float32(threshold - SLACK))
+    if above:
+        kept = rows[row] < cols[col]
+        row, col = row[kept], col[kept]
+    if len(row) * 16 > len(rows) * len(cols):
+        linked = (left.x[rows] @ right.x[cols].T)[row, col] >= threshold
+    else:
+        step = max(1, MOST_CELLS_AT_ONCE // left.x.shape[1])
+        linked = np.concatenate([np.zeros(0, bool), *(
+            np.einsum("ij,ij->i", left.x[rows[row[at:at + step]]], right.x[cols[col[at:at + step]]]) >= threshold for at in range(0, len(row), step)
+        )])
+    return rows[row[linked]], cols[col[linked]]
+
+
+def cell_pairs(left: _Block, right: _Block, centres: np.ndarray, chord: float, margin: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows and columns to compare, and whether a cell meets itself; of two cells the earlier one's vectors visit the later one."""
+    alone = left is right
+    for a, start, end in left.cells:
+        for b, first, last in right.cells:
+            rows, cols = np.arange(start, end), np.arange(first, last)
+            if alone and b < a:
+                continue
+            if a != b:
+                rows = rows[within(left.x[start:end], centres[a], centres[b], chord * (margin if a < b else 1.0))]
+                cols = cols[within(right.x[first:last], centres[b], centres[a], chord * (margin if b < a else 1.0))]
+            yield rows, cols, alone and a == b
+
+
+def compare(group: pd.DataFrame, threshold: float, centres: np.ndarray, axes: np.ndarray, margin: float = 1.0) -> pd.DataFrame:
+    """Links between the two blocks of a task, or of a block with itself."""
+    size, i, j = (int(group[c].iloc[0]) for c in ("size", "i", "j"))
+    left = _Block(group[group["block"] == i], size, axes)
+    right = left if i == j else _Block(group[group["block"] == j], size, axes)
+    n, m = len(left.node), 0 if right is left else len(right.node)
+    shift = n if m else 0
+    chord = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    links, label, waiting, held = np.zeros(n + m, np.int64), np.arange(n + m), [], 0
+    for rows, cols, above in cell_pairs(left, right, centres, chord, margin):
+        for at in range(0, len(rows), TILE_ROWS):
+            some = rows[at:at + TILE_ROWS]
+            for to in range(0, len(cols), TILE_COLUMNS):
+                others = cols[to:to + TILE_COLUMNS]
+                if above and others[-1] <= some[0]:
+                    continue
+                a, b = links_of_tile(left, right, some, others, threshold, above)
+                if len(a):
+                    np.add.at(links, a, right.weight[b])
+                    np.add.at(links, b + shift, left.weight[a])
+                    waiting.append((a, b + shift))
+                    held += len(a)
+                if held > MOST_WAITING:
+                    label, waiting, held = union(label, *map(np.concatenate, zip(*waiting))), [], 0
+    if waiting:
+        label = union(label, *map(np.concatenate, zip(*waiting)))
+    names = np.concatenate([left.node, right.node]) if m else left.node
+    return pd.DataFrame({"node": names, "links": links, "root": names[label]})[links > 0]
+
+
+def _blocks(cells: list[tuple[int, int]], rows: int) -> list[tuple[int, int, int]]:
+    """(cell, first block, parts) for (cell, its vectors) by number: small cells share a block, large ones are cut."""
+    out, block, held = [], 0, 0
+    for cell, n in sorted(cells):
+        parts = max(1, -(-n // rows))
+        if held and held + n > rows:
+            block, held = block + 1, 0
+        out.append((cell, block, parts))
+        held += n
+        if parts > 1:
+            block, held = block + parts, 0
+    return out
 
 
 def near_duplicates(
     df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD,
-    sample: int = SAMPLE, cell_target: int = CELL_TARGET, margin: float = 1.0, block: int = BLOCK,
+    sample: int = SAMPLE, cell_target: int = CELL_TARGET, margin: float = 1.0, block: int | None = None,
 ) -> DataFrame:
     """``key, n_links, component_id, kept`` for every row."""
     spark = df.sparkSession
@@ -118,53 +230,54 @@ def near_duplicates(
     n = nodes.count()
 
     centres: dict[int, np.ndarray] = {}
+    axes: dict[int, np.ndarray] = {}
     if n:
-        drawn = nodes.select("v", F.xxhash64("least", "node").alias("h")).orderBy("h").limit(sample).toPandas()["v"]
+        # Digests first, vectors of the smallest ones after: no task sends a sample of its own to the driver.
+        keyed = nodes.select("v", F.xxhash64("least", "node").alias("h"))
+        upto = max(r["h"] for r in keyed.select("h").orderBy("h").limit(sample).collect())
+        drawn = keyed.where(F.col("h") <= upto).toPandas().sort_values("h").head(sample)["v"]
         for size, part in drawn.groupby(drawn.map(len)):
             k = min(MAX_CELLS, max(1, round(n * len(part) / len(drawn) / cell_target)), len(part))
-            centres[size] = fit_cells(normalised(np.stack(list(part))), k)
-    chord = margin * float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+            x = normalised(np.stack(list(part)))
+            centres[size], axes[size] = fit_cells(x, k), leading_axes(x)
 
     def assign(frames):
         for frame in frames:
             for size, part in frame.groupby(frame["v"].map(len)):
-                x = normalised(np.stack(list(part["v"])))
-                middle = centres.get(size, x[:1] * 0)
-                home, ahead = later_cells(x, middle, chord)
-                at, cell = np.nonzero(ahead)
-                take = np.concatenate([np.arange(len(x)), at])
-                yield pd.DataFrame({
-                    "size": size, "cell": np.concatenate([home, cell]), "visit": np.arange(len(take)) >= len(x),
-                    "node": part["node"].to_numpy()[take], "weight": part["weight"].to_numpy()[take],
-                    "vec": [x[i].tobytes() for i in take],
-                })
+                raw = np.stack(list(part["v"])).astype(np.float64)
+                home = nearest_cell(normalised(raw), centres[size]) if size in centres else 0
+                yield pd.DataFrame({"size": size, "cell": home, "node": part["node"].to_numpy(), "weight": part["weight"].to_numpy(), "vec": as_bytes(raw)})
 
     placed = materialise(nodes.select("node", "weight", "v").mapInPandas(
-        assign, "size int, cell int, visit boolean, node bigint, weight bigint, vec binary"
+        assign, "size int, cell int, node bigint, weight bigint, vec binary"
     ), "cells")
     # One row per cell: at most MAX_CELLS for each length.
-    blocks = placed.groupBy("size", "cell").agg(
-        F.ceil(F.count_if(~F.col("visit")) / block).alias("homes"), F.ceil(F.count_if("visit") / block).alias("visits")
-    )
-    mine = F.pmod(F.xxhash64("node"), F.when(F.col("visit"), F.col("visits")).otherwise(F.col("homes"))).cast("int")
-    task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).alias("side"))
-    upto = lambda start, stop: F.when(stop >= start, F.sequence(start, stop)).otherwise(F.array().cast("array<int>"))
-    homes, visits = F.col("homes").cast("int"), F.col("visits").cast("int")
-    at_home = F.concat(
-        F.array(task(F.col("mine"), F.col("mine"), 2)),
-        F.transform(upto(F.col("mine") + 1, homes - 1), lambda j: task(F.col("mine"), j, 0)),
-        F.transform(upto(F.lit(0), F.col("mine") - 1), lambda i: task(i, F.col("mine"), 1)),
-        F.transform(upto(homes, homes + visits - 1), lambda q: task(q, F.col("mine"), 1)),
+    cells: dict[int, list[tuple[int, int]]] = {}
+    for row in placed.groupBy("size", "cell").count().collect():
+        cells.setdefault(row["size"], []).append((row["cell"], row["count"]))
+    places, pairs = [], 0
+    for size, own in cells.items():
+        rows_in = sum(count for _, count in own)
+        cut = _blocks(own, block or min(max(LEAST_BLOCK, MOST_BLOCK * 64 // max(64, size)), max(LEAST_BLOCK, -(-rows_in // SOME_BLOCKS))))
+        blocks = max(first + parts for _, first, parts in cut)
+        places += [(size, cell, first, parts, blocks) for cell, first, parts in cut]
+        pairs += blocks * (blocks + 1) // 2
+    table = spark.createDataFrame(places, "size int, cell int, first int, parts int, blocks int")
+    into = (F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts"))).cast("int")
+    dealt = placed.join(F.broadcast(table), ["size", "cell"]).select("size", "cell", into.alias("block"), "node", "weight", "vec")
+    packed = materialise(dealt.groupBy("size", "block").applyInPandas(pack, PACKED), "blocks")
+    every = packed.join(F.broadcast(table.select("size", "blocks").distinct()), "size")
+    met = every.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "size", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "part", "cells", "nodes", "weights", "vecs"
     )
-    visiting = F.transform(upto(F.lit(0), homes - 1), lambda j: task(homes + F.col("mine"), j, 0))
-    dealt = (
-        placed.join(F.broadcast(blocks), ["size", "cell"]).withColumn("mine", mine)
-        .withColumn("t", F.explode(F.when(F.col("visit"), visiting).otherwise(at_home)))
-        .select("size", "cell", "t.i", "t.j", "t.side", "node", "weight", "vec")
-    )
-    found = materialise(dealt.groupBy("size", "cell", "i", "j").applyInPandas(
-        lambda group: compare(group, threshold), "node bigint, links bigint, root bigint"
-    ), "found")
+
+    def compared(group: pd.DataFrame) -> pd.DataFrame:
+        size = int(group["size"].iloc[0])
+        return compare(group, threshold, centres.get(size, np.zeros((1, size))), axes.get(size, np.eye(size)[:, :LEADING]), margin)
+
+    # Two blocks are worth a task of their own, however few bytes they have.
+    tasks = met.repartition(min(max(1, 2 * pairs), MOST_PARTITIONS), "size", "i", "j").groupBy("size", "i", "j")
+    found = materialise(tasks.applyInPandas(compared, "node bigint, links bigint, root bigint"), "found")
 
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(found, "node", "root")

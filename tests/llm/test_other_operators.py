@@ -135,6 +135,39 @@ def test_vectors_against_brute_force(spark, kw):
     assert near_vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_travel_packed_and_meet_in_bounded_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 16))
+    x[300:] = x[rng.integers(0, 100, 100)] + rng.normal(size=(100, 16)) * 0.1
+    kept, write = {}, near_vectors.materialise
+    monkeypatch.setattr(near_vectors, "materialise", lambda df, name="table": kept.setdefault(name, write(df, name)))
+    monkeypatch.setattr(near_vectors, "TILE_ROWS", 7)
+    monkeypatch.setattr(near_vectors, "TILE_COLUMNS", 11)
+    monkeypatch.setattr(near_vectors, "MOST_WAITING", 5)
+    df = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_duplicates(df, cell_target=40, block=100).collect()}
+    # A vector is one row of its cell, however many cells it is compared in, and one place of one block.
+    assert kept["cells"].count() == 400 and kept["cells"].select("node").distinct().count() == 400
+    assert sum(len(r["nodes"]) for r in kept["blocks"].collect()) == 8 * 400
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    row, col = np.nonzero(linked)
+    root = near_vectors.union(np.arange(400), row, col)
+    assert linked.any() and got == {i: (int(linked[i].sum()), int(root[i])) for i in range(400)}
+
+
+def test_screen_of_vectors_is_never_below_the_product():
+    x = near_vectors.normalised(np.random.default_rng(7).normal(size=(300, 40)) + 0.4)
+    screen = near_vectors.screened(x, near_vectors.leading_axes(x))
+    assert screen.shape == (300, 17) and (screen @ screen.T >= x @ x.T - near_vectors.SLACK).all()
+    mixed = [*near_vectors.as_bytes(np.array([[0.5, 2.0]])), *near_vectors.as_bytes(np.array([[0.1, 1e300]]))]
+    assert [len(v) for v in mixed] == [8, 16]
+    packed = near_vectors.pack(near_vectors.pd.DataFrame({"size": 2, "block": 0, "cell": [1, 0], "node": [5, 6], "weight": [1, 2], "vec": mixed}))
+    block = near_vectors._Block(packed, 2, np.eye(2))
+    assert block.node.tolist() == [6, 5] and block.weight.tolist() == [2, 1] and np.allclose(block.x[1], np.array([0.5, 2.0]) / np.sqrt(4.25))
+
+
 EVENTS = "conv_id bigint, slot int, seq int, kind string, role string, text string, formatted string"
 
 
